@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -96,7 +97,7 @@ def library(path: str):
 @lru_cache(maxsize=4)
 def library_words(path: str) -> WordCache:
     t = library(path)
-    return WordCache(lambda ws: [e.ids for e in t.encode_batch_fast(ws, add_special_tokens=False)])
+    return WordCache(lambda ws: [array("i", e.ids) for e in t.encode_batch_fast(ws, add_special_tokens=False)])
 
 
 @lru_cache(maxsize=4)
@@ -105,13 +106,13 @@ def special_pattern(path: str):
     return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
 
-def library_ids(path: str, text: str) -> list[int]:
+def library_ids(path: str, text: str) -> array:
     """Ids of one text, as ``encode(text, add_special_tokens=False).ids`` has them."""
     if NOT_PLAIN.search(text) or any(s in text for s in vocabulary(path)[3]):
-        return library(path).encode(text, add_special_tokens=False).ids
+        return array("i", library(path).encode(text, add_special_tokens=False).ids)
     pieces = PIECE.findall(text)
     of = library_words(path).ready(pieces)
-    out: list[int] = []
+    out = array("i")
     for p in pieces:
-        out += of[p]
+        out.extend(of[p])
     return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +41,36 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import leaks
 
     return leaks.report(leaks.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import token_files
+
+    folder = shared_folder(spark) + "/ids"
+    token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+    return token_files.checksums(token_files.read(spark, folder))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the lines of every document: how many in all, in the largest line, and crossing a line's end."""
+    from quire.llm import token_counts
+
+    rows = token_counts.attribute(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(
+        "doc_id", "n_tokens", "n_outside", F.size("sections").cast("bigint").alias("n_sections"),
+        F.aggregate("sections", F.lit(0.0), lambda n, s: n + s["tokens"]).cast("bigint").alias("n_allocated"),
+        F.coalesce(F.array_max(F.transform("sections", lambda s: s["tokens"])), F.lit(0.0)).cast("bigint").alias("largest"),
+        F.size(F.filter("sections", lambda s: s["crossing"] > 0)).cast("bigint").alias("n_crossed"),
+    )

@@ -84,7 +84,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_large_binary(column.type) or pa.types.is_binary(column.type) else "", column.type))
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     if len(column) == 0:
