@@ -74,3 +74,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("sections", lambda s: s["tokens"])), F.lit(0.0)).cast("bigint").alias("largest"),
         F.size(F.filter("sections", lambda s: s["crossing"] > 0)).cast("bigint").alias("n_crossed"),
     )
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import merkle
+
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import licenses
+
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import pages
+
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
