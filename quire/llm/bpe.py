@@ -15,10 +15,11 @@ import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.pretokens import NOT_PLAIN, PIECE, WordCache, library, special_pattern, vocabulary
+from quire.llm.pretokens import NOT_PLAIN, PIECE, PackedWords, encode_rows, library, special_pattern, vocabulary
 from quire.llm.session import bounded_batches, column
 
 LONG_WORD = 160
@@ -74,9 +75,9 @@ class RankArray:
 
 
 @lru_cache(maxsize=4)
-def _cache(path: str) -> WordCache:
+def _words(path: str) -> PackedWords:
     array = RankArray(path)
-    return WordCache(lambda ws: [array.encode(w.encode()) for w in ws])
+    return PackedWords(lambda ws: [np.array(array.encode(w.encode()), dtype=np.int32) for w in ws])
 
 
 def pieces(path: str, text: str) -> list[str]:
@@ -86,6 +87,11 @@ def pieces(path: str, text: str) -> list[str]:
     return PIECE.findall(text)
 
 
+@lru_cache(maxsize=4)
+def _array(path: str) -> RankArray:
+    return RankArray(path)
+
+
 def encode(path: str, text: str) -> list[int]:
     """Ids of a text; the vocabulary's special strings are single ids, as the library takes them."""
     special, pattern, out = vocabulary(path)[3], special_pattern(path), []
@@ -93,13 +99,16 @@ def encode(path: str, text: str) -> list[int]:
         if n % 2:
             out.append(special[part])
             continue
-        found = pieces(path, part)
-        of = _cache(path).ready(found)
-        for p in found:
-            out += of[p]
+        for p in pieces(path, part):
+            out += _array(path).encode(p.encode())
     return out
 
 
+def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and each text's place in them; words are encoded once and kept."""
+    return encode_rows(column, _words(path), lambda x: encode(path, x), vocabulary(path)[3])
+
+
 def decode(path: str, ids: list[int]) -> str:
     """Text of ids, special strings included; bytes that are no UTF-8 become U+FFFD.  Unknown ids have no bytes."""
     by_id = vocabulary(path)[1]
@@ -122,8 +131,9 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(len(keep)).to_pylist():
-                ids = encode(path, text or "")
+            flat, at = encode_column(path, batch.column(len(keep)))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids = flat[a:b].tolist()
                 back = decode(path, ids)
                 rows.append(finish(ids, back) if finish else (ids, back))
             made = [pa.array([r[i] for r in rows], type=kind) for i, (_, kind, _) in enumerate(fields)]

@@ -18,32 +18,27 @@ text are cut at its end; repeated rows each get their rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.pretokens import library_ids, vocabulary
+from quire.llm.pretokens import library_ids, widths
 from quire.llm.session import bounded_batches, column
 
 RULES = ("start", "end", "split")
 
 
-@lru_cache(maxsize=4)
-def _widths(path: str) -> np.ndarray:
-    return np.array([len(b) for b in vocabulary(path)[1]], dtype=np.int64)
-
-
-def token_spans(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-last character of every token."""
-    ids = library_ids(path, text)
-    ends = np.cumsum(_widths(path)[np.frombuffer(ids, dtype=np.int32)]) if len(ids) else np.zeros(0, dtype=np.int64)
+def token_spans(path: str, text: str, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last character of every token; ``ids`` may give the text's ids."""
+    ids = library_ids(path, pa.array([text]))[0] if ids is None else ids
+    ends = np.cumsum(widths(path)[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
+    first = np.append(0, ends[:-1])[: len(ends)]
     if text.isascii():
-        return np.append(0, ends[:-1])[: len(ends)], ends
+        return first, ends
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     char = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
-    return char[np.append(0, ends[:-1])[: len(ends)]], char[ends - 1] + 1
+    return char[first], char[ends - 1] + 1
 
 
 def allocate(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: str = "start") -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +87,10 @@ def attribute(docs: DataFrame, path: str, sections: Callable[[str], list[tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, outside, rows, ends = [], [], {k: [] for k in ("label", "start", "end", "tokens", "crossing")}, [0]
-            for text in batch.column(len(keep)).to_pylist():
-                text = text or ""
-                starts, stops = token_spans(path, text)
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            ids, at = library_ids(path, batch.column(len(keep)))
+            for text, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist()):
+                starts, stops = token_spans(path, text, ids[a:b])
                 own = sections(text)
                 spans = np.array([(min(a, len(text)), min(b, len(text))) for _, a, b in own], dtype=np.int64).reshape(-1, 2)
                 n, crossing = allocate(starts, stops, spans, rule)

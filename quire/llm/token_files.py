@@ -12,7 +12,6 @@ Rows of one doc_id are in the order of a hash of their text; rows alike in both
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +44,11 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, files
 
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, ends = array("i"), [0]
-            for text in batch.column(1).to_pylist():
-                ids.extend(library_ids(path, text or ""))
-                if end_id is not None:
-                    ids.append(end_id)
-                ends.append(len(ids))
-            offsets = np.array(ends, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32) if len(ids) else np.zeros(0, np.int32)))
+            ids, offsets = library_ids(path, batch.column(1))
+            if end_id is not None:
+                ids = np.insert(ids, offsets[1:], end_id)
+                offsets = offsets + np.arange(len(offsets))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.diff(offsets)), pa.array(at + offsets[:-1]), lists], ["doc_id", "part", "n_tokens", "at", "ids"])
             at += int(offsets[-1])
