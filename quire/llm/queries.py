@@ -95,3 +95,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import pages
 
     return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import jaccard
+
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
