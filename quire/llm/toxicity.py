@@ -20,8 +20,6 @@ and rows without doc_id, are left out of fitting; a doc_id with several labels c
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +32,7 @@ from quire.llm.session import bounded_batches, column
 from quire.llm.spans import ALNUM, LOWER_VALUE, Prefix, chunks, flat, mix, words
 
 #: Bounds of the labelled sample, in rows.
-TRAIN_TOXIC, TRAIN_ORDINARY = 3000, 6000
+TRAIN_TOXIC, TRAIN_ORDINARY = 2000, 4000
 #: Words of a window, and bytes of a word's code.
 WINDOW, CODE = 4, 12
 #: Words that both dictionaries share, and the most of a class's own.
@@ -44,9 +42,6 @@ RATIOS = (10.0, 20.0, 40.0, 80.0)
 #: Level of compression.
 LEVEL = 3
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -55,46 +50,62 @@ class Model:
     weights: tuple[float, ...]
 
 
-def _ratio(a: int, b: int, total_a: int, total_b: int) -> float:
-    """Signed log-likelihood ratio of a word in the two classes; positive speaks for the first."""
-    p = (a + b) / (total_a + total_b)
-    ea, eb = total_a * p, total_b * p
-    g = 2 * ((a * math.log(a / ea) if a else 0) + (b * math.log(b / eb) if b else 0))
-    return g if a * total_b > b * total_a else -g
-
-
-def _contexts(texts: list[bytes]) -> tuple[Counter, int]:
-    """In how many texts each word stands in a context (word before, word after) that no earlier text has."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
-    count: Counter = Counter()
-    for text in texts:
-        ws = _WORD.findall(text)
-        own = set(zip([b"", *ws], ws, [*ws[1:], b""])) - seen
-        seen |= own
-        count.update({w for _, w, _ in own})
-    return count, len(texts)
-
-
-def _own(first: tuple[Counter, int], second: tuple[Counter, int], least: float) -> list[bytes]:
-    """Words that speak for the first class, the strongest last (nearest to what is compressed)."""
-    (a, na), (b, nb) = first, second
-    scored = [(_ratio(n, b.get(w, 0), na, nb), w) for w, n in a.items() if n > 1 and len(w) > 2]
-    return [w for _, w in sorted(x for x in scored if x[0] >= least)[-OWN_WORDS:]]
+def _contexts(hashes: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of some rows: word hashes, and in how many rows each stands in a context (word before, word after) that
+    no earlier row has; and the number of rows."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    before, after = np.append(np.uint64(0), hashes[:-1]), np.append(hashes[1:], np.uint64(0))
+    edge = np.zeros(len(hashes) + 1, dtype=bool)
+    edge[first] = True
+    before[edge[:-1]] = after[edge[1:]] = 0
+    chosen = np.zeros(len(first) - 1, dtype=bool)
+    chosen[rows] = True
+    at = np.flatnonzero(chosen[row])
+    context = mix(before[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix(after[at] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mix(hashes[at])))
+    _, new = np.unique(context, return_index=True)
+    at = at[new]
+    pair = np.unique(np.stack([hashes[at], row[at].astype(np.uint64)], axis=1), axis=0)
+    words_, count = np.unique(pair[:, 0], return_counts=True)
+    return words_, count, len(rows)
+
+
+def _both(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of either class, and their counts in both."""
+    every = np.union1d(a[0], b[0])
+    out = []
+    for words_, count, _ in (a, b):
+        n = np.zeros(len(every), dtype=np.int64)
+        n[np.searchsorted(every, words_)] = count
+        out.append(n)
+    return every, out[0], out[1]
+
+
+def _own(every: np.ndarray, a: np.ndarray, b: np.ndarray, na: int, nb: int, least: float) -> np.ndarray:
+    """Words that speak for the first class by the log-likelihood ratio, the strongest last (nearest to what
+    is compressed)."""
+    p = (a + b) / (na + nb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a > 0, a * np.log(a / (na * p)), 0) + np.where(b > 0, b * np.log(b / (nb * p)), 0))
+    at = np.flatnonzero((a > 1) & (a * nb > b * na) & (g >= least))
+    return every[at[np.lexsort((every[at], g[at]))][-OWN_WORDS:]]
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = words(data, offsets, ALNUM)
+    return Prefix(data, LOWER_VALUE).of(starts, ends), first
 
 
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A matrix of word codes, and the index of each row's first word (one more than rows)."""
-    starts, ends, first = words(data, offsets, ALNUM)
-    h = Prefix(data, LOWER_VALUE).of(starts, ends)
+def _code(h: np.ndarray) -> np.ndarray:
     out = np.empty((len(h), CODE), dtype=np.uint8)
     out[:, :8] = h.view(np.uint8).reshape(-1, 8)
     out[:, 8:] = mix(h ^ np.uint64(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8)[:, : CODE - 8]
-    return out, first
+    return out
 
 
-def _content(ws: list[bytes]) -> bytes:
-    data = np.frombuffer(b" ".join(ws), dtype=np.uint8)
-    return codes(data, np.array([0, len(data)]))[0].tobytes()
+def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of word codes, and the index of each row's first word (one more than rows)."""
+    h, first = _hashes(data, offsets)
+    return _code(h), first
 
 
 class Scorer:
@@ -149,43 +160,42 @@ def _fit(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
 
 def train(texts: list[str], labels: list[int]) -> Model:
     """Dictionaries, threshold and curve from labelled texts."""
-    low = [(t or "").encode("utf-8", "replace").lower() for t in texts]
     y = np.array(labels, dtype=np.int64)
     n = len(y)
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
         return Model(b" ", b" ", 1 << 20, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
+    data, offsets = flat(pa.array([t or "" for t in texts], pa.large_string()))
+    found = [_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
+    hashes, first = np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(np.concatenate([np.diff(f) for _, f in found])))
     # Dictionaries from two thirds of the rows, threshold and curve from the rest: else they'd judge what they hold.
     third = np.arange(n) % 3 == 2
     if min(y[third].sum(), (1 - y[third]).sum(), y[~third].sum(), (1 - y[~third]).sum()) < 3:
         third = np.zeros(n, dtype=bool)
-    parts = [t for t, out in zip(low, third) if not out], y[~third]
     held = np.flatnonzero(third) if third.any() else np.arange(n)
-    column, truth = pa.array([low[i] for i in held], pa.binary()).cast(pa.large_binary()), y[held]
+    truth, matrix = y[held], _code(hashes)
+    counted = [_contexts(hashes, first, np.flatnonzero(~third & (y == c))) for c in (1, 0)]
     best: tuple = (-1.0,)
-    counted = _counted(*parts)
     for ratio in RATIOS:
-        distances = list(Scorer(_dictionaries(*counted, ratio)).all_distances(*flat(column)))
+        scorer = Scorer(_dictionaries(*counted, ratio))
+        distances = [scorer.distances(matrix[first[i] : first[i + 1]]) for i in held.tolist()]
         top = np.array([max(d, default=0) for d in distances])
         threshold = max(range(1, 2 * CODE), key=lambda t: (_f1(top >= t, truth), -t))
         best = max(best, (_f1(top >= threshold, truth), ratio, threshold, _fit(np.array([_features(d, threshold) for d in distances]), truth)))
     _, ratio, threshold, weights = best
-    final = _dictionaries(*_counted(low, y), ratio)
+    final = _dictionaries(*(_contexts(hashes, first, np.flatnonzero(y == c)) for c in (1, 0)), ratio)
     return Model(final.toxic, final.ordinary, threshold, weights)
 
 
-def _counted(texts: list[bytes], y: np.ndarray) -> tuple[tuple[Counter, int], tuple[Counter, int]]:
-    return _contexts([t for t, c in zip(texts, y) if c]), _contexts([t for t, c in zip(texts, y) if not c])
-
-
-def _dictionaries(toxic: tuple[Counter, int], ordinary: tuple[Counter, int], ratio: float) -> Model:
+def _dictionaries(toxic: tuple, ordinary: tuple, ratio: float) -> Model:
     """Both dictionaries; they are alike in length, so that distances differ by content alone."""
-    own_t, own_o = _own(toxic, ordinary, ratio), _own(ordinary, toxic, ratio)
-    left_out = set(own_t)
-    both = [w for w, _ in sorted((toxic[0] + ordinary[0]).items(), key=lambda x: (-x[1], x[0]))[: SHARED_WORDS + len(left_out)] if w not in left_out][:SHARED_WORDS][::-1]
+    every, a, b = _both(toxic, ordinary)
+    own_t, own_o = _own(every, a, b, toxic[2], ordinary[2], ratio), _own(every, b, a, ordinary[2], toxic[2], ratio)
+    frequent = every[np.lexsort((every, -(a + b)))]
+    both = frequent[~np.isin(frequent, own_t)][:SHARED_WORDS][::-1]
     width = max(len(own_t), len(own_o), 1)
-    pad = lambda own: (both * (width // max(1, len(both)) + 1))[: width - len(own)] + own
-    return Model(_content(both + pad(own_t)) or b" ", _content(both + pad(own_o)) or b" ", 0, ())
+    pad = lambda own: _code(np.concatenate([both, np.resize(both, width - len(own)) if len(both) else both, own])).tobytes() or b" "
+    return Model(pad(own_t), pad(own_o), 0, ())
 
 
 def _f1(hit: np.ndarray, y: np.ndarray) -> float:
