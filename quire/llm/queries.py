@@ -102,3 +102,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import jaccard
 
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import repeats
+
+    return repeats.report(repeats.dedupe(table(spark, sf_dir, "documents")))
