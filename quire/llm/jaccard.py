@@ -26,15 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.components import stars
+from quire.llm.membership import bitmap, has
 from quire.llm.session import bounded_batches, column, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
 #: Counters of the frequency table, and of them in one row of its shuffle.
 COUNTERS, COUNTER_ROW = 1 << 20, 1 << 12
-#: Bits of the filter of texts whose sets are compared, and of them in one row of its shuffle.
-FILTER_BITS, FILTER_ROW = 1 << 24, 1 << 16
 #: Members of a block.
 BLOCK = 1500
 #: Documents of a tree's leaf, children of a node, and bits of a bitmap at most.
@@ -105,12 +105,12 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def _features(texts: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, node (hash of the set), n, and the prefix of the set."""
+    """doc_id, h (hash of the text), node (hash of the set), n, and the prefix of the set."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(2))
             nodes, sizes, prefixes = [], [], []
             for a, b in chunks(offsets):
                 for tokens in _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, shared.value):
@@ -121,9 +121,9 @@ def _features(texts: DataFrame, k: int, percent: int, classes: np.ndarray) -> Da
                     prefixes.append(tokens[: n - (percent * n + 99) // 100 + 1] if n else tokens)
             at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "h", "node", "n", "prefix"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n bigint, prefix array<bigint>")
+    return texts.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, node bigint, n bigint, prefix array<bigint>")
 
 
 def _list_pairs(postings: DataFrame) -> DataFrame:
@@ -159,40 +159,15 @@ def _cells(pairs: DataFrame) -> DataFrame:
 
 
 def _key(node: np.ndarray, label: np.ndarray) -> np.ndarray:
-    return mix(node.view(np.uint64) ^ mix(label.view(np.uint64) + np.uint64(1))) & np.uint64(FILTER_BITS - 1)
-
-
-def _filter(chosen: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the texts (class and smallest doc_id) whose sets are compared."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = _key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s // FILTER_ROW), pa.array(s % FILTER_ROW)], ["at", "bit"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in np.unique(at).tolist():
-                rows.setdefault(i, np.zeros(FILTER_ROW, dtype=bool))[bit[at == i]] = True
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array([np.packbits(v).tobytes() for v in rows.values()], pa.binary())], ["at", "bits"])
-
-    n = FILTER_BITS // FILTER_ROW
-    made = chosen.select("node", "label").mapInArrow(slots, "at bigint, bit bigint").repartition(min(partitions(chosen.sparkSession), n), "at").mapInArrow(gather, "at bigint, bits binary")
-    table = np.zeros((n, FILTER_ROW // 8), dtype=np.uint8)
-    for row in made.toLocalIterator():
-        table[row["at"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return table.ravel()
+    return mix(node.view(np.uint64) ^ mix(label.view(np.uint64) + np.uint64(1)))
 
 
 def _chosen_sets(texts: DataFrame, k: int, classes: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """node and its set, of texts that the filter has (a few more may pass)."""
+    """node and its set, of texts that the bitmap has (a few more may pass)."""
     shared = texts.sparkSession.sparkContext.broadcast((classes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bitmap = shared.value
+        table, wanted = shared.value
         for batch in batches:
             label = np.array([_LEAST if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
             data, offsets = flat(batch.column(1))
@@ -201,8 +176,7 @@ def _chosen_sets(texts: DataFrame, k: int, classes: np.ndarray, bits: np.ndarray
                 for i, tokens in enumerate(_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, table)):
                     if len(tokens):
                         node = _node(tokens)
-                        slot = int(_key(np.array([node]), label[a + i : a + i + 1])[0])
-                        if bitmap[slot >> 3] >> (7 - (slot & 7)) & 1:
+                        if has(wanted, _key(np.array([node]), label[a + i : a + i + 1]))[0]:
                             nodes.append(node)
                             sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
@@ -366,7 +340,8 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """One row a document: doc_id, n_shingles, node (its set's hash; null without shingles) and component_id.
+    """One row a document: doc_id, h (hash of its text), n_shingles, node (its set's hash), root (its
+    component's smallest node; both null without shingles) and component_id.
 
     Two documents link when 100 * intersection >= percent * union of their distinct word shingles.
     """
@@ -376,16 +351,43 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     texts = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
     classes = frequency_classes(texts, shingle)
     features = materialised(_features(texts, shingle, percent, classes), folder, "features")
-    sets = features.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LEAST)).alias("label"), F.first("prefix").alias("prefix"))
+    sets = features.where("node is not null").groupBy("node").agg(F.first("prefix").alias("prefix"))
     pairs = materialised(_list_pairs(sets.select(F.explode("prefix").alias("token"), "node")), folder, "pairs")
     members = pairs.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
     labels = features.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LEAST)).alias("label"))
-    bits = _filter(labels.join(members, "node"))
+    bits = bitmap(labels.join(members, "node").select("node", "label"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
     chosen = _chosen_sets(texts, shingle, classes, bits)
     edges = _links(_cells(pairs).join(chosen.withColumnRenamed("node", "member"), "member"), percent)
     roots = stars(edges, folder)
     rooted = labels.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("label") != _LEAST, F.col("label")).alias("label"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
-    by_node = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    out = features.select("doc_id", "n", "node").join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_node = rooted.select("node", "root").join(smallest, "root")
+    out = features.select("doc_id", "h", "n", "node").join(by_node, "node", "left")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "node", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that of the smallest doc_id (a missing one
+    counts as largest; of rows alike in it, that of the smallest hash of the text), and every row without
+    shingles.  Only rows that may have to go are shuffled."""
+    spark = docs.sparkSession
+    d = lambda c: F.coalesce(c.cast("bigint"), F.lit(2**63 - 1))
+    found = materialised(components(docs, shingle, percent).where("node is not null").select(d(F.col("doc_id")).alias("_d"), F.col("h").alias("_h"), "root"), shared_folder(spark), "found")
+    best = found.groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    doubtful = materialised(found.join(best, "root").groupBy("_d", "_h").agg(F.max(F.struct("_d", "_h") == F.col("best")).alias("_best")), shared_folder(spark), "doubtful")
+    bits = bitmap(doubtful.select("_d", "_h"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
+    shared = spark.sparkContext.broadcast(bits)
+    keyed = docs.select("*", d(column(docs, "doc_id")).alias("_d"), F.xxhash64(column(docs, "text").cast("string")).alias("_h"))
+
+    def marked(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask = has(shared.value, _key(batch.column("_d").to_numpy(), batch.column("_h").to_numpy()))
+                yield batch.filter(pa.array(mask if inside else ~mask))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    one = Window.partitionBy("_d", "_h").orderBy(F.lit(0))
+    checked = marked(True).join(doubtful, ["_d", "_h"], "left").withColumn("_n", F.row_number().over(one))
+    checked = checked.where("_best is null or (_best and _n = 1)")
+    return marked(False).drop("_d", "_h").unionByName(checked.drop("_d", "_h", "_best", "_n"))

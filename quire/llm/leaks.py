@@ -159,13 +159,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
     spark = docs.sparkSession
     bounded_batches(spark)
     wanted = items.select(column(items, "item_id").cast("string").alias("item"), column(items, "text").cast("string").alias("text")).where("item is not null")
-    source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("text"))
+    source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def one(block: Block | None) -> DataFrame:
         if block is not None:
-            block.order(_counts(source, block.shingle_set()))
+            block.order(_counts(docs, block.shingle_set()))
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
