@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 from urllib.parse import quote, unquote, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,11 +27,17 @@ def external(reference: str) -> bool:
     return bool(parts.scheme or parts.netloc)
 
 
-@F.pandas_udf("string")
-def resolve_path_column(base: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or r is None else resolve_path(b, r) for b, r in zip(base, reference)], dtype=object)
+def resolve_path_column(base: Column, reference: Column) -> Column:
+    return _pairs(resolve_path)(base, reference)
 
 
-@F.pandas_udf("string")
-def relative_column(base: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or t is None else relative(b, t) for b, t in zip(base, target)], dtype=object)
+def relative_column(base: Column, target: Column) -> Column:
+    return _pairs(relative)(base, target)
+
+
+def _pairs(f: Callable[[str, str], str]):
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return run

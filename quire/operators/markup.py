@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\[\[(?:IMG|CODE|MEDIA)_\d+\]\]")
@@ -342,40 +343,53 @@ def ensure_anchors(body: str, original: str, index: int) -> str:
     return root.inner()
 
 
-@F.pandas_udf("struct<xhtml: string, tokens: array<string>, markup: array<string>, error: string>")
-def protect_column(fragment: pd.Series) -> pd.DataFrame:
+# Columns.  The functions are made when asked for, as workers import this module without a session.
+
+
+def protect_column(fragment: Column) -> Column:
     """``protect`` of a column; what can't be protected is an error, not a failure."""
-    rows = []
-    for x in fragment:
-        try:
-            text, held = protect(x or "")
-            rows.append((text, list(held), list(held.values()), None))
-        except ValueError as e:
-            rows.append((None, [], [], str(e)))
-    return pd.DataFrame(rows, columns=["xhtml", "tokens", "markup", "error"])
 
+    @F.pandas_udf("struct<xhtml: string, tokens: array<string>, markup: array<string>, error: string>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in values:
+            try:
+                text, held = protect(x or "")
+                rows.append((text, list(held), list(held.values()), None))
+            except ValueError as e:
+                rows.append((None, [], [], str(e)))
+        return pd.DataFrame(rows, columns=["xhtml", "tokens", "markup", "error"])
+
+    return run(fragment)
+
+
+def restore_column(fragment: Column, tokens: Column, markup: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(f: pd.Series, t: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else restore(x, dict(zip(y, z))) for x, y, z in zip(f, t, m)], dtype=object)
+
+    return run(fragment, tokens, markup)
 
-@F.pandas_udf("string")
-def restore_column(fragment: pd.Series, tokens: pd.Series, markup: pd.Series) -> pd.Series:
-    return pd.Series([None if f is None else restore(f, dict(zip(t, m))) for f, t, m in zip(fragment, tokens, markup)], dtype=object)
 
+def canonicalize_column(fragment: Column, expected: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(f: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else canonicalize(x, list(y)) for x, y in zip(f, e)], dtype=object)
 
-@F.pandas_udf("string")
-def canonicalize_column(fragment: pd.Series, expected: pd.Series) -> pd.Series:
-    return pd.Series([None if f is None else canonicalize(f, list(e)) for f, e in zip(fragment, expected)], dtype=object)
+    return run(fragment, expected)
 
 
-def split_column(limit: int):
-    """A column function of fragments to arrays of parts; what can't be split gives one part and an error."""
+def split_column(fragment: Column, limit: int) -> Column:
+    """Parts of a column of fragments; what can't be split gives one part and an error."""
 
     @F.pandas_udf("struct<parts: array<string>, error: string>")
-    def split(fragment: pd.Series) -> pd.DataFrame:
+    def run(values: pd.Series) -> pd.DataFrame:
         rows = []
-        for x in fragment:
+        for x in values:
             try:
                 rows.append((split_chapter(x or "", limit), None))
             except ValueError as e:
                 rows.append(([x], str(e)))
         return pd.DataFrame(rows, columns=["parts", "error"])
 
-    return split
+    return run(fragment)
