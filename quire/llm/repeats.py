@@ -36,7 +36,7 @@ from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 
 LENGTH, GRAM = 100, 24
 #: Anchors of a task that are combined at once.
-COMBINE = 1_000_000
+COMBINE = 300_000
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("h", "<u4"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
 _LEAST = -(2**63)
 

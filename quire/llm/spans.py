@@ -19,7 +19,7 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 _ROWS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 
 #: Bytes of one flat chunk; a single longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _lower = np.arange(256, dtype=np.int64)
 _lower[65:91] += 32
