@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -574,3 +575,137 @@ def d06_split_chapter(spark, d):
     body = F.regexp_extract("html", r"(?s)<article>(.*?)(?:</article>|$)", 1)
     rows = table(spark, d, "pages").select("page_id", split_column(F.regexp_replace(body, "</?b>|<br>", ""), 400).alias("s"))
     return rows.select("page_id", F.posexplode("s.parts").alias("part", "xhtml"), F.col("s.error").alias("error"))
+
+
+_PATHS = [("OEBPS/a/b.xhtml", "../c%20d.png#x", "OEBPS/c d.png"), ("a.xhtml", "b.xhtml", "b.xhtml"), ("t/a.xhtml", "./u/../v.xhtml", "t/v.xhtml"), ("t/a.xhtml", "w+x.png?y", "t/w+x.png")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{r}', '{o}')" for b, r, o in _PATHS) + ") t(base, reference, path)")
+def x1_resolve_path(spark, d):
+    """References against a base."""
+    from quire.functions.paths import resolve_path_column
+
+    rows = spark.createDataFrame([x[:2] for x in _PATHS], "base string, reference string")
+    return rows.withColumn("path", resolve_path_column(F.col("base"), F.col("reference")))
+
+
+@query("SELECT * FROM (VALUES ('OEBPS/a/b.xhtml', 'OEBPS/c d.png', '../c%20d.png'), ('a.xhtml', 'b/c.xhtml', 'b/c.xhtml')) t(base, target, reference)")
+def x2_relative(spark, d):
+    """References from a base."""
+    from quire.functions.paths import relative_column
+
+    rows = spark.createDataFrame([("OEBPS/a/b.xhtml", "OEBPS/c d.png"), ("a.xhtml", "b/c.xhtml")], "base string, target string")
+    return rows.withColumn("reference", relative_column(F.col("base"), F.col("target")))
+
+
+@query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || coalesce(text, '')) AS digest FROM documents")
+def x4_digest(spark, d):
+    """A digest of several fields, with separators."""
+    return table(spark, d, "documents").select("doc_id", T.content_key(F.col("lang"), F.lit("\0"), F.col("source"), F.lit("\0"), F.col("text")).alias("digest"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all('[[IMG_' || doc_id || ']] x [[CODE_2]] [[NO_3]]', '\[\[(?:IMG|CODE|MEDIA)_[0-9]+\]\]'), ' ') AS tokens FROM documents")
+def x7_placeholders(spark, d):
+    """Placeholders of a text."""
+    text = F.concat(F.lit("[[IMG_"), F.col("doc_id").cast("string"), F.lit("]] x [[CODE_2]] [[NO_3]]"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.placeholders(text), " ").alias("tokens"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+def x10_url_parts(spark, d):
+    """The parts of a URL."""
+    part = lambda name: F.coalesce(F.try_parse_url("url", F.lit(name)), F.lit(""))
+    return table(spark, d, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"))
+
+
+@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(substr(text, 1, 40)::BLOB) AS uri FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[ -~]*')")
+def x11_data_uri(spark, d):
+    """X11: data URIs."""
+    head = F.substring("text", 1, 40)
+    return table(spark, d, "documents").where(head.rlike("^[ -~]*$")).select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.base64(head.cast("binary"))).alias("uri"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS modified FROM events")
+def x14_timestamp(spark, d):
+    """Times as package files have them."""
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"))
+
+
+@query("SELECT doc_id, least(600.0, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE ELSE least(60.0, pow(2.0, doc_id % 8)) END) AS delay FROM documents")
+def x15_retry_delay(spark, d):
+    """The part of a delay that isn't random."""
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select(i, F.least(F.lit(600.0), F.when(i % 3 == 0, i.cast("double")).otherwise(F.least(F.lit(60.0), F.pow(F.lit(2.0), i % 8)))).alias("delay"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Glossary conflict' WHEN doc_id % 7 = 0 THEN 'Return a well' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title FROM documents")
+def d07_parse_response(spark, d):
+    """Responses read, or what is wrong with them."""
+    from quire.operators.markup import parse_response
+
+    @F.pandas_udf("struct<error: string, title: string>")
+    def read(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in values:
+            try:
+                rows.append(("", parse_response(x, {"term": "fixed"})[1]))
+            except ValueError as e:
+                rows.append((str(e), None))
+        return pd.DataFrame(rows, columns=["error", "title"])
+
+    i = F.col("doc_id")
+    rendering = F.when(i % 5 == 0, "other").otherwise("fixed")
+    response = F.concat(F.lit('<section data-role="summary" data-title="'), F.col("source"), F.lit('"><p>x</p></section><dl data-role="glossary"><dt>term</dt><dd>'), rendering, F.lit("</dd></dl>"))
+    sent = F.when((i % 7 == 0) & (i % 5 != 0), F.concat(F.lit("<p>"), response)).otherwise(response)
+    rows = table(spark, d, "documents").select("doc_id", read(sent).alias("r"))
+    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(Glossary conflict|Return a well)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"))
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """Packages made of pages, ten a book: path and content."""
+    import io
+    import zipfile
+    from html import escape
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        files = [(f"c{r.id}.xhtml", r.title or "") for r in rows.itertuples()]
+        items = "".join(f'<item id="i{n}" href="{f}" media-type="application/xhtml+xml"/>' for n, (f, _) in enumerate(files))
+        refs = "".join(f'<itemref idref="i{n}"/>' for n in range(len(files)))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("mimetype", "application/epub+zip")
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="book.opf"/></rootfiles></container>')
+            z.writestr("book.opf", f'<package><metadata/><manifest>{items}</manifest><spine>{refs}</spine></package>')
+            for f, title in files:
+                z.writestr(f, f"<html><head/><body><h1>{escape(title)}</h1><p>text</p></body></html>")
+        return pd.DataFrame([(f"book{rows['book'].iloc[0]}.epub", out.getvalue())], columns=["path", "content"])
+
+    rows = pages(spark, d).select("id", I.heading(F.col("markup")).alias("title"), F.floor(F.col("id") / 10).alias("book"))
+    return rows.groupBy("book").applyInPandas(pack, "path string, content binary")
+
+
+@query(f"SELECT 'book' || page_id // 10 || '.epub' AS book, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id)::INTEGER AS idx, 'c' || page_id || '.xhtml' AS path, trim(regexp_replace({_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))}, '\\s+', ' ', 'g')) AS title FROM pages")
+def s1_package_scan(spark, d):
+    """Packages written and read back as chapters."""
+    from quire.sources import epub
+
+    books = epub.read_archives(_books(spark, d))
+    return books.select(F.col("path").alias("book"), F.inline("chapters")).select("book", "idx", "path", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"))
+
+
+@query("SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS idx, source || ' ' || doc_id AS title, true AS translated FROM documents WHERE doc_id % 2 = 0")
+def d11_run_books(spark, d):
+    """The ordered fold of every book, with a deterministic model."""
+    import tempfile
+
+    from quire.plans.completer import Stub
+    from quire.plans.generation import generate
+    from quire.plans.settings import Settings
+
+    rows = P.dense_index(table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("source").alias("book_id"), "doc_id", "text"), "book_id", "doc_id")
+    body = F.concat(F.lit("<p>"), F.regexp_replace(T.escape(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\[|\]\]", "")), "\n", "</p><p>"), F.lit("</p>"))
+    chapters = rows.select("book_id", F.col("idx").cast("int").alias("idx"), F.lit("i").alias("item_id"), F.lit("a.xhtml").alias("path"), F.concat_ws(" ", "book_id", F.col("doc_id").cast("string")).alias("title"), body.alias("body"), F.lit("<head/>").alias("head"), F.lit(0).alias("words"), F.lit(0).alias("images"), F.lit(False).alias("front_matter"), F.lit("").alias("properties"), F.expr("cast(null as map<string,string>)").alias("body_attrs"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    state = tempfile.mkdtemp(prefix="quire-state-", dir=shared.removeprefix("file://") if shared and shared.startswith(("/", "file:///")) else None)
+    return generate(chapters, Settings(language="en"), Stub(), state, "s").select("book_id", "idx", "title", "translated")
