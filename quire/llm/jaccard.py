@@ -4,14 +4,16 @@
 2. Shingles are ordered by a frequency class, then by hash.  Frequencies come from a table of counters of
    fixed size over all texts; any one order is right, and this one keeps phrases that many texts share out of
    prefixes.  Two sets that reach the threshold have a shingle of both prefixes in common.
-3. Classes that share a prefix shingle form a list; a list's members join the block of its smallest class.
-   That is linear in the postings, and any two classes of a list are together in a block.
+3. Classes that share a prefix shingle form a list, cut where the next size is too large for a link.  A list's
+   members join the block of its first class.  That is linear in the postings, and any two classes of a list
+   are together in a block.
 4. In a block, a signature tree holds the members: leaves and nodes have OR-combined token bitmaps, size
-   ranges, and how many tokens share a bit.  A dual traversal prunes node pairs whose largest possible
-   overlap is too small, or which are already one component; the rest is compared exactly.  What leaves a
-   block is a spanning forest, not its pairs.
-5. Blocks over ``BLOCK`` members are cut into parts, and every pair of parts is a block of its own.
-6. Components of the edges take the smallest doc_id.
+   ranges, and how many tokens share a bit.  A dual traversal prunes node pairs whose largest possible overlap
+   is too small, or which are already one group; what is left falls into small groups of possible links.
+5. Only members of such groups fetch their sets.  In a group the same tree, over its own tokens, finds the
+   pairs to compare exactly.  What leaves is a spanning forest, not pairs.
+6. Blocks over ``BLOCK`` members are cut into parts, and every pair of parts is a block of its own.
+7. Components of the edges take the smallest doc_id.
 
 Shingles are 56-bit hashes below their frequency class.  Defined results: null and empty texts, and texts
 without words, have no shingles and stay alone; rows of one doc_id are linked like others; a missing doc_id is
@@ -20,7 +22,8 @@ no candidate for a component's smallest, and a component of such rows alone has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,12 @@ from pyspark.sql.window import Window
 
 from quire.llm.components import stars
 from quire.llm.membership import bitmap, has
-from quire.llm.session import bounded_batches, column, materialised, partitions, shared_folder
+from quire.llm.session import bounded_batches, column, lean, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
-#: Counters of the frequency table, and of them in one row of its shuffle.
-COUNTERS, COUNTER_ROW = 1 << 20, 1 << 12
+#: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
+#: corpus's shingles keeps phrases of a dozen texts apart from words of one; fewer cost longer lists only.
+COUNTERS, COUNTER_ROW = 1 << 24, 1 << 16
 #: Members of a block.
 BLOCK = 1500
 #: Documents of a tree's leaf, children of a node, and bits of a bitmap at most.
@@ -63,14 +67,15 @@ def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
     """One byte a counter: how often, as a power of two over the mean, its shingles occur in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.uint32)
+        total = np.zeros(COUNTERS, dtype=np.uint16)
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for a, b in chunks(offsets):
                 runs, _ = _shingle_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 slots, n = np.unique((runs >> np.uint64(8)) & np.uint64(COUNTERS - 1), return_counts=True)
-                total[slots.astype(np.int64)] += n.astype(np.uint32)
-        rows = total.reshape(-1, COUNTER_ROW)
+                slots = slots.astype(np.int64)
+                total[slots] = np.minimum(total[slots] + n, 65_535)
+        rows = np.minimum(total, 255).astype(np.uint8).reshape(-1, COUNTER_ROW)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used.tolist()], pa.binary())], ["at", "counts"])
 
@@ -78,17 +83,19 @@ def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = total.setdefault(at, np.zeros(COUNTER_ROW, dtype=np.int64))
-                own += np.frombuffer(counts, dtype=np.uint32)
+                own = total.setdefault(at, np.zeros(COUNTER_ROW, dtype=np.uint32))
+                own += np.frombuffer(counts, dtype=np.uint8)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["at", "counts"])
 
-    made = texts.select("text").mapInArrow(count, "at bigint, counts binary").repartition(min(partitions(texts.sparkSession), COUNTERS // COUNTER_ROW), "at").mapInArrow(add, "at bigint, counts binary")
-    table = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), dtype=np.float64)
+    made = texts.select("text").mapInArrow(lean(count), "at bigint, counts binary").repartition(min(partitions(texts.sparkSession), COUNTERS // COUNTER_ROW), "at").mapInArrow(lean(add), "at bigint, counts binary")
+    table, total = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), dtype=np.uint16), 0
     for row in made.toLocalIterator():
-        table[row["at"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    mean = max(1.0, table.sum() / COUNTERS)
-    return np.clip(np.floor(np.log2(np.maximum(table.ravel(), 1) / (2 * mean))) + 1, 0, 60).astype(np.uint8)
+        counts = np.frombuffer(row["counts"], dtype=np.uint32)
+        total += int(counts.sum(dtype=np.int64))
+        table[row["at"]] = np.minimum(counts, 65_535)
+    over = np.maximum(np.arange(65_536), 1) / (2 * max(1.0, total / COUNTERS))
+    return np.clip(np.floor(np.log2(over)) + 1, 0, 60).astype(np.uint8)[table.ravel()]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int, classes: np.ndarray) -> Iterator[np.ndarray]:
@@ -104,48 +111,59 @@ def _node(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], dtype=np.uint64))[0].view(np.int64))
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for the low end of every token's hash; two to four bits a token."""
+    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, dtype=bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _features(texts: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set), n, and the prefix of the set."""
+    """doc_id, h (hash of the text), node (hash of the set), n, the prefix of the set, and its bitmap."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, bitmaps = [], [], [], []
             for a, b in chunks(offsets):
                 for tokens in _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, shared.value):
                     n = len(tokens)
                     nodes.append(_node(tokens) if n else None)
                     sizes.append(n)
+                    bitmaps.append(_bitmap(tokens) if n else None)
                     # From the top of the order downwards the frequent ones come first, so the prefix is at its start.
                     prefixes.append(tokens[: n - (percent * n + 99) // 100 + 1] if n else tokens)
             at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "h", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bitmaps, pa.binary())], ["doc_id", "h", "node", "n", "prefix", "bits"])
 
-    return texts.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, node bigint, n bigint, prefix array<bigint>")
+    return texts.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), "doc_id bigint, h bigint, node bigint, n bigint, prefix array<bigint>, bits binary")
 
 
-def _list_pairs(postings: DataFrame) -> DataFrame:
-    """(leader, member) of every list of two or more classes; the leader is its smallest class."""
+def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(leader, member) of every list of two or more classes, cut by size; the leader is its smallest class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, 0
         for batch in batches:
-            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, n, node = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
-            new = np.append(True, token[1:] != token[:-1])
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < n[1:] * percent)
             lead = node[np.flatnonzero(new)][np.cumsum(new) - 1].copy()
-            if last is not None and token[0] == last:
+            if last is not None and token[0] == last[0] and last[1] * 100 >= n[0] * percent:
                 run_end = np.flatnonzero(new)[1] if new.sum() > 1 else len(token)
                 lead[:run_end] = leader
-            last, leader = token[-1], lead[-1]
+            last, leader = (token[-1], n[-1]), lead[-1]
             pair = np.unique(np.stack([lead, node], axis=1)[lead != node], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["leader", "member"])
 
     spark = postings.sparkSession
-    return postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "node").mapInArrow(run, "leader bigint, member bigint").distinct()
+    dealt = postings.select("token", "n", "node").repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "node")
+    return dealt.mapInArrow(lean(run), "leader bigint, member bigint").distinct()
 
 
 def _cells(pairs: DataFrame) -> DataFrame:
@@ -181,36 +199,61 @@ def _chosen_sets(texts: DataFrame, k: int, classes: np.ndarray, bits: np.ndarray
                             sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return texts.select("doc_id", "text").mapInArrow(lean(run), "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 class SignatureTree:
-    """Members of a block under nodes of OR-combined bitmaps, size ranges and slack."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
-        self.percent, self.sets = percent, sets
-        self.size = np.array([len(s) for s in sets], dtype=np.int64)
-        flat_tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        _, local, count = np.unique(flat_tokens, return_inverse=True, return_counts=True)
+    """Members of a block under nodes of OR-combined bitmaps, size ranges and slack.
+
+    ``bits`` has a row of 64-bit words a member and ``slack`` its tokens beyond one a bit, which is what two
+    sets can share beyond their common bits.  ``near`` decides pairs that the bound leaves; without it they
+    are joined as they are.
+    """
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, slack: np.ndarray, percent: int, near: Callable[[int, np.ndarray], list[int]] | None = None, weight: np.ndarray | None = None, first: np.ndarray | None = None) -> None:
+        self.size, self.bits, self.slack, self.percent, self.near = size, bits, slack, percent, near
+        self.weight = weight if weight is not None else np.bitwise_count(bits & np.bitwise_or.reduce(bits, axis=0)).sum(axis=1) / np.maximum(1, size)
+        self.order = np.lexsort((size, first)) if first is not None else np.argsort(size, kind="stable")
+        self.parent = list(range(len(size)))
+        self.levels = self._levels()
+
+    @classmethod
+    def of_bitmaps(cls, size: list[int], maps: list[bytes], percent: int) -> SignatureTree:
+        """Of bitmaps of several widths: brought to the middle one, the wider folded, the narrower repeated."""
+        width = sorted(len(m) for m in maps)[len(maps) // 2]
+        rows, slack = np.empty((len(maps), width), dtype=np.uint8), np.empty(len(maps), dtype=np.int64)
+        for i, m in enumerate(maps):
+            own = np.frombuffer(m, dtype=np.uint8)
+            own = np.bitwise_or.reduce(own.reshape(-1, width), axis=0) if len(own) >= width else own
+            slack[i] = size[i] - int(np.bitwise_count(own).sum())
+            rows[i] = np.resize(own, width)
+        bits = rows.view(np.uint64)
+        lowest = np.argmax(bits != 0, axis=1) * 64 + np.log2((bits & -bits.view(np.int64).astype(np.uint64))[np.arange(len(bits)), np.argmax(bits != 0, axis=1)].astype(np.float64) + 1e-9).astype(np.int64)
+        return cls(np.array(size, dtype=np.int64), bits, slack, percent, first=lowest)
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], percent: int) -> SignatureTree:
+        """Of whole sets: bits number the tokens that two members at least have, so small blocks are exact."""
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, local, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         common = count > 1  # a token of one member is in no overlap
         number = np.cumsum(common) - 1
         keep = common[local]
         local, owner = number[local[keep]], owner[keep]
-        self.exact = int(common.sum()) <= BITMAP
-        width = max(64, min(BITMAP, -(-int(common.sum()) // 64) * 64))
+        tokens = int(common.sum())
+        width = max(64, min(BITMAP, -(-tokens // 64) * 64))
         grid = np.zeros((len(sets), width), dtype=bool)
         grid[owner, local % width] = True
-        self.bits = np.packbits(grid, axis=1).view(np.uint64)
         held = np.bincount(owner, minlength=len(sets))
-        #: Tokens beyond one a bit: what two sets can share beyond their common bits.
-        self.slack = held - grid.sum(axis=1)
-        self.weight = np.bincount(owner, weights=np.bincount(local, minlength=1)[local], minlength=len(sets)) / np.maximum(1, self.size)
+        weight = np.bincount(owner, weights=np.bincount(local, minlength=1)[local], minlength=len(sets)) / np.maximum(1, size)
         first = np.full(len(sets), 1 << 62, dtype=np.int64)
         np.minimum.at(first, owner, local)
-        self.order = np.lexsort((self.size, first))
-        self.parent = list(range(len(sets)))
-        self.levels = self._levels()
+
+        def near(i: int, others: np.ndarray) -> list[int]:
+            return [j for j in others.tolist() if 100 * (x := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= percent * (len(sets[i]) + len(sets[j]) - x)]
+
+        return cls(size, np.packbits(grid, axis=1, bitorder="little").view(np.uint64), held - grid.sum(axis=1), percent, None if tokens <= BITMAP else near, weight, first)
 
     def _levels(self) -> list[tuple[np.ndarray, ...]]:
         """From the leaves upwards: bitmap, least and largest size, slack of each node."""
@@ -245,14 +288,9 @@ class SignatureTree:
         others = others[(self.size[others] * 100 >= self.percent * self.size[i]) & (self.size[i] * 100 >= self.percent * self.size[others])]
         if not len(others):
             return
-        shared = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
-        need = self.least(self.size[others] + self.size[i])
-        if self.exact:
-            found = others[shared >= need]
-        else:
-            near = others[shared + np.minimum(self.slack[others], self.slack[i]) >= need]
-            found = [j for j in near.tolist() if 100 * (x := len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))) >= self.percent * (self.size[i] + self.size[j] - x)]
-        for j in found if isinstance(found, list) else found.tolist():
+        shared = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(self.slack[others], self.slack[i])
+        left = others[shared >= self.least(self.size[others] + self.size[i])]
+        for j in self.near(i, left) if self.near else left.tolist():
             self.join(i, j)
 
     def possible(self, level: int, x: int, ys: np.ndarray) -> np.ndarray:
@@ -265,7 +303,7 @@ class SignatureTree:
 
     def link(self) -> None:
         """Dual traversal from the top.  The member nearest to all is compared first: it joins most copies."""
-        n = len(self.sets)
+        n = len(self.size)
         if n == 2:
             self.compare(0, np.array([1]))
             return
@@ -302,16 +340,47 @@ class SignatureTree:
             self._visit(level - 1, c, below[below >= c])
 
     def forest(self) -> list[tuple[int, int]]:
-        return [(self.root(i), i) for i in range(len(self.sets)) if self.root(i) != i]
+        return [(self.root(i), i) for i in range(len(self.size)) if self.root(i) != i]
+
+
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """leader, cell, part, member: the groups of possible links in every block, by bitmaps alone."""
+
+    def solve(key: tuple, nodes: list[int], sizes: list[int], maps: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        if len(nodes) > 1:
+            tree = SignatureTree.of_bitmaps(sizes, maps, percent)
+            tree.link()
+            roots = [tree.root(i) for i in range(len(nodes))]
+            many = Counter(roots)
+            yield from ((*key, r, node) for r, node in zip(roots, nodes) if many[r] > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sizes, maps = (0, 0), [], [], []
+        names = ["leader", "cell", "part", "member"]
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for leader, cell, member, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (leader, cell) != key:
+                    out += solve(key, nodes, sizes, maps)
+                    key, nodes, sizes, maps = (leader, cell), [], [], []
+                nodes.append(member)
+                sizes.append(n)
+                maps.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names)
+        out = list(solve(key, nodes, sizes, maps))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names)
+
+    dealt = rows.select("leader", "cell", "member", "n", "bits").repartition(partitions(rows.sparkSession), "leader", "cell").sortWithinPartitions("leader", "cell")
+    return dealt.mapInArrow(lean(run), "leader bigint, cell bigint, part bigint, member bigint")
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b of every block's spanning forest."""
+    """Edges a, b of every group's spanning forest."""
 
     def solve(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         if len(nodes) < 2:
             return [], []
-        tree = SignatureTree(sets, percent)
+        tree = SignatureTree.of_sets(sets, percent)
         tree.link()
         forest = tree.forest()
         return [nodes[i] for i, _ in forest], [nodes[j] for _, j in forest]
@@ -321,11 +390,11 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         left: list[int] = []
         right: list[int] = []
         for batch in batches:
-            for leader, cell, member, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                if (leader, cell) != key:
+            for leader, cell, part, member, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if (leader, cell, part) != key:
                     a, b = solve(nodes, sets)
                     left, right = left + a, right + b
-                    key, nodes, sets = (leader, cell), [], []
+                    key, nodes, sets = (leader, cell, part), [], []
                 nodes.append(member)
                 sets.append(np.frombuffer(tokens, dtype=np.uint64))
             if left:
@@ -334,9 +403,9 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         a, b = solve(nodes, sets)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    spark = rows.sparkSession
-    dealt = rows.select("leader", "cell", "member", "tokens").repartition(partitions(spark), "leader", "cell").sortWithinPartitions("leader", "cell")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    keys = ["leader", "cell", "part"]
+    dealt = rows.select(*keys, "member", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -351,13 +420,15 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     texts = docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
     classes = frequency_classes(texts, shingle)
     features = materialised(_features(texts, shingle, percent, classes), folder, "features")
-    sets = features.where("node is not null").groupBy("node").agg(F.first("prefix").alias("prefix"))
-    pairs = materialised(_list_pairs(sets.select(F.explode("prefix").alias("token"), "node")), folder, "pairs")
-    members = pairs.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
-    labels = features.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LEAST)).alias("label"))
-    bits = bitmap(labels.join(members, "node").select("node", "label"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
-    chosen = _chosen_sets(texts, shingle, classes, bits)
-    edges = _links(_cells(pairs).join(chosen.withColumnRenamed("node", "member"), "member"), percent)
+    real = features.where("node is not null")
+    labels = real.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(_LEAST)).alias("label"))
+    sets = real.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    pairs = materialised(_list_pairs(sets.select(F.explode("prefix").alias("token"), "n", "node"), percent), folder, "pairs")
+    bitmaps = real.groupBy(F.col("node").alias("member")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    groups = materialised(_groups(_cells(pairs).join(bitmaps, "member"), percent), folder, "groups")
+    chosen = labels.join(groups.select(F.col("member").alias("node")).distinct(), "node").select("node", "label")
+    wanted = bitmap(chosen, lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
+    edges = _links(groups.join(_chosen_sets(texts, shingle, classes, wanted).withColumnRenamed("node", "member"), "member"), percent)
     roots = stars(edges, folder)
     rooted = labels.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("label") != _LEAST, F.col("label")).alias("label"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
@@ -385,7 +456,7 @@ def representatives(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
                 mask = has(shared.value, _key(batch.column("_d").to_numpy(), batch.column("_h").to_numpy()))
                 yield batch.filter(pa.array(mask if inside else ~mask))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return keyed.mapInArrow(lean(run), keyed.schema)
 
     one = Window.partitionBy("_d", "_h").orderBy(F.lit(0))
     checked = marked(True).join(doubtful, ["_d", "_h"], "left").withColumn("_n", F.row_number().over(one))

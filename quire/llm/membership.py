@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.session import partitions
+from quire.llm.session import lean, partitions
 
 #: Bits of the map (two megabytes), and of them in one row of its shuffle.
 BITS, ROW = 1 << 24, 1 << 16
@@ -38,7 +38,7 @@ def bitmap(rows: DataFrame, key: Callable[[pa.RecordBatch], np.ndarray]) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["at", "bits"])
 
     schema = "at bigint, bits binary"
-    made = rows.mapInArrow(slots, schema).repartition(min(partitions(rows.sparkSession), BITS // ROW), "at").mapInArrow(gather, schema)
+    made = rows.mapInArrow(lean(slots), schema).repartition(min(partitions(rows.sparkSession), BITS // ROW), "at").mapInArrow(lean(gather), schema)
     table = np.zeros((BITS // ROW, ROW // 8), dtype=np.uint8)
     for row in made.toLocalIterator():
         table[row["at"]] = np.frombuffer(row["bits"], dtype=np.uint8)
