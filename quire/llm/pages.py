@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.session import bounded_batches, column
+from quire.llm.session import bounded_batches, column, lean
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -167,6 +167,9 @@ TABLE = (
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (10, 0.6, 4, 1.0, 8, 0.7, 0, 0, 0, 0), (25, 0.8, 60, 0.0, 5, 1.0, 0, 0, 0, 0), (6, 0.2, 5, 0.9, 3, 1.0, 0, 0, 0, 0),
     (5, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (9, 0.0, 4, 0.6, 2, 1.0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 36, 0.0, 0, 0, 0, 0), (1, 1.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.9, 20, 0.0, 30, 0.0, 0, 0, 0, 0), (12, 1.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (8, 0.9, 0, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 1.0, 50, 0.0, 50, 0.0, 0, 0, 0, 0), (1, 1.0, 9, 0.0, 3, 0.0, 0, 0, 0, 0), (30, 0.9, 60, 0.0, 60, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 1), (5, 0.1, 60, 0.0, 20, 0.0, 0, 0, 0, 1), (4, 0.0, 70, 0.0, 70, 0.3, 0, 1, 0, 1), (12, 0.2, 30, 0.0, 80, 0.0, 0, 0, 0, 1),
     (7, 0.5, 50, 0.0, 6, 0.8, 0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0), (40, 0.9, 3, 1.0, 3, 1.0, 0, 0, 1, 0),
 )
 
@@ -228,4 +231,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source
             text = pa.array([main_text(x) for x in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], text], [*keep, "text"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["text string"]))
+    return rows.mapInArrow(lean(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["text string"]))
