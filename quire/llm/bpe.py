@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.pretokens import NOT_PLAIN, PIECE, PackedWords, encode_rows, library, special_pattern, vocabulary
-from quire.llm.session import bounded_batches, column
+from quire.llm.session import bounded_batches, column, lean
 
 LONG_WORD = 160
 _NONE = 1 << 60
@@ -139,7 +139,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
             made = [pa.array([r[i] for r in rows], type=kind) for i, (_, kind, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *(n for n, _, _ in fields)])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def digests(ids: list[int], back: str) -> tuple[int, str, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.session import bounded_batches, column
+from quire.llm.session import bounded_batches, column, lean
 from quire.llm.spans import ALNUM, LOWER_VALUE, Prefix, chunks, flat, shingles, words
 
 #: Windows of a broadcast block: about 200 bytes each, so a block is some 100 MB at most.
@@ -145,7 +145,7 @@ def _counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[tuple[int, i
             if len(seen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k)), pa.array(v[seen].view(np.int64)), pa.array(total[k][seen])], ["k", "gram", "n"])
 
-    found = docs.select(column(docs, "text").cast("string").alias("text")).mapInArrow(run, "k bigint, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    found = docs.select(column(docs, "text").cast("string").alias("text")).mapInArrow(lean(run), "k bigint, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     return {(r["k"], r["gram"] & (2**64 - 1)): r["n"] for r in found.toLocalIterator()}
 
 
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
                 made = [pa.array(n.astype(np.int64)), pa.array([[{"start": s, "end": e} for s, e in merged(x)] for x in spans], type=span_type), pa.array([sorted(x) for x in hit], type=pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_words", "spans", "items"])
 
-        return source.mapInArrow(run, ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
+        return source.mapInArrow(lean(run), ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
 
     parts = [one(b) for b in _blocks(wanted, window)] or [one(None)]
     return parts[0] if len(parts) == 1 else _joined(parts, source, keep, kept, span_type)
@@ -209,7 +209,7 @@ def _joined(parts: list[DataFrame], source: DataFrame, keep: tuple[str, ...], ke
             spans = pa.array([[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in row])] for row in batch.column(at).to_pylist()], type=span_type)
             yield pa.RecordBatch.from_arrays([spans if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return grouped.drop("_row").mapInArrow(run, ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
+    return grouped.drop("_row").mapInArrow(lean(run), ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

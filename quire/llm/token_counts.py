@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.pretokens import library_ids, widths
-from quire.llm.session import bounded_batches, column
+from quire.llm.session import bounded_batches, column, lean
 
 RULES = ("start", "end", "split")
 
@@ -108,4 +108,4 @@ def attribute(docs: DataFrame, path: str, sections: Callable[[str], list[tuple[s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(total, pa.int64()), pa.array(outside, pa.int64()), lists], [*keep, "n_tokens", "n_outside", "sections"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*kept, "n_tokens bigint", "n_outside bigint", "sections array<struct<label: string, start: bigint, end: bigint, tokens: double, crossing: bigint>>"]))
+    return source.mapInArrow(lean(run), ", ".join([*kept, "n_tokens bigint", "n_outside bigint", "sections array<struct<label: string, start: bigint, end: bigint, tokens: double, crossing: bigint>>"]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.pretokens import library_ids
-from quire.llm.session import bounded_batches, column, partitions
+from quire.llm.session import bounded_batches, column, lean, partitions
 
 #: Bytes of a row group and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
@@ -57,7 +57,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, files
         "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
         "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.column.index.enabled": "true",
     }
-    ranges.mapInArrow(run, SCHEMA).write.mode("overwrite").options(**options).parquet(folder)
+    ranges.mapInArrow(lean(run), SCHEMA).write.mode("overwrite").options(**options).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -88,4 +88,4 @@ def checksums(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
