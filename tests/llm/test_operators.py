@@ -301,6 +301,19 @@ def test_repeats(docs, rows, nothing):
         repeats.dedupe(docs, ("doc_id", "h"))
 
 
+def test_hot_tokens_give_the_same(spark):
+    from quire.llm import repeats
+
+    r = random.Random(2)
+    shared = bytes(r.randrange(97, 100) for _ in range(130))
+    rows = [(7, i % 40, 0, 10 * i, shared[: r.randint(90, 130)] + bytes(r.randrange(97, 123) for _ in range(r.randint(10, 40)))) for i in range(80)]
+    rows += [(7, 50, 0, 0, shared), (7, 51, 0, 5, shared)]
+    contexts = spark.createDataFrame(rows, "gram bigint, doc bigint, h bigint, start bigint, bytes binary").repartition(3)
+    covered = lambda df: {(x["doc"], x["h"], b) for x in df.collect() for b in range(x["start"], x["end"])}
+    one, two = covered(repeats._resolved(contexts)), covered(repeats._resolved_hot(contexts))
+    assert one == two and one
+
+
 def test_equal_strings():
     from quire.llm.repeats import equal_strings
 
