@@ -123,7 +123,7 @@ def protect(fragment: str) -> tuple[str, dict[str, str]]:
     for.  Numbers run through figures, then images, then code and media, so they aren't in reading order."""
     root, held = parse(fragment), {}
     if TOKEN.search(root.text()):
-        raise ValueError("Source contains reserved placeholder tokens")
+        raise ValueError("the source already holds placeholders")
 
     def shield(node: Node, kind: str) -> None:
         token = f"[[{kind}_{len(held) + 1}]]"
@@ -147,7 +147,7 @@ def token_error(fragment: str, expected: list[str]) -> str | None:
     missing, invented = sorted(set(expected).difference(found)), sorted(set(found).difference(expected))
     twice = sorted({t for t in found if found.count(t) > 1})
     moved = not missing and not invented and found != expected
-    return f"missing={missing}; invented={invented}; duplicates={twice}; reordered={moved}" if missing or invented or twice or moved else None
+    return f"lacking {missing}, unknown {invented}, repeated {twice}, out of order: {moved}" if missing or invented or twice or moved else None
 
 
 def repair_tokens(fragment: str, expected: list[str]) -> tuple[str, list[str]]:
@@ -204,7 +204,7 @@ def restore(fragment: str, held: dict[str, str]) -> str:
             text, new, at = node.children[i], [], 0
             for m in TOKEN.finditer(text):
                 if m[0] not in held:
-                    raise ValueError(f"Unknown protected placeholder during restore: {m[0]}")
+                    raise ValueError(f"no object is held for {m[0]}")
                 new += [text[at : m.start()], *parse(held[m[0]]).children]
                 at = m.end()
             new = [x for x in [*new, text[at:]] if x != ""]
@@ -234,7 +234,7 @@ def units(fragment: str, limit: int, references: dict[str, str] | None = None) -
                 visit(child, [*shells, node])
             return
         if size(text) > limit and not (isinstance(node, Node) and node.name in WRAPPERS):
-            raise ValueError("An indivisible XHTML block exceeds the chunk limit; raise --chunk-tokens")
+            raise ValueError("a block that can't be divided is over the limit of --chunk-tokens")
         for shell in reversed(shells):
             text = shell.open_tag("id" if id(shell) in opened else "") + f">{text}</{shell.name}>"
         opened.update(id(s) for s in shells)
@@ -263,32 +263,32 @@ def parse_response(response: str, existing: dict[str, str], normalise: Callable[
     """Body, title and terms of a response of a summary section and a glossary list; raises what is wrong."""
     upper = response.upper()
     if "<!DOCTYPE" in upper or "<!ENTITY" in upper:
-        raise ValueError("DTD/entities are forbidden in model output")
+        raise ValueError("answers may define no document type or entities")
     try:
         strict = ElementTree.fromstring(f"<root>{response}</root>")
     except ElementTree.ParseError:
-        raise ValueError("Return a well-formed XHTML fragment, without Markdown or preamble") from None
+        raise ValueError("the answer is no well-formed XHTML; give the two elements and nothing around them") from None
     if len(strict) != 2 or any(((strict.text or "") + "".join(x.tail or "" for x in strict)).split()):
-        raise ValueError("Expected only summary section and glossary dl")
+        raise ValueError("the answer must be one section and one dl")
     root = parse(response)
     if normalise:
         convert(root, normalise)
     of = lambda name, role: next((c for c in root.children if isinstance(c, Node) and c.name == name and c.attrs.get("data-role") == role), None)
     summary, glossary = of("section", "summary"), of("dl", "glossary")
     if summary is None or glossary is None or not summary.attrs.get("data-title"):
-        raise ValueError("Missing summary section, data-title or glossary dl")
+        raise ValueError("the summary section, its data-title or the glossary dl is missing")
     violations = policy(summary)
     if violations:
         raise ValueError(violations[0])
     entries = [c for c in glossary.children if isinstance(c, Node) and c.name in ("dt", "dd")]
     if len(entries) % 2 or any(e.name != ("dt", "dd")[i % 2] for i, e in enumerate(entries)):
-        raise ValueError("Glossary must alternate dt and dd in pairs")
+        raise ValueError("dt and dd must come in pairs")
     terms: dict[str, str] = {}
     for term, rendering in zip((e.text().strip() for e in entries[::2]), (e.text().strip() for e in entries[1::2])):
         if not term or not rendering:
-            raise ValueError("Empty glossary entry")
+            raise ValueError("a term or its rendering is empty")
         if existing.get(term, rendering) != rendering:
-            raise ValueError(f"Glossary conflict: {term!r} must be {existing[term]!r}")
+            raise ValueError(f"term conflict: {term!r} is {existing[term]!r} already")
         terms[term] = rendering
     return summary.inner(), summary.attrs["data-title"], terms
 
@@ -298,11 +298,11 @@ def policy(tree: Node) -> list[str]:
     out = []
     for n in tree.walk():
         if n.name in FORBIDDEN:
-            out.append("Generated executable content/images are forbidden; use placeholders")
+            out.append("generated scripts, styles or pictures; use placeholders")
         if any(k.lower().startswith("on") for k in n.attrs):
-            out.append("Event handlers are forbidden")
+            out.append("generated event handlers")
         if n.attrs.get("href", "").lower().startswith(("javascript:", "data:")):
-            out.append("Unsafe href")
+            out.append("generated href of an unsafe scheme")
     return out
 
 

@@ -22,11 +22,11 @@ def parse_indices(expression: str, count: int) -> list[int]:
     for item in expression.split(","):
         found = _ITEM.fullmatch(item)
         if not found:
-            raise ValueError("Empty chapter selection" if not item.strip() else f"Invalid chapter range: {item.strip()!r}")
+            raise ValueError("an item of the selection is empty" if not item.strip() else f"no index or range: {item.strip()!r}")
         low = int(found[1])
         high = low if not found[2] else int(found[3]) if found[3] else count
         if not 1 <= low <= high <= count:
-            raise ValueError(f"Chapter range {item.strip()!r} is outside 1-{count}")
+            raise ValueError(f"{item.strip()!r} is not within 1-{count}")
         chosen.update(range(low, high + 1))
     return sorted(chosen)
 
@@ -40,14 +40,14 @@ def resolve(chapters: Iterable[tuple[int, str, bool]], indices: str | None = Non
     for pattern in titles:
         found = [i for i, title, _ in rows if pattern.casefold() in title.casefold()]
         if len(found) != 1:
-            raise ValueError(f"Title pattern {pattern!r} matched {len(found)} chapters; use indices")
+            raise ValueError(f"{pattern!r} is in {len(found)} titles; give indices instead")
         wanted.add(found[0])
     if exclude:
         wanted -= set(parse_indices(exclude, len(rows)))
     if skip_front_matter:
         wanted -= {i for i, _, front in rows if front}
     if not wanted:
-        raise ValueError("No chapters selected (check front-matter filtering)")
+        raise ValueError("nothing is selected (front matter is left out by default)")
     return sorted(wanted)
 
 

@@ -638,7 +638,7 @@ def x15_retry_delay(spark, d):
     return table(spark, d, "documents").select(i, F.least(F.lit(600.0), F.when(i % 3 == 0, i.cast("double")).otherwise(F.least(F.lit(60.0), F.pow(F.lit(2.0), i % 8)))).alias("delay"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Glossary conflict' WHEN doc_id % 7 = 0 THEN 'Return a well' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'term conflict' WHEN doc_id % 7 = 0 THEN 'the answer is no' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title FROM documents")
 def d07_parse_response(spark, d):
     """Responses read, or what is wrong with them."""
     from quire.operators.markup import parse_response
@@ -658,7 +658,7 @@ def d07_parse_response(spark, d):
     response = F.concat(F.lit('<section data-role="summary" data-title="'), F.col("source"), F.lit('"><p>x</p></section><dl data-role="glossary"><dt>term</dt><dd>'), rendering, F.lit("</dd></dl>"))
     sent = F.when((i % 7 == 0) & (i % 5 != 0), F.concat(F.lit("<p>"), response)).otherwise(response)
     rows = table(spark, d, "documents").select("doc_id", read(sent).alias("r"))
-    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(Glossary conflict|Return a well)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"))
+    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(term conflict|the answer is no)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"))
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
