@@ -12,7 +12,8 @@ smallest hash is its anchor, so equal strings have their anchors at one offset,
 3. Tokens with several contexts fetch their bytes (earliest suffix of each context), are range-partitioned by
    splitters that Spark samples, and each bucket sorts all strings of its contexts by multikey quicksort:
    eight leading bytes at a time, ties alone go on.  Equal strings but the earliest are repeats.  A token is
-   never cut by a boundary; strings of tokens on either side of one differ by their anchors.
+   never cut by a boundary; strings of tokens on either side of one differ by their anchors.  A token of more
+   contexts than a fair bucket is none: its strings are dealt out by hashes of all their bytes.
 4. The repeats go back to their texts.
 
 Texts without any repeat (most, by a bitmap of fixed size) are never shuffled.  Order is by doc_id, then by a
@@ -27,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.membership import bitmap, has
-from quire.llm.session import bounded_batches, column, materialised, partitions, shared_folder
+from quire.llm.session import bounded_batches, column, lean, materialised, partitions, shared_folder
 from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 
 LENGTH, GRAM = 100, 24
+#: A token of more contexts than a fair bucket has, and than this, is too large for one bucket.
+HOT = 500
 #: Anchors of a task that are combined at once.
 COMBINE = 300_000
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("h", "<u4"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
@@ -140,7 +144,7 @@ def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return texts.select("doc", "h", "text").mapInArrow(run, "bucket int, blob binary")
+    return texts.select("doc", "h", "text").mapInArrow(lean(run), "bucket int, blob binary")
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -181,7 +185,7 @@ def _judged(suffixes: DataFrame) -> DataFrame:
             yield from judge(held)
 
     dealt = suffixes.repartition(partitions(suffixes.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _FOUND)
+    return dealt.mapInArrow(lean(run), _FOUND)
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +256,36 @@ def _resolved(contexts: DataFrame) -> DataFrame:
             yield solve(held)
 
     dealt = contexts.repartitionByRange(partitions(contexts.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.select("gram", "doc", "h", "start", "bytes").mapInArrow(run, "doc bigint, h bigint, start bigint, end bigint")
+    return dealt.select("gram", "doc", "h", "start", "bytes").mapInArrow(lean(run), "doc bigint, h bigint, start bigint, end bigint")
+
+
+def _resolved_hot(contexts: DataFrame) -> DataFrame:
+    """The same for tokens of very many contexts, whose strings are dealt out by hashes of their own.
+
+    A task combines its equal strings first, so a passage that many documents share is one row a task.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, h, lo = (batch.column(c).to_numpy() for c in ("doc", "h", "start"))
+            data, offsets = flat(batch.column("bytes"))
+            many = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+            own = np.repeat(np.arange(len(many)), many)
+            at = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
+            strings = Prefix(data, BYTE_VALUE).fixed(LENGTH)
+            key = strings[offsets[own] + at].view(np.int64) if len(own) else np.zeros(0, dtype=np.int64)
+            start = lo[own] + at
+            order = np.lexsort((start, h[own], doc[own], key))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = key[order[1:]] != key[order[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(doc[own][order]), pa.array(h[own][order]), pa.array(start[order]), pa.array(~first)], ["key", "doc", "h", "start", "later"])
+
+    strings = contexts.select("doc", "h", "start", "bytes").mapInArrow(lean(explode), "key bigint, doc bigint, h bigint, start bigint, later boolean")
+    firsts = strings.where("not later")
+    least = firsts.groupBy("key").agg(F.min(F.struct("doc", "h", "start")).alias("least"))
+    beaten = firsts.join(least, "key").where(F.struct("doc", "h", "start") != F.col("least"))
+    both = strings.where("later").select("doc", "h", "start").unionByName(beaten.select("doc", "h", "start"))
+    return both.select("doc", "h", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def _contexts(texts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -269,23 +302,22 @@ def _contexts(texts: DataFrame, requests: DataFrame) -> DataFrame:
                         column_.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["gram", "doc", "h", "start", "bytes"])
 
-    return texts.join(asked, ["doc", "h"]).select("doc", "h", "text", "asked").mapInArrow(run, "gram bigint, doc bigint, h bigint, start bigint, bytes binary").dropDuplicates(["gram", "doc", "h", "start"])
+    return texts.join(asked, ["doc", "h"]).select("doc", "h", "text", "asked").mapInArrow(lean(run), "gram bigint, doc bigint, h bigint, start bigint, bytes binary").dropDuplicates(["gram", "doc", "h", "start"])
 
 
 def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) ^ mix(h.astype(np.uint64) + np.uint64(1)))
 
 
-def _marked(texts: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
-    """Rows that a bitmap of (doc, h) has, or those that it has not."""
+def _marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows that a bitmap of (doc, h) has."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = has(shared.value, _key(batch.column("doc").to_numpy(), batch.column("h").to_numpy()))
-            yield batch.filter(pa.array(mask if inside else ~mask))
+            yield batch.filter(pa.array(has(shared.value, _key(batch.column("doc").to_numpy(), batch.column("h").to_numpy()))))
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(lean(run), texts.schema)
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
@@ -295,13 +327,17 @@ def _bits(rows: DataFrame) -> np.ndarray:
 def find(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """The texts with their keys; the removed byte ranges (doc, h, start, end; they may overlap); and the
     bitmap of texts that have any."""
+    spark = docs.sparkSession
     texts = docs.select(*(column(docs, c).alias(c) for c in keep), F.coalesce(column(docs, "doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc"), column(docs, "text").cast("string").alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    judged = materialised(_judged(_suffixes(texts, 4 * partitions(docs.sparkSession))), folder, "judged")
+    judged = materialised(_judged(_suffixes(texts, 4 * partitions(spark))), folder, "judged")
     requests = judged.where("gram is not null")
-    asked = _marked(texts.select("doc", "h", "text"), _bits(requests), True)
+    asked = _marked(texts.select("doc", "h", "text"), _bits(requests))
     contexts = materialised(_contexts(asked, requests), folder, "contexts")
-    ranges = materialised(judged.where("gram is null").select("doc", "h", "start", "end").unionByName(_resolved(contexts)), folder, "ranges")
+    fair = max(HOT, contexts.count() // partitions(spark))
+    hot = contexts.groupBy("gram").count().where(F.col("count") > fair).select("gram")
+    repeats = _resolved(contexts.join(hot, "gram", "left_anti")).unionByName(_resolved_hot(contexts.join(hot, "gram", "left_semi")))
+    ranges = materialised(judged.where("gram is null").select("doc", "h", "start", "end").unionByName(repeats), folder, "ranges")
     return texts, ranges, _bits(ranges)
 
 
@@ -343,15 +379,19 @@ def dedupe(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), characters: boo
             spans = pa.array([[{"start": a, "end": b} for a, b in m[2]] for m in made], span_type)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([m[1] for m in made], pa.int64()), spans, pa.array([m[0] for m in made], pa.binary())], [*keep, "n_bytes", "spans", "kept"])
 
+    shared = spark.sparkContext.broadcast(bits)
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marked = has(shared.value, _key(batch.column("doc").to_numpy(), batch.column("h").to_numpy()))
+            batch = batch.filter(pa.array(~marked))
             data = batch.column("text").fill_null("").cast(pa.binary())
-            n = [len(x) for x in data.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array([[]] * len(n), span_type), data], [*keep, "n_bytes", "spans", "kept"])
+            n = pc.fill_null(pc.binary_length(data), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n, pa.array([[]] * batch.num_rows, span_type), data], [*keep, "n_bytes", "spans", "kept"])
 
-    whole = _marked(texts, bits, False).mapInArrow(clean, schema)
+    whole = texts.mapInArrow(lean(clean), schema)
     by_text = ranges.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    changed = _marked(texts, bits, True).join(by_text, ["doc", "h"], "left").select(*keep, "text", "ranges").mapInArrow(run, schema)
+    changed = _marked(texts, bits).join(by_text, ["doc", "h"], "left").select(*keep, "text", "ranges").mapInArrow(lean(run), schema)
     return whole.unionByName(changed)
 
 
