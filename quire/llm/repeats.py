@@ -41,6 +41,8 @@ LENGTH, GRAM = 100, 24
 HOT = 500
 #: Anchors of a task that are combined at once.
 COMBINE = 300_000
+#: Repeats that a task has found, in one row of the shuffle.
+LOCAL_ROWS = 2_000
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("h", "<u4"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
 _LEAST = -(2**63)
 
@@ -118,7 +120,7 @@ def _found(rows: np.ndarray, gram: np.ndarray | None) -> pa.RecordBatch:
 def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
     """Packed anchors by bucket of the leading token, and (in rows of their own) repeats that a task found."""
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
         rows, begins, repeats = _sorted(np.concatenate(held))
         local = rows[repeats & ~begins]
         rows = rows[begins]
@@ -126,23 +128,25 @@ def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
         blobs = [b"".join(part[f].tobytes() for f in _ANCHOR.names) for part in np.split(rows, cut[1:])] if len(rows) else []
         where = bucket[cut].astype(np.int32).tolist()
-        if len(local):
-            blobs += [b"".join(part[f].tobytes() for f in _ANCHOR.names) for part in np.array_split(local, 1 + len(local) // 20_000)]
-            where += [-1 - int(part["gram"][0] % np.uint64(buckets)) for part in np.array_split(local, 1 + len(local) // 20_000)]
+        parts = np.array_split(local, 1 + len(local) // LOCAL_ROWS) if len(local) else []
+        blobs += [b"".join(part[f].tobytes() for f in _ANCHOR.names) for part in parts]
+        where += [-1 - int(p) for p in mix(np.arange(len(parts), dtype=np.uint64) + (np.uint64(task) << np.uint64(32))) % np.uint64(buckets)]
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        from pyspark import TaskContext
+
+        held, size, task = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             doc, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
             for found in _segments(*flat(batch.column(2))):
                 held.append(_records(found, doc, h))
                 size += len(held[-1])
             if size >= COMBINE:
-                yield from flush(held)
+                yield from flush(held, task)
                 held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, task)
 
     return texts.select("doc", "h", "text").mapInArrow(lean(run), "bucket int, blob binary")
 
