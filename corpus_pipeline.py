@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, jaccard, leaks, repeats, toxicity
 from quire.llm.queries import table, tokenizer_path
-from quire.llm.session import materialised, shared_folder
+from quire.llm.session import drop, materialised, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = materialised(docs, folder, name)
+            if n:  # the stage before has been read for the last time
+                drop(spark, f"{folder}/{STAGES[n - 1][0]}")
     return docs

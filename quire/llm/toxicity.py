@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.session import bounded_batches, column
+from quire.llm.session import bounded_batches, column, lean, release
 from quire.llm.spans import ALNUM, LOWER_VALUE, Prefix, chunks, flat, mix, words
 
 #: Bounds of the labelled sample, in rows.
-TRAIN_TOXIC, TRAIN_ORDINARY = 2000, 4000
+TRAIN_TOXIC, TRAIN_ORDINARY = 1500, 3000
 #: Words of a window, and bytes of a word's code.
 WINDOW, CODE = 4, 12
 #: Words that both dictionaries share, and the most of a class's own.
@@ -64,8 +64,8 @@ def _contexts(hashes: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[
     context = mix(before[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix(after[at] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mix(hashes[at])))
     _, new = np.unique(context, return_index=True)
     at = at[new]
-    pair = np.unique(np.stack([hashes[at], row[at].astype(np.uint64)], axis=1), axis=0)
-    words_, count = np.unique(pair[:, 0], return_counts=True)
+    _, once = np.unique(hashes[at] * np.uint64(0x9E3779B97F4A7C15) + mix(row[at].astype(np.uint64)), return_index=True)
+    words_, count = np.unique(hashes[at[once]], return_counts=True)
     return words_, count, len(rows)
 
 
@@ -215,13 +215,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = own.where("y = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(own.where("y = 0").orderBy(*order).limit(TRAIN_ORDINARY))
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    # One text an id, so that repeated rows don't exceed the bound.
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of these tables; the driver holds the bounded sample alone."""
-    rows = training_rows(docs, labels).toPandas().sort_values(["doc_id", "text"], na_position="first")
-    return train(rows["text"].tolist(), rows["y"].tolist())
+    rows = sorted(training_rows(docs, labels).toLocalIterator(), key=lambda r: r["doc_id"])
+    try:
+        return train([r["text"] for r in rows], [r["y"] for r in rows])
+    finally:
+        release()
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -237,4 +241,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
             scores = pa.array(scorer.scores(batch.column(len(keep))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], [*keep, name])
 
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{name}` double"]))
+    return source.mapInArrow(lean(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{name}` double"]))
