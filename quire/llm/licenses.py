@@ -52,7 +52,7 @@ def template_positions(spark: SparkSession, base=BASE, templates=TEMPLATES) -> D
     rows = [(n, label, text.split(), n < len(base)) for n, (label, text) in enumerate([*base, *templates])]
     flat = [(n, label, b, len(w), len(w) - K + 1, at, w[at : at + K]) for n, label, w, b in rows for at in range(len(w) - K + 1)]
     table = spark.createDataFrame(flat, "template int, label string, base boolean, size int, grams int, at int, words array<string>")
-    table = table.select("*", F.xxhash64(F.element_at("words", 1), F.element_at("words", 2), F.element_at("words", 3)).alias("gram"))
+    table = table.select("*", F.xxhash64(*(F.xxhash64(F.element_at("words", n + 1)) for n in range(K))).alias("gram"))
     mark = spark.range(1).select(F.lit(_NONE).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("size"), F.lit(0).alias("grams"), F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("words"), F.lit(_NONE).cast("bigint").alias("gram"))
     return table.unionByName(mark)
 
@@ -62,11 +62,10 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     ``spans array<struct<start, end, label, share>>`` of the templates."""
     spark = docs.sparkSession
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.regexp_extract_all(F.coalesce(column(docs, "text").cast("string"), F.lit("")), F.lit(_WORD), F.lit(0)))).alias("text_words"))
-    w = F.col("text_words")
-    grams = F.transform(
-        F.slice(w, F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(0))),
-        lambda x, i: F.xxhash64(F.lower(x), F.lower(F.get(w, i + 1)), F.lower(F.get(w, i + 2))),
-    )
+    # Generators between the steps keep each array from being computed again at each of its elements.
+    rows = rows.select("*", F.explode(F.array(F.transform("text_words", lambda x: F.xxhash64(F.lower(x))))).alias("hashes"))
+    h = F.col("hashes")
+    grams = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (K - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
     every = rows.select("doc_id", "row", "text_words", F.posexplode(F.array_append(grams, F.lit(_NONE).cast("bigint"))).alias("pos", "gram"))
     hits = every.join(F.broadcast(template_positions(spark, base, templates)), "gram")
     low = F.transform(F.slice("text_words", F.col("pos") + 1, F.lit(K)), lambda x: F.translate(x, string.ascii_uppercase, string.ascii_lowercase))
@@ -85,7 +84,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     )
     spans = spans.withColumn("share", F.col("n_covered") / F.greatest(F.col("size"), F.lit(1)))
     # Of templates that begin at one word, those with the largest share stand.
-    spans = spans.withColumn("best", F.max(F.when(~F.col("base"), F.col("share"))).over(Window.partitionBy("row", "start")))
+    spans = spans.withColumn("best", F.max(F.when(~F.col("base") & (F.col("template") != _NONE), F.col("share"))).over(Window.partitionBy("row", "start")))
     share = F.col("share")
     real = F.col("template") != _NONE
     place = F.when(real & F.col("base") & (F.col("n_ats") == F.col("grams")), F.struct(F.col("start").cast("bigint").alias("start"), F.col("label")))
