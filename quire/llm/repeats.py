@@ -43,7 +43,7 @@ HOT = 500
 COMBINE = 300_000
 #: Repeats that a task has found, in one row of the shuffle.
 LOCAL_ROWS = 2_000
-_ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("h", "<u4"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
+_ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
 _LEAST = -(2**63)
 
 
@@ -91,7 +91,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.nd
 
 def _records(found: dict[str, np.ndarray], doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.empty(len(found["lo"]), dtype=_ANCHOR)
-    out["gram"], out["context"] = found["gram"], found["context"] >> np.uint64(32)
+    out["gram"], out["context"] = found["gram"], found["context"]
     out["doc"], out["h"], out["lo"] = doc[found["row"]], h[found["row"]], found["lo"]
     out["back"], out["span"] = found["at"] - found["lo"], found["hi"] - found["lo"]
     return out
@@ -114,7 +114,7 @@ def _found(rows: np.ndarray, gram: np.ndarray | None) -> pa.RecordBatch:
     """Repeats (no gram): removed bytes.  Requests (gram): first and past-the-last byte of a context."""
     start = rows["lo"].astype(np.int64)
     grams = pa.nulls(len(rows), pa.int64()) if gram is None else pa.array(gram.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["h"].astype(np.int64)), pa.array(start), pa.array(start + rows["span"] + LENGTH), grams], ["doc", "h", "start", "end", "gram"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["h"]), pa.array(start), pa.array(start + rows["span"] + LENGTH), grams], ["doc", "h", "start", "end", "gram"])
 
 
 def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
 
         held, size, task = [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            doc, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
+            doc, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for found in _segments(*flat(batch.column(2))):
                 held.append(_records(found, doc, h))
                 size += len(held[-1])
@@ -333,7 +333,8 @@ def find(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",)) -> t
     bitmap of texts that have any."""
     spark = docs.sparkSession
     texts = docs.select(*(column(docs, c).alias(c) for c in keep), F.coalesce(column(docs, "doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc"), column(docs, "text").cast("string").alias("text"))
-    texts = texts.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    h = F.xxhash64("text")  # its lower half, unsigned, comes first in the order
+    texts = texts.withColumn("h", F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32)).bitwiseXOR(F.lit(_LEAST)))
     judged = materialised(_judged(_suffixes(texts, 4 * partitions(spark))), folder, "judged")
     requests = judged.where("gram is not null")
     asked = _marked(texts.select("doc", "h", "text"), _bits(requests))
