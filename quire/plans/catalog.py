@@ -494,7 +494,7 @@ _ESCAPE = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt
 @query(f"SELECT page_id, {_ESCAPE.format(x='substr(html, 1, 400)')} AS escaped FROM pages")
 def x8_escape(spark, d):
     """Markup-safe text."""
-    return table(spark, d, "pages").select("page_id", T.escape(F.substring("html", 1, 400)).alias("escaped"))
+    return table(spark, d, "pages").select("page_id", T.escape(F.col("html")).alias("escaped"))
 
 
 @query("""WITH t AS (SELECT split_part(text, ' ', 1) AS term, arg_min(split_part(text, ' ', 2), doc_id) AS rendering, source FROM documents WHERE text IS NOT NULL GROUP BY source, term)
