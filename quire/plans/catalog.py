@@ -621,8 +621,7 @@ def x10_url_parts(spark, d):
 @query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(substr(text, 1, 40)::BLOB) AS uri FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[ -~]*')")
 def x11_data_uri(spark, d):
     """X11: data URIs."""
-    head = F.substring("text", 1, 40)
-    return table(spark, d, "documents").where(head.rlike("^[ -~]*$")).select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.base64(head.cast("binary"))).alias("uri"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "\\s", "")).alias("uri"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS modified FROM events")

@@ -10,6 +10,7 @@ ESCAPED = catalog._ESCAPE.format(x="html")
 WHOLE = {
     "d11_run_books": "SELECT source AS book_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS idx, source || ' ' || doc_id AS title, true AS translated FROM documents",
     "x8_escape": f"SELECT page_id, {ESCAPED} AS escaped FROM pages",
+    "x11_data_uri": "SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM documents",
 }
 
 
