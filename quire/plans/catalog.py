@@ -440,13 +440,13 @@ def l2_preview(spark, d):
 def w2_carry_previous(spark, d):
     """What the last successful chapter gave."""
     rows = table(spark, d, "documents").select("doc_id", "source", "text", (F.col("lang") != "de").alias("ok"))
-    return P.carry_previous(rows, "source", "doc_id", "text", "ok", 1200).select("doc_id", "previous")
+    return P.carry_previous(rows, "source", "doc_id", "text", "ok").select("doc_id", "previous")
 
 
 @query("""SELECT conv_id, turn, coalesce(right(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 600), '') AS tail FROM conversations""")
 def w3_prefix_tail(spark, d):
     """The end of all earlier parts."""
-    return P.previous_parts(table(spark, d, "conversations"), "conv_id", "turn", "text", 600).select("conv_id", "turn", "tail")
+    return P.previous_parts(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "tail")
 
 
 @query("SELECT user_id, event_id, min_by(value, event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events")

@@ -11,6 +11,8 @@ WHOLE = {
     "d11_run_books": "SELECT source AS book_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS idx, source || ' ' || doc_id AS title, true AS translated FROM documents",
     "x8_escape": f"SELECT page_id, {ESCAPED} AS escaped FROM pages",
     "x11_data_uri": "SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM documents",
+    "w2_carry_previous": "SELECT doc_id, coalesce(substr(last_value(CASE WHEN lang <> 'de' THEN text END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1, 12000), '') AS previous FROM documents",
+    "w3_prefix_tail": "SELECT conv_id, turn, coalesce(right(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6000), '') AS tail FROM conversations",
 }
 
 
