@@ -7,7 +7,8 @@ the whole window is then compared.  The item side is a stated query set: it is b
 ``BLOCK_WINDOWS`` windows and the documents are passed once a block, whatever its size.
 
 Defined results: null and empty texts have no words; items without words have no window; items of fewer words
-than a window are one window; repeated item rows count once by item_id; documents are judged row by row.
+than a window are one window; repeated item rows count once by item_id; windows of items without item_id count for
+spans, but not among items; documents are judged row by row.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHINGLE = 4
 class Block:
     """Windows of some items: word hashes, items, and shingle tables."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int) -> None:
         self.items = [i for i, _ in items]
         self.lengths: dict[int, dict] = {}
         rows: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -107,7 +108,7 @@ def find(block: Block, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[
 
 def _blocks(items: DataFrame, window: int) -> Iterator[Block]:
     """Blocks of the item side; the driver holds one at a time."""
-    held: list[tuple[str, np.ndarray]] = []
+    held: list[tuple[str | None, np.ndarray]] = []
     size = 0
     for item, text in items.toLocalIterator():
         data = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -158,7 +159,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    wanted = items.select(column(items, "item_id").cast("string").alias("item"), column(items, "text").cast("string").alias("text")).where("item is not null")
+    wanted = items.select(column(items, "item_id").cast("string").alias("item"), column(items, "text").cast("string").alias("text"))
     source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -180,7 +181,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
                     for row, start, size, owner in find(shared.value, hashes, first) if shared.value else ():
                         for r, s, o in zip(row.tolist(), start.tolist(), owner.tolist()):
                             spans[a + r].append((s, s + size))
-                            hit[a + r].add(shared.value.items[o])
+                            hit[a + r].update(() if (item := shared.value.items[o]) is None else (item,))
                 n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
                 made = [pa.array(n.astype(np.int64)), pa.array([[{"start": s, "end": e} for s, e in merged(x)] for x in spans], type=span_type), pa.array([sorted(x) for x in hit], type=pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_words", "spans", "items"])
@@ -200,7 +201,7 @@ def _joined(parts: list[DataFrame], source: DataFrame, keep: tuple[str, ...], ke
     frames = [p.select("*", *ids) for p in parts]
     rows = frames[0]
     for f in frames[1:]:
-        rows = rows.unionByName(f.where(F.size("items") > 0))
+        rows = rows.unionByName(f.where(F.size("spans") > 0))
     grouped = rows.groupBy("_row").agg(*(F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in keep), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
