@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.components import stars
-from quire.llm.membership import bitmap, has
+from quire.llm.membership import bitmap, has, size_for
 from quire.llm.session import bounded_batches, column, lean, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
@@ -427,7 +427,7 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     bitmaps = real.groupBy(F.col("node").alias("member")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     groups = materialised(_groups(_cells(pairs).join(bitmaps, "member"), percent), folder, "groups")
     chosen = labels.join(groups.select(F.col("member").alias("node")).distinct(), "node").select("node", "label")
-    wanted = bitmap(chosen, lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
+    wanted = bitmap(chosen, lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()), size_for(chosen.count()))
     edges = _links(groups.join(_chosen_sets(texts, shingle, classes, wanted).withColumnRenamed("node", "member"), "member"), percent)
     roots = stars(edges, folder)
     rooted = labels.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("label") != _LEAST, F.col("label")).alias("label"))
@@ -446,7 +446,7 @@ def representatives(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     found = materialised(components(docs, shingle, percent).where("node is not null").select(d(F.col("doc_id")).alias("_d"), F.col("h").alias("_h"), "root"), shared_folder(spark), "found")
     best = found.groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     doubtful = materialised(found.join(best, "root").groupBy("_d", "_h").agg(F.max(F.struct("_d", "_h") == F.col("best")).alias("_best")), shared_folder(spark), "doubtful")
-    bits = bitmap(doubtful.select("_d", "_h"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
+    bits = bitmap(doubtful.select("_d", "_h"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()), size_for(doubtful.count()))
     shared = spark.sparkContext.broadcast(bits)
     keyed = docs.select("*", d(column(docs, "doc_id")).alias("_d"), F.xxhash64(column(docs, "text").cast("string")).alias("_h"))
 

@@ -1,25 +1,29 @@
 """Suffix-array dedup: removes every byte covered by a long string that also starts earlier in the corpus.
 
-A sparse suffix array does it.  Of the ``LENGTH - GRAM + 1`` grams of a string of LENGTH bytes the one with the
-smallest hash is its anchor, so equal strings have their anchors at one offset, and only suffixes at anchors
-(about one in 40 bytes) need be sorted.
-
-1. Every text gives its anchors: the leading token (a hash of the gram), a hash of all the bytes of the
-   strings that it anchors (its context), and its place.  Equal anchors of a task are combined: all but the
-   earliest are repeats already.
-2. Suffixes are range-partitioned by leading token; a bucket sorts them.  Suffixes with one token and one
-   context: all but the earliest are repeats.  A token with one context is done.
-3. Tokens with several contexts fetch their bytes (earliest suffix of each context), are range-partitioned by
-   splitters that Spark samples, and each bucket sorts all strings of its contexts by multikey quicksort:
-   eight leading bytes at a time, ties alone go on.  Equal strings but the earliest are repeats.  A token is
-   never cut by a boundary; strings of tokens on either side of one differ by their anchors.  A token of more
-   contexts than a fair bucket is none: its strings are dealt out by hashes of all their bytes.
-4. The repeats go back to their texts.
-
-Texts without any repeat (most, by a bitmap of fixed size) are never shuffled.  Order is by doc_id, then by a
-hash of the text, then by start; a missing doc_id comes first.  Defined results: null counts as the empty text;
-texts under LENGTH bytes lose nothing; rows alike in doc_id and text count as one document and get the same
-result each.
+A sparse suffix array does it.  Of the ``LENGTH - GRAM + 1`` grams of a string of LENGTH bytes one is its anchor,
+chosen by the string's own bytes, so equal strings have their anchors at one offset, and only suffixes at
+anchors (about one in 40 bytes) need be sorted.  Strings that follow each other and share an anchor are one
+context: at most ``2 * LENGTH - GRAM`` bytes, which travel with it.
+
+1. A sample of the texts gives the splitters (quantiles of its anchors' leading tokens) and the heavy grams.
+   The anchor of a string is its gram of the smallest hash; a heavy gram is taken only where all are heavy.  So
+   a common line's neighbours are told apart by rarer grams, and what is anchored at a heavy gram lies wholly
+   inside repeated text.
+2. Suffixes are range-partitioned by leading token (the hash of the gram) in one shuffle, at places that
+   balance the partitions.  Tasks combine equal contexts first.
+3. A bucket sorts its contexts.  Of contexts with equal bytes all but the earliest are repeats.  What is left
+   of a token with several contexts is sorted string by string by multikey quicksort, eight leading bytes at a
+   time, where ties alone go on; equal strings but the earliest are repeats.
+4. Heavy tokens are cut: their contexts are dealt over many buckets, each keeps the earliest of equal ones, and
+   what buckets kept is compared across their boundaries in a second, small round.
+5. The repeats go back to their texts.
+
+Hashes choose anchors, buckets and the order in which things are looked at; bytes alone decide what is equal.
+
+Texts without any repeat (most, by a bitmap) are never shuffled again.  Order is by doc_id, then by a hash of
+the text, then by start; a missing doc_id comes first.  Defined results: null counts as the empty text; texts
+under LENGTH bytes lose nothing; rows alike in doc_id and text count as one document and get the same result
+each.
 """
 
 from __future__ import annotations
@@ -32,37 +36,72 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.membership import bitmap, has
-from quire.llm.session import bounded_batches, column, lean, materialised, partitions, shared_folder
+from quire.llm.membership import bitmap, has, size_for
+from quire.llm.session import bounded_batches, column, lean, materialised, partitions, places, shared_folder
 from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 
 LENGTH, GRAM = 100, 24
-#: A token of more contexts than a fair bucket has, and than this, is too large for one bucket.
-HOT = 500
-#: Anchors of a task that are combined at once.
-COMBINE = 300_000
+#: One text in so many is sampled for splitters and heavy grams.
+SAMPLE = 256
+#: A gram of as many sampled places is heavy; the number grows so that the list never exceeds HEAVY_GRAMS.
+HEAVY, HEAVY_GRAMS = 16, 1 << 20
+#: Splitters that are sampled; finer buckets cut the ranges between them evenly.
+SPLITTERS = 4096
+#: Buckets of a partition, and anchors of a task that are combined at once.
+BUCKETS, COMBINE = 4, 300_000
+#: Bytes of one text that are scanned at once; the next piece begins LENGTH - 1 bytes before this one's end.
+PIECE_BYTES = 1 << 20
 #: Repeats that a task has found, in one row of the shuffle.
 LOCAL_ROWS = 2_000
-_ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
+_ROW = np.dtype([("gram", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
+_RANGE = np.dtype([("doc", "<i8"), ("h", "<i8"), ("start", "<i8"), ("end", "<i8")])
 _LEAST = -(2**63)
+#: Kinds of rows in the shuffle.
+_PLAIN, _HEAVY, _RANGES = 0, 1, 2
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of rows in one flat byte array: row, at, and the first and last start of the strings they anchor."""
+class Heavy:
+    """A sorted list of gram hashes behind a sieve of their low bits."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.grams = np.sort(grams.astype(np.uint64))
+        self.sieve = np.zeros(1 << 20, dtype=bool)
+        self.sieve[(self.grams & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def at(self, grams: np.ndarray) -> np.ndarray:
+        """Places of the heavy ones."""
+        if not len(self.grams):
+            return np.zeros(0, dtype=np.int64)
+        maybe = np.flatnonzero(self.sieve[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+        return maybe[self.grams[place] == grams[maybe]]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, heavy: Heavy | None = None, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Contexts of rows in one flat byte array: row; gram, a hash of the context, whether the gram is heavy; and,
+    from the row's beginning, the anchor and the first and last start of the strings that it anchors.
+
+    The anchor is the leftmost gram of the smallest hash, by its upper 56 bits: a function of the string's bytes.
+    """
     n, width = len(data) - length + 1, length - gram + 1
     if n <= 0:
         return {}
     prefix = Prefix(data, BYTE_VALUE)
     grams = prefix.fixed(gram)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
-    key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+    key = grams >> np.uint64(8) << np.uint64(7)
+    if heavy is not None:
+        key[heavy.at(grams)] |= np.uint64(1 << 63)
     padded = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(key)] = key
     blocks = padded.reshape(-1, width)
-    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    head = np.minimum.accumulate(blocks, axis=1).ravel()
-    least = np.minimum(tail[:n], head[width - 1 : width - 1 + n])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    blocks |= np.arange(width, dtype=np.uint64)  # place within a block of the window's width
+    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    head = np.minimum.accumulate(blocks, axis=1).ravel()[width - 1 : width - 1 + n]
+    at = np.arange(n) // width * width
+    right = head >> np.uint64(7) < tail >> np.uint64(7)
+    at[right] = (np.flatnonzero(right) + width - 1) // width * width
+    least = np.where(right, head, tail)
+    at += (least & np.uint64(127)).astype(np.int64)
     starts, ends = offsets[:-1], offsets[1:] - length + 1
     real = ends > starts
     edge = np.zeros(n + 1, dtype=np.int32)
@@ -74,122 +113,201 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
-    at = at[lo]
-    context = prefix.of(lo, hi + length) ^ mix((at - lo).astype(np.uint64))
     row = np.searchsorted(offsets, lo, side="right") - 1
-    return {"row": row, "gram": grams[at], "context": context, "lo": lo - offsets[row], "hi": hi - offsets[row], "at": at - offsets[row]}
+    at = at[lo]
+    context = mix(prefix.of(lo, hi + length) ^ mix((at - lo).astype(np.uint64)) ^ grams[at])
+    return {"row": row, "gram": grams[at], "heavy": least[lo] >> np.uint64(63) > 0, "key": context, "lo": lo - offsets[row], "hi": hi - offsets[row], "at": at - offsets[row], "src": lo}
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    """Anchors by chunk; spans of an anchor over 255 starts cannot be, as a window has fewer grams."""
+def _scanned(data: np.ndarray, offsets: np.ndarray, heavy: Heavy | None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Contexts by chunk, and the chunk's bytes.  Long texts are scanned in pieces that overlap, so that every
+    string is in just one."""
     for a, b in chunks(offsets):
-        found = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        begin, end = int(offsets[a]), int(offsets[b])
+        if b == a + 1 and end - begin > PIECE_BYTES + LENGTH:
+            for at in range(begin, end - LENGTH + 1, PIECE_BYTES):
+                part = data[at : min(end, at + PIECE_BYTES + LENGTH - 1)]
+                found = anchors(part, np.array([0, len(part)]), heavy)
+                if found:
+                    found["row"] = found["row"] + a
+                    for c in ("lo", "hi", "at"):
+                        found[c] = found[c] + (at - begin)
+                    yield found, part
+            continue
+        part = data[begin:end]
+        found = anchors(part, offsets[a : b + 1] - begin, heavy)
         if found:
             found["row"] = found["row"] + a
-            yield found
-
-
-def _records(found: dict[str, np.ndarray], doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.empty(len(found["lo"]), dtype=_ANCHOR)
-    out["gram"], out["context"] = found["gram"], found["context"]
-    out["doc"], out["h"], out["lo"] = doc[found["row"]], h[found["row"]], found["lo"]
-    out["back"], out["span"] = found["at"] - found["lo"], found["hi"] - found["lo"]
-    return out
-
-
-def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by token, context and place; whether a context begins; whether a row repeats its context's first."""
-    rows = rows[np.lexsort((rows["lo"], rows["h"], rows["doc"], rows["context"], rows["gram"]))]
-    begins = np.ones(len(rows), dtype=bool)
-    begins[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1]) | (rows["span"][1:] != rows["span"][:-1]) | (rows["back"][1:] != rows["back"][:-1])
-    first = rows[np.flatnonzero(begins)][np.cumsum(begins) - 1] if len(rows) else rows
-    repeats = (rows["doc"] != first["doc"]) | (rows["h"] != first["h"]) | (rows["lo"] != first["lo"])
-    return rows, begins, repeats
-
-
-_FOUND = "doc bigint, h bigint, start bigint, end bigint, gram bigint"
-
-
-def _found(rows: np.ndarray, gram: np.ndarray | None) -> pa.RecordBatch:
-    """Repeats (no gram): removed bytes.  Requests (gram): first and past-the-last byte of a context."""
-    start = rows["lo"].astype(np.int64)
-    grams = pa.nulls(len(rows), pa.int64()) if gram is None else pa.array(gram.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["h"]), pa.array(start), pa.array(start + rows["span"] + LENGTH), grams], ["doc", "h", "start", "end", "gram"])
-
-
-def _suffixes(texts: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors by bucket of the leading token, and (in rows of their own) repeats that a task found."""
-
-    def flush(held: list[np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
-        rows, begins, repeats = _sorted(np.concatenate(held))
-        local = rows[repeats & ~begins]
-        rows = rows[begins]
-        bucket = (rows["gram"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
-        blobs = [b"".join(part[f].tobytes() for f in _ANCHOR.names) for part in np.split(rows, cut[1:])] if len(rows) else []
-        where = bucket[cut].astype(np.int32).tolist()
-        parts = np.array_split(local, 1 + len(local) // LOCAL_ROWS) if len(local) else []
-        blobs += [b"".join(part[f].tobytes() for f in _ANCHOR.names) for part in parts]
-        where += [-1 - int(p) for p in mix(np.arange(len(parts), dtype=np.uint64) + (np.uint64(task) << np.uint64(32))) % np.uint64(buckets)]
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield found, part
+
+
+class Contexts:
+    """Contexts with their bytes: ``rows`` (records), and where in ``data`` each begins."""
+
+    def __init__(self, rows: np.ndarray, src: np.ndarray, data: np.ndarray) -> None:
+        self.rows, self.src, self.data = rows, src, data
+
+    @classmethod
+    def joined(cls, parts: list[Contexts]) -> Contexts:
+        base = np.cumsum([0, *(len(p.data) for p in parts)])
+        return cls(np.concatenate([p.rows for p in parts]), np.concatenate([p.src + b for p, b in zip(parts, base)]), np.concatenate([p.data for p in parts]))
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self.rows["span"].astype(np.int64) + LENGTH
+
+    def take(self, at: np.ndarray) -> Contexts:
+        return Contexts(self.rows[at], self.src[at], self.data)
+
+    def bytes(self) -> np.ndarray:
+        """All contexts' bytes, one after another."""
+        n = self.lengths
+        return self.data[np.repeat(self.src - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, dtype=np.uint8)
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether contexts a and b (arrays of indices) are equal, byte by byte."""
+        r = self.rows
+        same = (r["gram"][a] == r["gram"][b]) & (r["back"][a] == r["back"][b]) & (r["span"][a] == r["span"][b])
+        for i in range(0, len(a), 20_000):
+            at = np.flatnonzero(same[i : i + 20_000]) + i
+            if len(at):
+                x, y = self.take(a[at]), self.take(b[at])
+                equal = x.bytes() == y.bytes()
+                same[at] = np.logical_and.reduceat(equal, np.append(0, np.cumsum(x.lengths)[:-1]))
+        return same
+
+    def combined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of contexts that no earlier one equals, and of those that repeat one.  What the hash takes
+        for equal and the bytes don't is kept; rows of one place count once."""
+        r = self.rows
+        order = np.lexsort((r["lo"], r["h"], r["doc"], r["key"]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = r["key"][order[1:]] != r["key"][order[:-1]]
+        later = order[~new]
+        first = order[np.flatnonzero(new)[np.cumsum(new)[~new] - 1]] if len(later) else later
+        same = self.alike(later, first)
+        elsewhere = (r["doc"][later] != r["doc"][first]) | (r["h"][later] != r["h"][first]) | (r["lo"][later] != r["lo"][first])
+        return np.concatenate([order[new], later[~same]]), later[same & elsewhere]
+
+    def ranges(self, at: np.ndarray) -> np.ndarray:
+        out, r = np.empty(len(at), dtype=_RANGE), self.rows[at]
+        out["doc"], out["h"], out["start"], out["end"] = r["doc"], r["h"], r["lo"], r["lo"].astype(np.int64) + r["span"] + LENGTH
+        return out
+
+    def packed(self) -> bytes:
+        import zstandard
+
+        whole = b"".join([len(self.rows).to_bytes(4, "little"), *(self.rows[f].tobytes() for f in _ROW.names), self.bytes().tobytes()])
+        return zstandard.ZstdCompressor(level=1).compress(whole)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Contexts:
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor().decompress(blob)
+        n, at = int.from_bytes(whole[:4], "little"), 4
+        rows = np.empty(n, dtype=_ROW)
+        for f in _ROW.names:
+            rows[f] = np.frombuffer(whole, dtype=_ROW[f], count=n, offset=at)
+            at += n * _ROW[f].itemsize
+        out = cls(rows, np.zeros(n, dtype=np.int64), np.frombuffer(whole, dtype=np.uint8, offset=at))
+        out.src[1:] = np.cumsum(out.lengths)[:-1]
+        return out
+
+
+def _sample(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the buckets (one less than buckets), and the heavy grams; both of bounded size on the driver."""
+    some = texts.where(F.pmod(F.xxhash64("doc", "h"), F.lit(SAMPLE)) == 0).select("text")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found, part in _scanned(*flat(batch.column(0)), None):
+                gram, many = np.unique(Prefix(part, BYTE_VALUE).fixed(GRAM), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(many.astype(np.int64))], ["gram", "n"])
+
+    counts = some.mapInArrow(lean(grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= HEAVY)
+    total = often.agg(F.count("*"), F.sum("n")).first()
+    if total[0] > HEAVY_GRAMS:  # at most HEAVY_GRAMS grams can have this many of all places each
+        often = often.where(F.col("n") > total[1] // HEAVY_GRAMS)
+    heavy = np.array([r["gram"] for r in often.select("gram").toLocalIterator()], dtype=np.int64).view(np.uint64)
+    table = Heavy(heavy)
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found, _ in _scanned(*flat(batch.column(0)), table):
+                yield pa.RecordBatch.from_arrays([pa.array((found["gram"][~found["heavy"]] >> np.uint64(1)).view(np.int64))], ["half"])
+
+    many = min(buckets, SPLITTERS)
+    cut = some.mapInArrow(lean(leading), "half bigint").agg(F.percentile_approx("half", [i / many for i in range(1, many)] or [1.0], 20 * many).alias("q")).first()["q"]
+    if not cut:
+        return np.linspace(0, 2.0**64, buckets + 1)[1:-1].astype(np.uint64), heavy
+    known = np.array([0, *(2 * x for x in cut[: many - 1]), 2**64 - 1], dtype=np.float64)
+    return np.interp(np.linspace(0, len(known) - 1, buckets + 1)[1:-1], np.arange(len(known)), known).astype(np.uint64), heavy
+
+
+def _suffixes(texts: DataFrame, cuts: np.ndarray, heavy: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """Packed contexts by bucket of the leading token, heavy ones dealt out by task, and repeats that a task found."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((cuts, heavy, labels))
+    spread = max(1, int(len(labels) ** 0.5))
+
+    def flush(held: list[Contexts], heavies: list[np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
+        cuts, _, labels = shared.value
+        whole, hot = Contexts.joined(held), np.concatenate(heavies)
+        kept, repeats = whole.combined()
+        salt = int(mix(np.array([task], dtype=np.uint64))[0]) % spread * (len(labels) // spread)
+        bucket = np.searchsorted(cuts, whole.rows["gram"][kept], side="right")
+        bucket = np.where(hot[kept], (bucket + salt) % len(labels), bucket)
+        order = np.lexsort((whole.rows["gram"][kept], hot[kept], bucket))
+        kept, bucket = kept[order], bucket[order]
+        cut = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (hot[kept[1:]] != hot[kept[:-1]]))) if len(kept) else np.zeros(0, dtype=np.int64)
+        for i in range(0, len(cut), 64):
+            some = cut[i : i + 64]
+            ends = np.append(cut[i + 1 : i + 65], len(kept))[: len(some)]
+            blobs = [whole.take(kept[a:b]).packed() for a, b in zip(some.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[bucket[some]], pa.int32()), pa.array(np.where(hot[kept[some]], _HEAVY, _PLAIN), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+        found = whole.ranges(repeats)
+        if len(found):
+            parts = np.array_split(found, 1 + len(found) // LOCAL_ROWS)
+            where = mix(np.arange(len(parts), dtype=np.uint64) + (np.uint64(task) << np.uint64(32))) % np.uint64(len(labels))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[where.astype(np.int64)], pa.int32()), pa.array(np.full(len(parts), _RANGES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, task = [], 0, TaskContext.get().partitionId()
+        held: list[Contexts] = []
+        hot: list[np.ndarray] = []
+        size, task, table = 0, TaskContext.get().partitionId(), Heavy(shared.value[1])
         for batch in batches:
             doc, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for found in _segments(*flat(batch.column(2))):
-                held.append(_records(found, doc, h))
-                size += len(held[-1])
-            if size >= COMBINE:
-                yield from flush(held, task)
-                held, size = [], 0
+            for found, part in _scanned(*flat(batch.column(2)), table):
+                rows = np.empty(len(found["lo"]), dtype=_ROW)
+                rows["gram"], rows["key"], rows["lo"] = found["gram"], found["key"], found["lo"]
+                rows["doc"], rows["h"] = doc[found["row"]], h[found["row"]]
+                rows["back"], rows["span"] = found["at"] - found["lo"], found["hi"] - found["lo"]
+                held.append(Contexts(rows, found["src"], part.copy()))
+                hot.append(found["heavy"])
+                size += len(rows)
+                if size >= COMBINE:
+                    yield from flush(held, hot, task)
+                    held, hot, size = [], [], 0
         if held:
-            yield from flush(held, task)
+            yield from flush(held, hot, task)
 
-    return texts.select("doc", "h", "text").mapInArrow(lean(run), "bucket int, blob binary")
+    return texts.select("doc", "h", "text").mapInArrow(lean(run), "bucket int, kind int, blob binary")
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    n, at = len(blob) // _ANCHOR.itemsize, 0
-    out = np.empty(n, dtype=_ANCHOR)
-    for f in _ANCHOR.names:
-        size = _ANCHOR[f].itemsize
-        out[f] = np.frombuffer(blob, dtype=_ANCHOR[f], count=n, offset=at)
-        at += n * size
-    return out
+_FOUND = "doc bigint, h bigint, start bigint, end bigint, kind int, blob binary"
 
 
-def _judged(suffixes: DataFrame) -> DataFrame:
-    """Repeats, and requests for the bytes of contexts that share a token with others."""
+def _found(ranges: np.ndarray) -> pa.RecordBatch:
+    n = len(ranges)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(ranges[c])) for c in _RANGE.names), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*_RANGE.names, "kind", "blob"])
 
-    def judge(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows, begins, repeats = _sorted(np.concatenate(held))
-        yield _found(rows[repeats & ~begins], None)
-        firsts = rows[begins]
-        alone = np.ones(len(firsts) + 1, dtype=bool)
-        alone[1:-1] = firsts["gram"][1:] != firsts["gram"][:-1]
-        several = firsts[~(alone[:-1] & alone[1:])]
-        yield _found(several, several["gram"].copy())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket < 0:
-                    yield _found(_unpack(blob), None)
-                    continue
-                if bucket != key:
-                    if held:
-                        yield from judge(held)
-                    key, held = bucket, []
-                held.append(_unpack(blob))
-        if held:
-            yield from judge(held)
-
-    dealt = suffixes.repartition(partitions(suffixes.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lean(run), _FOUND)
+def _carried(contexts: Contexts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in _RANGE.names), pa.array([_PLAIN], pa.int32()), pa.array([contexts.packed()], pa.binary())], [*_RANGE.names, "kind", "blob"])
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -219,100 +337,116 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, group: np.ndarray, lengt
 _SORT_BYTES = 1 << 20
 
 
-def _resolved(contexts: DataFrame) -> DataFrame:
-    """Repeats among contexts that share a leading token: doc, h, start, end."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        lengths = np.array([len(r[4]) for r in rows], dtype=np.int64)
-        data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-        base = np.append(0, np.cumsum(lengths)[:-1])
-        many = lengths - LENGTH + 1
-        own = np.repeat(np.arange(len(rows)), many)
-        offset = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
-        gram, doc, h, lo = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
-        at, tie = equal_strings(data, base[own] + offset, np.unique(gram, return_inverse=True)[1][own])
-        start = lo[own[at]] + offset[at]
-        order = np.lexsort((start, h[own[at]], doc[own[at]], tie))
-        at, tie, start = at[order], tie[order], start[order]
-        later = np.zeros(len(at), dtype=bool)
-        later[1:] = tie[1:] == tie[:-1]
-        at = np.sort(at[later])
-        run = np.ones(len(at), dtype=bool)
-        run[1:] = (own[at[1:]] != own[at[:-1]]) | (offset[at[1:]] != offset[at[:-1]] + 1)
-        first = np.flatnonzero(run)
-        last = np.append(first[1:], len(at)) - 1
-        who = own[at[first]] if len(at) else np.zeros(0, dtype=np.int64)
-        begin, end = (offset[at[first]], offset[at[last]]) if len(at) else (who, who)
-        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(h[who]), pa.array(lo[who] + begin), pa.array(lo[who] + end + LENGTH)], ["doc", "h", "start", "end"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= _SORT_BYTES and row[0] != last:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-                last = row[0]
-        if held:
-            yield solve(held)
+def _sorted_strings(some: Contexts) -> np.ndarray:
+    """Repeats among the strings of contexts that share tokens; strings of one context differ or repeat like others."""
+    r, data = some.rows, some.bytes()
+    lengths = some.lengths
+    base = np.append(0, np.cumsum(lengths)[:-1])
+    many = lengths - LENGTH + 1
+    own = np.repeat(np.arange(len(r)), many)
+    offset = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
+    # Equal strings have their anchors at one offset, so the place of the anchor in the string is a token too.
+    tie = np.cumsum(np.append(True, r["gram"][1:] != r["gram"][:-1]))[own] * 256 + (r["back"].astype(np.int64)[own] - offset)
+    at, tie = equal_strings(data, base[own] + offset, tie)
+    start = r["lo"].astype(np.int64)[own[at]] + offset[at]
+    doc, h = r["doc"][own[at]], r["h"][own[at]]
+    order = np.lexsort((start, h, doc, tie))
+    at, tie, start, doc, h = at[order], tie[order], start[order], doc[order], h[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = tie[1:] != tie[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
+    at = np.sort(at[(doc != doc[first]) | (h != h[first]) | (start != start[first])])
+    if not len(at):
+        return np.zeros(0, dtype=_RANGE)
+    run = np.ones(len(at), dtype=bool)
+    run[1:] = (own[at[1:]] != own[at[:-1]]) | (offset[at[1:]] != offset[at[:-1]] + 1)
+    begin = np.flatnonzero(run)
+    last = np.append(begin[1:], len(at)) - 1
+    out, who = np.empty(len(begin), dtype=_RANGE), own[at[begin]]
+    out["doc"], out["h"] = r["doc"][who], r["h"][who]
+    out["start"] = r["lo"][who] + offset[at[begin]]
+    out["end"] = r["lo"][who] + offset[at[last]] + LENGTH
+    return out
 
-    dealt = contexts.repartitionByRange(partitions(contexts.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.select("gram", "doc", "h", "start", "bytes").mapInArrow(lean(run), "doc bigint, h bigint, start bigint, end bigint")
 
+def _judge(held: list[Contexts]) -> Iterator[np.ndarray]:
+    """All repeats of a bucket of whole tokens."""
+    whole = Contexts.joined(held)
+    kept, repeats = whole.combined()
+    yield whole.ranges(repeats)
+    kept = kept[np.argsort(whole.rows["gram"][kept], kind="stable")]
+    gram = whole.rows["gram"][kept]
+    new = np.ones(len(gram) + 1, dtype=bool)
+    new[1:-1] = gram[1:] != gram[:-1]
+    several = kept[~(new[:-1] & new[1:])]
+    gram = whole.rows["gram"][several]
+    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
+    size = np.append(0, np.cumsum(whole.lengths[several]))[begins]
+    a = 0
+    while a < len(begins):
+        b = max(a + 1, int(np.searchsorted(size, size[a] + _SORT_BYTES)))
+        yield _sorted_strings(whole.take(several[begins[a] : begins[b] if b < len(begins) else len(several)]))
+        a = b
 
-def _resolved_hot(contexts: DataFrame) -> DataFrame:
-    """The same for tokens of very many contexts, whose strings are dealt out by hashes of their own.
 
-    A task combines its equal strings first, so a passage that many documents share is one row a task.
-    """
+def _judged(suffixes: DataFrame) -> DataFrame:
+    """Repeats of every bucket; and what it keeps of heavy contexts, for the comparison across buckets."""
+
+    def judge(plain: list[Contexts], hot: list[Contexts]) -> Iterator[pa.RecordBatch]:
+        if plain:
+            for found in _judge(plain):
+                yield _found(found)
+        if hot:
+            whole = Contexts.joined(hot)
+            kept, repeats = whole.combined()
+            yield _found(whole.ranges(repeats))
+            yield _carried(whole.take(kept))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, plain, hot = None, [], []
         for batch in batches:
-            doc, h, lo = (batch.column(c).to_numpy() for c in ("doc", "h", "start"))
-            data, offsets = flat(batch.column("bytes"))
-            many = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-            own = np.repeat(np.arange(len(many)), many)
-            at = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)
-            strings = Prefix(data, BYTE_VALUE).fixed(LENGTH)
-            key = strings[offsets[own] + at].view(np.int64) if len(own) else np.zeros(0, dtype=np.int64)
-            start = lo[own] + at
-            order = np.lexsort((start, h[own], doc[own], key))
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = key[order[1:]] != key[order[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(doc[own][order]), pa.array(h[own][order]), pa.array(start[order]), pa.array(~first)], ["key", "doc", "h", "start", "later"])
-
-    strings = contexts.select("doc", "h", "start", "bytes").mapInArrow(lean(explode), "key bigint, doc bigint, h bigint, start bigint, later boolean")
-    firsts = strings.where("not later")
-    least = firsts.groupBy("key").agg(F.min(F.struct("doc", "h", "start")).alias("least"))
-    beaten = firsts.join(least, "key").where(F.struct("doc", "h", "start") != F.col("least"))
-    both = strings.where("later").select("doc", "h", "start").unionByName(beaten.select("doc", "h", "start"))
-    return both.select("doc", "h", "start", (F.col("start") + LENGTH).alias("end"))
-
-
-def _contexts(texts: DataFrame, requests: DataFrame) -> DataFrame:
-    """The bytes of requested contexts."""
-    asked = requests.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end", "gram")).alias("asked"))
+            for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == _RANGES:
+                    yield _found(np.frombuffer(blob, dtype=_RANGE))
+                    continue
+                if bucket != key:
+                    yield from judge(plain, hot)
+                    key, plain, hot = bucket, [], []
+                (hot if kind == _HEAVY else plain).append(Contexts.unpacked(blob))
+        yield from judge(plain, hot)
+
+    dealt = suffixes.repartition(partitions(suffixes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(run), _FOUND)
+
+
+def _dealt_again(carried: DataFrame, cuts: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """Heavy contexts that buckets kept, by the bucket of their token."""
+    shared = carried.sparkSession.sparkContext.broadcast((cuts, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, labels = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, h, text, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                whole = (text or "").encode()
-                for r in rows:
-                    for column_, value in zip(out, (r["gram"], doc, h, r["start"], whole[r["start"] : r["end"]])):
-                        column_.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["gram", "doc", "h", "start", "bytes"])
+            for blob in batch.column(0).to_pylist():
+                whole = Contexts.unpacked(blob)
+                # Few tokens are heavy, so neighbours in the first order are mixed here.
+                bucket = (mix(whole.rows["gram"]) % np.uint64(len(labels))).astype(np.int64)
+                some = np.unique(bucket)
+                blobs = [whole.take(np.flatnonzero(bucket == b)).packed() for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(labels[some], pa.int32()), pa.array(np.full(len(some), _PLAIN), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
-    return texts.join(asked, ["doc", "h"]).select("doc", "h", "text", "asked").mapInArrow(lean(run), "gram bigint, doc bigint, h bigint, start bigint, bytes binary").dropDuplicates(["gram", "doc", "h", "start"])
+    return carried.mapInArrow(lean(run), "bucket int, kind int, blob binary")
 
 
 def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) ^ mix(h.astype(np.uint64) + np.uint64(1)))
 
 
+def _bits(rows: DataFrame) -> np.ndarray:
+    """The bitmap of the texts that these rows name."""
+    many = rows.agg(F.approx_count_distinct(F.xxhash64("doc", "h"))).first()[0]
+    return bitmap(rows.select("doc", "h"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()), size_for(many))
+
+
 def _marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     """Rows that a bitmap of (doc, h) has."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
@@ -324,10 +458,6 @@ def _marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(lean(run), texts.schema)
 
 
-def _bits(rows: DataFrame) -> np.ndarray:
-    return bitmap(rows.select("doc", "h"), lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()))
-
-
 def find(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """The texts with their keys; the removed byte ranges (doc, h, start, end; they may overlap); and the
     bitmap of texts that have any."""
@@ -335,14 +465,12 @@ def find(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",)) -> t
     texts = docs.select(*(column(docs, c).alias(c) for c in keep), F.coalesce(column(docs, "doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc"), column(docs, "text").cast("string").alias("text"))
     h = F.xxhash64("text")  # its lower half, unsigned, comes first in the order
     texts = texts.withColumn("h", F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32)).bitwiseXOR(F.lit(_LEAST)))
-    judged = materialised(_judged(_suffixes(texts, 4 * partitions(spark))), folder, "judged")
-    requests = judged.where("gram is not null")
-    asked = _marked(texts.select("doc", "h", "text"), _bits(requests))
-    contexts = materialised(_contexts(asked, requests), folder, "contexts")
-    fair = max(HOT, contexts.count() // partitions(spark))
-    hot = contexts.groupBy("gram").count().where(F.col("count") > fair).select("gram")
-    repeats = _resolved(contexts.join(hot, "gram", "left_anti")).unionByName(_resolved_hot(contexts.join(hot, "gram", "left_semi")))
-    ranges = materialised(judged.where("gram is null").select("doc", "h", "start", "end").unionByName(repeats), folder, "ranges")
+    labels = places(partitions(spark), BUCKETS)
+    cuts, heavy = _sample(texts, len(labels))
+    judged = materialised(_judged(_suffixes(texts, cuts, heavy, labels)), folder, "judged")
+    again = _judged(_dealt_again(judged.where("blob is not null").select("blob"), cuts, labels))
+    once, twice = (f.where("blob is null").select("doc", "h", "start", "end") for f in (judged, again))
+    ranges = once.unionByName(materialised(twice, folder, "again"))
     return texts, ranges, _bits(ranges)
 
 

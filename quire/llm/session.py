@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +83,24 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+def places(parts: int, each: int) -> np.ndarray:
+    """Whole numbers that Spark's hash partitioning deals evenly: ``each`` of them to each of ``parts``
+    partitions, those of one partition side by side."""
+    label = np.arange(parts * (each + 8) * 4, dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        k = label * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    part = h.view(np.int32).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    first = np.searchsorted(part[order], np.arange(parts))
+    return label[order[(first[:, None] + np.arange(each)).ravel()]].astype(np.int32)
+
+
 def column(frame: DataFrame, name: str):
     """A column by its exact name, whatever other columns are called."""
     return frame[f"`{name}`"]

@@ -301,17 +301,53 @@ def test_repeats(docs, rows, nothing):
         repeats.dedupe(docs, ("doc_id", "h"))
 
 
-def test_hot_tokens_give_the_same(spark):
+def test_heavy_grams_give_the_same(spark, monkeypatch):
+    """Every text sampled, grams heavy from three places on: a common line, whole copies, a run of blanks."""
     from quire.llm import repeats
 
     r = random.Random(2)
-    shared = bytes(r.randrange(97, 100) for _ in range(130))
-    rows = [(7, i % 40, 0, 10 * i, shared[: r.randint(90, 130)] + bytes(r.randrange(97, 123) for _ in range(r.randint(10, 40)))) for i in range(80)]
-    rows += [(7, 50, 0, 0, shared), (7, 51, 0, 5, shared)]
-    contexts = spark.createDataFrame(rows, "gram bigint, doc bigint, h bigint, start bigint, bytes binary").repartition(3)
-    covered = lambda df: {(x["doc"], x["h"], b) for x in df.collect() for b in range(x["start"], x["end"])}
-    one, two = covered(repeats._resolved(contexts)), covered(repeats._resolved_hot(contexts))
-    assert one == two and one
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, copy = some(60), some(700)
+    rows = [(i, some(r.randint(20, 300)) + line + some(r.randint(20, 300)) if i % 3 else copy + some(i % 4) + " " * 400) for i in range(90)]
+    rows += [(200 + i, line * 5 + some(20)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_repeats(rows, {t: i for i, (_, t) in enumerate(rows)})
+    same(collected(repeats.report(repeats.dedupe(docs)), *columns), want)
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HEAVY", 3)
+    same(collected(repeats.report(repeats.dedupe(docs)), *columns), want)
+
+
+def test_long_texts_are_scanned_in_pieces(monkeypatch):
+    from quire.llm import repeats
+
+    data = np.frombuffer(random.Random(3).randbytes(5000), dtype=np.uint8)
+    strings = lambda found: sorted((int(a), int(g)) for f, _ in found for lo, hi, g, at in zip(f["lo"], f["hi"], f["gram"], f["at"]) for a in range(lo, hi + 1))
+    whole = strings(repeats._scanned(data, np.array([0, 5000]), None))
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    assert strings(repeats._scanned(data, np.array([0, 5000]), None)) == whole and len(whole) == 4901
+
+
+def test_bytes_decide_what_hashes_take_for_equal():
+    from quire.llm import repeats
+
+    r = np.random.default_rng(4)
+    data = r.integers(0, 255, 600, dtype=np.uint8)
+    data[300:410] = data[0:110]
+    rows = np.zeros(4, dtype=repeats._ROW)
+    rows["doc"], rows["span"] = np.arange(4), 10
+    found = repeats.Contexts(rows, np.array([0, 120, 300, 450]), data)
+    kept, repeated = found.combined()  # all four have one hash; the third alone repeats the first
+    assert sorted(kept.tolist()) == [0, 1, 3] and repeated.tolist() == [2]
+
+
+def test_places_are_even(spark):
+    from quire.llm.session import places
+
+    own = places(13, 3).tolist()
+    rows = spark.createDataFrame([(int(x),) for x in own], "label int").select(F.pmod(F.hash("label"), F.lit(13)).alias("p")).collect()
+    assert [r["p"] for r in rows] == [i // 3 for i in range(39)]
 
 
 def test_equal_strings():
