@@ -40,7 +40,7 @@ from quire.llm.membership import bitmap, has, size_for
 from quire.llm.session import bounded_batches, column, lean, materialised, partitions, places, shared_folder
 from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 16
 #: One text in so many is sampled for splitters and heavy grams.
 SAMPLE = 256
 #: A gram of as many sampled places is heavy; the number grows so that the list never exceeds HEAVY_GRAMS.
@@ -54,6 +54,7 @@ PIECE_BYTES = 1 << 20
 #: Repeats that a task has found, in one row of the shuffle.
 LOCAL_ROWS = 2_000
 _ROW = np.dtype([("gram", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("lo", "<u4"), ("back", "u1"), ("span", "u1")])
+_SENT = ("doc", "h", "lo", "back", "span")
 _RANGE = np.dtype([("doc", "<i8"), ("h", "<i8"), ("start", "<i8"), ("end", "<i8")])
 _LEAST = -(2**63)
 #: Kinds of rows in the shuffle.
@@ -77,6 +78,11 @@ class Heavy:
         return maybe[self.grams[place] == grams[maybe]]
 
 
+def _context(prefix: Prefix, start: np.ndarray, end: np.ndarray, back: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """A hash of a context's bytes and of its anchor's place."""
+    return mix(prefix.of(start, end) ^ mix(back.astype(np.uint64)) ^ gram)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, heavy: Heavy | None = None, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Contexts of rows in one flat byte array: row; gram, a hash of the context, whether the gram is heavy; and,
     from the row's beginning, the anchor and the first and last start of the strings that it anchors.
@@ -115,8 +121,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, heavy: Heavy | None = None, l
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
     row = np.searchsorted(offsets, lo, side="right") - 1
     at = at[lo]
-    context = mix(prefix.of(lo, hi + length) ^ mix((at - lo).astype(np.uint64)) ^ grams[at])
-    return {"row": row, "gram": grams[at], "heavy": least[lo] >> np.uint64(63) > 0, "key": context, "lo": lo - offsets[row], "hi": hi - offsets[row], "at": at - offsets[row], "src": lo}
+    key = _context(prefix, lo, hi + length, at - lo, grams[at])
+    return {"row": row, "gram": grams[at], "heavy": least[lo] >> np.uint64(63) > 0, "key": key, "lo": lo - offsets[row], "hi": hi - offsets[row], "at": at - offsets[row], "src": lo}
 
 
 def _scanned(data: np.ndarray, offsets: np.ndarray, heavy: Heavy | None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -195,10 +201,11 @@ class Contexts:
         return out
 
     def packed(self) -> bytes:
+        """Compressed rows and bytes, without the hashes, which the bytes give again."""
         import zstandard
 
-        whole = b"".join([len(self.rows).to_bytes(4, "little"), *(self.rows[f].tobytes() for f in _ROW.names), self.bytes().tobytes()])
-        return zstandard.ZstdCompressor(level=1).compress(whole)
+        whole = b"".join([len(self.rows).to_bytes(4, "little"), *(self.rows[f].tobytes() for f in _SENT), self.bytes().tobytes()])
+        return zstandard.ZstdCompressor(level=3).compress(whole)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Contexts:
@@ -207,11 +214,14 @@ class Contexts:
         whole = zstandard.ZstdDecompressor().decompress(blob)
         n, at = int.from_bytes(whole[:4], "little"), 4
         rows = np.empty(n, dtype=_ROW)
-        for f in _ROW.names:
+        for f in _SENT:
             rows[f] = np.frombuffer(whole, dtype=_ROW[f], count=n, offset=at)
             at += n * _ROW[f].itemsize
         out = cls(rows, np.zeros(n, dtype=np.int64), np.frombuffer(whole, dtype=np.uint8, offset=at))
         out.src[1:] = np.cumsum(out.lengths)[:-1]
+        prefix = Prefix(out.data, BYTE_VALUE)
+        rows["gram"] = prefix.at(out.src + rows["back"], GRAM)
+        rows["key"] = _context(prefix, out.src, out.src + out.lengths, rows["back"], rows["gram"])
         return out
 
 

@@ -69,6 +69,10 @@ class Prefix:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
+    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of strings of one length, at some places, as ``fixed`` has them."""
+        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+
     def fixed(self, length: int) -> np.ndarray:
         """Hashes of all strings of one length, by start."""
         n = len(self.sums) - length
