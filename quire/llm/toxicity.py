@@ -1,26 +1,34 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: both hold the same frequent words, and each ends with
-the words that speak for its own class by a likelihood ratio over texts (a text counts for a word only in a
-context no earlier text has, so copies count once).  What is compressed is a sequence of words in codes of
-``CODE`` bytes, as a match then means a whole word: short windows of letters are stored raw or match by
-syllable, and their lengths say little.  A text is read in windows of ``WINDOW`` words.  A window's distance
-is what it takes with the ordinary dictionary less what it takes with the toxic one.  Distances over a
-calibrated threshold count as toxic windows; a logistic curve fitted to labelled texts turns their number and
-size into a score.
+Zstandard dictionaries are trained on toxic and on ordinary text, and a text's windows are compressed with both: a
+window's distance is what it takes with the ordinary dictionaries less what it takes with the toxic ones.
+
+Text is compressed in word codes, ``CODE`` bytes a word, so that a match means a whole word.  Letters as they are
+don't do here: a match of a few letters saves about a byte of a window, less than chance syllables do (README has
+the figures).  Dictionaries are trained in rounds, so that they hold what tells the classes apart:
+
+* the base, on half of the ordinary texts; both sides share it;
+* the toxic and the other ordinary dictionary, at first on the text of their class that the base leaves uncovered;
+* then, in each round, the ordinary one on ordinary text that the toxic one compresses better (false alarms), and
+  the toxic one on toxic text that it still compresses better.
+
+Sizes and rounds are tried on a quarter of the labelled rows, held out of training; so are the threshold, from which
+on a window counts, and a logistic curve over a text's largest, three largest, mean and counted distances, which
+makes a score of them.
 
 Fitting takes at most ``TRAIN_TOXIC`` and ``TRAIN_ORDINARY`` labelled rows, chosen by a hash of doc_id; scoring
 reads every word of every text.  Labels, language, source and doc_id are no inputs of a score.
 
-Defined results: null and empty texts get the score of a text without toxic windows.  Without labels of both
-kinds the score is the smoothed rate of toxic labels, 0.5 where there are none.  Labels other than 0 and 1,
-and rows without doc_id, are left out of fitting; a doc_id with several labels counts as toxic if one is.
+Defined results: null and empty texts get the score of a text without windows.  Without labels of both kinds the
+score is the smoothed rate of toxic labels, 0.5 where there are none.  Labels other than 0 and 1, and rows without
+doc_id, are left out of fitting; a doc_id with several labels counts as toxic if one is; equal texts are fitted
+once a class.  A kept column must not have the score's name (ValueError).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,20 +36,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.session import bounded_batches, column, lean, release
+from quire.llm.session import bounded_batches, column, free_names, lean, release
 from quire.llm.spans import ALNUM, LOWER_VALUE, Prefix, chunks, flat, mix, words
 
 #: Bounds of the labelled sample, in rows.
-TRAIN_TOXIC, TRAIN_ORDINARY = 1500, 3000
+TRAIN_TOXIC, TRAIN_ORDINARY = 2000, 4000
 #: Words of a window, and bytes of a word's code.
 WINDOW, CODE = 4, 12
-#: Words that both dictionaries share, and the most of a class's own.
-SHARED_WORDS, OWN_WORDS = 800, 400
-#: Words enter a dictionary as a class's own from a log-likelihood ratio on; these are tried.
-RATIOS = (10.0, 20.0, 40.0, 80.0)
+#: Bytes of the base, sizes that are tried for a class's own dictionary, and rounds.
+BASE, SIZES, ROUNDS = 128 << 10, (4096, 8192), 4
+#: Segments (of the base, of the others) and grams from which dictionaries are put together, in bytes.
+SEGMENTS, GRAM = (24, 16), 8
+#: One labelled row in so many is held out of the dictionaries.
+HELD = 4
+#: Bytes of leading text to a byte of text that is trained on.
+LEAD = 0.25
+#: Bytes that a word must save with one dictionary to be trained on again.
+SAVES = 2
 #: Level of compression.
 LEVEL = 3
 
+
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -50,44 +65,30 @@ class Model:
     weights: tuple[float, ...]
 
 
-def _contexts(hashes: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of some rows: word hashes, and in how many rows each stands in a context (word before, word after) that
-    no earlier row has; and the number of rows."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before, after = np.append(np.uint64(0), hashes[:-1]), np.append(hashes[1:], np.uint64(0))
-    edge = np.zeros(len(hashes) + 1, dtype=bool)
-    edge[first] = True
-    before[edge[:-1]] = after[edge[1:]] = 0
-    chosen = np.zeros(len(first) - 1, dtype=bool)
-    chosen[rows] = True
-    at = np.flatnonzero(chosen[row])
-    context = mix(before[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix(after[at] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mix(hashes[at])))
-    _, new = np.unique(context, return_index=True)
-    at = at[new]
-    _, once = np.unique(hashes[at] * np.uint64(0x9E3779B97F4A7C15) + mix(row[at].astype(np.uint64)), return_index=True)
-    words_, count = np.unique(hashes[at[once]], return_counts=True)
-    return words_, count, len(rows)
-
-
-def _both(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of either class, and their counts in both."""
-    every = np.union1d(a[0], b[0])
-    out = []
-    for words_, count, _ in (a, b):
-        n = np.zeros(len(every), dtype=np.int64)
-        n[np.searchsorted(every, words_)] = count
-        out.append(n)
-    return every, out[0], out[1]
-
-
-def _own(every: np.ndarray, a: np.ndarray, b: np.ndarray, na: int, nb: int, least: float) -> np.ndarray:
-    """Words that speak for the first class by the log-likelihood ratio, the strongest last (nearest to what
-    is compressed)."""
-    p = (a + b) / (na + nb)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(a > 0, a * np.log(a / (na * p)), 0) + np.where(b > 0, b * np.log(b / (nb * p)), 0))
-    at = np.flatnonzero((a > 1) & (a * nb > b * na) & (g >= least))
-    return every[at[np.lexsort((every[at], g[at]))][-OWN_WORDS:]]
+def compressor(content: bytes) -> Callable[[bytes], bytes]:
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(content or b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
+    p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d.precompute_compress(compression_params=p)
+    return z.ZstdCompressor(dict_data=d, compression_params=p).compress
+
+
+def trained(texts: list[bytes], size: int, segment: int, lead: list[bytes] = ()) -> bytes:
+    """A dictionary of ``size`` bytes trained on texts; of too few to train on, their last bytes, repeated.
+
+    The library makes room for its header by cutting off the segments that it found first, which are the best of
+    the first texts.  So texts of ``lead`` go first, as many bytes as the others have.
+    """
+    import zstandard as z
+
+    many = int(np.searchsorted(np.cumsum([len(t) for t in lead]), LEAD * sum(map(len, texts)))) + 1
+    texts = [*lead[:many], *texts]
+    try:
+        made = z.train_dictionary(size, [t for t in texts if len(t) >= GRAM], k=segment, d=GRAM).as_bytes()
+    except z.ZstdError:
+        made = b"".join(texts)[-size:]
+    return np.resize(np.frombuffer(made or b" ", dtype=np.uint8), size).tobytes()
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +111,7 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        import zstandard as z
-
-        def make(content: bytes):
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            p = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            d.precompute_compress(compression_params=p)
-            return z.ZstdCompressor(dict_data=d, compression_params=p).compress
-
-        self.model, self.by_toxic, self.by_ordinary = model, make(model.toxic), make(model.ordinary)
+        self.model, self.by_toxic, self.by_ordinary = model, compressor(model.toxic), compressor(model.ordinary)
 
     def distances(self, matrix: np.ndarray) -> list[int]:
         """Of the windows of one text's codes."""
@@ -132,12 +125,14 @@ class Scorer:
                 yield self.distances(matrix[i:j])
 
     def scores(self, column: pa.Array) -> list[float]:
-        return [_logistic(_features(d, self.model.threshold), self.model.weights) for d in self.all_distances(*flat(column))]
+        return [_logistic(features(d, self.model.threshold), self.model.weights) for d in self.all_distances(*flat(column))]
 
 
-def _features(distances: list[int], threshold: int) -> tuple[float, ...]:
-    hits = [d for d in distances if d >= threshold]
-    return 1.0, float(bool(hits)), math.log1p(len(hits)), min(max(hits, default=0), 20) / 10
+def features(distances: list[int], threshold: int) -> tuple[float, ...]:
+    if not distances:
+        return 1.0, 0.0, 0.0, 0.0, 0.0
+    hits = sum(d >= threshold for d in distances)
+    return 1.0, max(distances) / 10, sum(sorted(distances)[-3:]) / 30, sum(distances) / len(distances), math.log1p(hits)
 
 
 def _logistic(x: tuple[float, ...], weights: tuple[float, ...]) -> float:
@@ -158,50 +153,54 @@ def _fit(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries, threshold and curve from labelled texts."""
+def _f1(hit: np.ndarray, y: np.ndarray) -> float:
+    return 2 * (hit & (y == 1)).sum() / max(1, hit.sum() + (y == 1).sum())
+
+
+def _candidates(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> Iterator[Model]:
+    """Dictionaries of every size and round from rows of word hashes; a row's words count once."""
+    blank = len(compressor(b" ")(bytes(range(CODE))))
+    base = trained([_code(r).tobytes() for r in ordinary[::2] or ordinary], min(BASE, max(256, sum(map(len, ordinary)) * CODE // 4)), SEGMENTS[0])
+    every = np.unique(np.concatenate([*toxic, *ordinary, np.zeros(0, np.uint64)]))
+    lengths = lambda rows, content: np.fromiter(map(len, map(compressor(content), (memoryview(c).cast("B") for c in _code(rows)))), np.int64, len(rows))
+    every = every[lengths(every, base) >= blank]  # what the base leaves uncovered
+    among = lambda r, kept: r[kept[np.minimum(np.searchsorted(kept, r), len(kept) - 1)] == r] if len(kept) else r[:0]
+    text = lambda rows, kept: [_code(k).tobytes() for k in (among(r, kept) for r in rows) if len(k)]
+    lead = [_code(r).tobytes() for r in ordinary[::2]]
+    for size in SIZES:
+        make = lambda rows, kept: trained(text(rows, kept), size, SEGMENTS[1], lead)  # noqa: B023, E731
+        own, other = make(toxic, every), make(ordinary[1::2] or ordinary, every)
+        for _ in range(ROUNDS):
+            by_toxic = lengths(every, own + base)
+            other = make(ordinary, every[lengths(every, other + base) - by_toxic >= SAVES])
+            yield Model(own + base, other + base, 0, ())
+            own = make(toxic, every[lengths(every, other + base) - by_toxic >= SAVES])
+
+
+def train(rows: list[np.ndarray], labels: list[int]) -> Model:
+    """Dictionaries, threshold and curve from labelled rows of word hashes."""
     y = np.array(labels, dtype=np.int64)
     n = len(y)
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
-        return Model(b" ", b" ", 1 << 20, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
-    data, offsets = flat(pa.array([t or "" for t in texts], pa.large_string()))
-    found = [_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-    hashes, first = np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(np.concatenate([np.diff(f) for _, f in found])))
-    # Dictionaries from two thirds of the rows, threshold and curve from the rest: else they'd judge what they hold.
-    third = np.arange(n) % 3 == 2
-    if min(y[third].sum(), (1 - y[third]).sum(), y[~third].sum(), (1 - y[~third]).sum()) < 3:
-        third = np.zeros(n, dtype=bool)
-    held = np.flatnonzero(third) if third.any() else np.arange(n)
-    truth, matrix = y[held], _code(hashes)
-    counted = [_contexts(hashes, first, np.flatnonzero(~third & (y == c))) for c in (1, 0)]
+        return Model(b" ", b" ", 1 << 20, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0))
+    # What judges the dictionaries is held out of them, or they would judge what they hold.
+    out = np.arange(n) % HELD == HELD - 1
+    if min(y[out].sum(), (1 - y[out]).sum(), y[~out].sum(), (1 - y[~out]).sum()) < 3:
+        out = np.zeros(n, dtype=bool)
+    held = np.flatnonzero(out) if out.any() else np.arange(n)
+    truth = y[held]
+    once = lambda some: [r[np.sort(np.unique(r, return_index=True)[1])] for r in (rows[i] for i in np.flatnonzero(some).tolist())]
     best: tuple = (-1.0,)
-    for ratio in RATIOS:
-        scorer = Scorer(_dictionaries(*counted, ratio))
-        distances = [scorer.distances(matrix[first[i] : first[i + 1]]) for i in held.tolist()]
+    for made in _candidates(once(~out & (y == 1)), once(~out & (y == 0))):
+        scorer = Scorer(made)
+        distances = [scorer.distances(_code(rows[i])) for i in held.tolist()]
         top = np.array([max(d, default=0) for d in distances])
         threshold = max(range(1, 2 * CODE), key=lambda t: (_f1(top >= t, truth), -t))
-        best = max(best, (_f1(top >= threshold, truth), ratio, threshold, _fit(np.array([_features(d, threshold) for d in distances]), truth)))
-    _, ratio, threshold, weights = best
-    final = _dictionaries(*(_contexts(hashes, first, np.flatnonzero(y == c)) for c in (1, 0)), ratio)
-    return Model(final.toxic, final.ordinary, threshold, weights)
-
-
-def _dictionaries(toxic: tuple, ordinary: tuple, ratio: float) -> Model:
-    """Both dictionaries; they are alike in length, so that distances differ by content alone."""
-    every, a, b = _both(toxic, ordinary)
-    own_t, own_o = _own(every, a, b, toxic[2], ordinary[2], ratio), _own(every, b, a, ordinary[2], toxic[2], ratio)
-    frequent = every[np.lexsort((every, -(a + b)))]
-    both = frequent[~np.isin(frequent, own_t)][:SHARED_WORDS][::-1]
-    width = max(len(own_t), len(own_o), 1)
-    pad = lambda own: _code(np.concatenate([both, np.resize(both, width - len(own)) if len(both) else both, own])).tobytes() or b" "
-    return Model(pad(own_t), pad(own_o), 0, ())
-
-
-def _f1(hit: np.ndarray, y: np.ndarray) -> float:
-    """F1 of a threshold."""
-    right = (hit & (y == 1)).sum()
-    return 2 * right / max(1, hit.sum() + (y == 1).sum())
+        x = np.array([features(d, threshold) for d in distances])
+        weights = _fit(x, truth)
+        best = max(best, (_f1(x @ np.array(weights) >= 0, truth), made.toxic, made.ordinary, threshold, weights))
+    return Model(*best[1:])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,10 +219,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of these tables; the driver holds the bounded sample alone."""
-    rows = sorted(training_rows(docs, labels).toLocalIterator(), key=lambda r: r["doc_id"])
+    """The model of these tables; the driver holds the bounded sample's word hashes alone."""
+    found: dict[tuple[int, bytes], tuple] = {}
+    for r in training_rows(docs, labels).toLocalIterator():
+        own = _hashes(*flat(pa.array([r["text"] or ""], pa.large_string())))[0]
+        key = r["y"], own.tobytes()
+        found[key] = min(found.get(key, (r["doc_id"], own)), (r["doc_id"], own), key=lambda x: x[0])
+    rows = sorted(((d, y, own) for (y, _), (d, own) in found.items()), key=lambda x: x[:2])
     try:
-        return train([r["text"] for r in rows], [r["y"] for r in rows])
+        return train([x[2] for x in rows], [x[1] for x in rows])
     finally:
         release()
 
@@ -232,6 +236,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     """``keep`` and a score from 0 to 1 of every text; a narrow map without a shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    free_names(keep, (name,))
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
 
