@@ -1,12 +1,15 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is read once into flat blocks.  Each block has its word count, its link density, the same of its
-neighbours, its tag and the zone it stands in; a decision tree, grown here from a small labelled table, keeps
-or drops it.  Zones come from the nearest container that says what it holds (article, nav, footer, a class
-such as ``ad`` or ``comments``); without one the counts decide.
+neighbours, whether it is a heading or a list item, and the zone it stands in; a decision tree, grown here from a
+small labelled table of many layouts, keeps or drops it.  Zones come from the nearest container whose tag, or a
+whole token of whose class, id or role, says what it holds (article, nav, site-footer, comments); body and html
+give none, and a token with any unknown part (has-sidebar, side-by-side) gives none.  Without a zone the counts
+decide.  A page that loses everything this way is judged again by its counts alone, as then a hint was wrong.
 
 Defined results: null and empty pages have the empty text.  Markup that never ends is read to the page's end;
-end tags without a start are passed over.  Repeated rows each get a row.  Nothing kept is shortened.
+end tags without a start are passed over.  Repeated rows each get a row.  Nothing kept is shortened.  A kept column
+must not be called text (ValueError).
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.session import bounded_batches, column, lean
+from quire.llm.session import bounded_batches, column, free_names, lean
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose text is never shown, or is no prose.
 HIDDEN = frozenset("script style noscript template iframe object svg math head textarea select option button canvas audio video datalist".split())
@@ -32,13 +35,17 @@ _RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements, and words of class, id or role, that name a zone.
-ARTICLE, MENU, ASIDE = 1, 2, 3
-ZONE_OF_TAG = {"article": ARTICLE, "main": ARTICLE, "nav": MENU, "footer": MENU, "header": MENU, "menu": MENU, "aside": ASIDE, "form": ASIDE, "dialog": ASIDE, "fieldset": ASIDE}
+ARTICLE, MENU, ASIDE, FORM = 1, 2, 3, 4
+ZONE_OF_TAG = {"article": ARTICLE, "main": ARTICLE, "nav": MENU, "footer": MENU, "header": MENU, "menu": MENU, "aside": ASIDE, "form": FORM, "dialog": ASIDE, "fieldset": FORM}
 ZONE_OF_WORD = {
     **dict.fromkeys("article post story entry main body content".split(), ARTICLE),
     **dict.fromkeys("nav navigation navbar menu menubar breadcrumb breadcrumbs footer header masthead topbar toolbar pagination pager banner contentinfo".split(), MENU),
-    **dict.fromkeys("ad ads advert advertisement sponsor sponsored promo promotion sidebar side comment comments reply replies disqus cookie cookies consent notice alert popup modal newsletter subscribe signup login share sharing social related recommended widget complementary search form legal copyright".split(), ASIDE),
+    **dict.fromkeys("ad ads advert advertisement sponsor sponsored promo promotion sidebar comment comments reply replies respond disqus cookie cookies consent notice alert popup modal newsletter subscribe signup login share sharing social related recommended widget widgets complementary search legal copyright".split(), ASIDE),
 }
+#: Parts of tokens that say nothing of what a container holds.
+NEUTRAL = frozenset("site page global web blog single left right top bottom upper lower inner outer primary secondary section sections wrapper wrap container box block area region group list item items text links link panel bar col column row the of and 1 2 3 4 5".split())
+#: Parts that mark what readers wrote, even in an article element.
+READERS = frozenset("comment comments reply replies respond disqus".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -52,20 +59,33 @@ class Block:
     item: bool
 
 
-def _zone(name: str, attributes: str, inside: int) -> int:
+def _hints(attributes: str) -> list[set[str]]:
+    """Tokens of class, id and role, in parts, of which all are known."""
+    found = (set(filter(None, _SPLIT.split(t))) for v in _HINT.findall(attributes) for t in v.strip("\"'").lower().split())
+    return [parts for parts in found if parts and all(p in ZONE_OF_WORD or p in NEUTRAL for p in parts)]
+
+
+def _zone(name: str, attributes: str, inside: int, hints: bool) -> int:
+    """The zone that an element begins, 0 if none."""
     zone = ZONE_OF_TAG.get(name, 0)
-    if name == "header" and inside == ARTICLE:
+    if not hints:
+        return 0 if zone == FORM else zone
+    if name == "header" and inside == ARTICLE or name == "article" and inside in (MENU, ASIDE):
         zone = 0
-    if attributes and name not in INLINE:
-        for value in _HINT.findall(attributes):
-            found = {ZONE_OF_WORD[w] for w in _SPLIT.split(value.lower()) if w in ZONE_OF_WORD}
-            if found and not (zone == ARTICLE and name in ("article", "main")):
-                zone = max(found)
+    if attributes and name not in INLINE and name not in ("body", "html"):
+        for parts in _hints(attributes):
+            named = max((ZONE_OF_WORD[p] for p in parts if p in ZONE_OF_WORD), default=0)
+            if named == MENU and "header" in parts and inside == ARTICLE:
+                continue
+            if named == ASIDE and parts & READERS:
+                return ASIDE
+            if named and not (zone == ARTICLE and name in ("article", "main")):
+                zone = max(zone, named) if zone in (MENU, ASIDE) else named
     return zone
 
 
-def blocks(page: str) -> list[Block]:
-    """Flat blocks of a page in order."""
+def blocks(page: str, hints: bool = True) -> list[Block]:
+    """Flat blocks of a page in order; without ``hints``, zones come from tags alone, and not from forms."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -131,8 +151,7 @@ def blocks(page: str) -> list[Block]:
             if name == "body":
                 stack.clear()
                 zone, hidden = 0, False
-            own = _zone(name, attributes, zone)
-            # What a menu or aside holds stays there; only an article is opened anew inside it.
+            own = _zone(name, attributes, zone, hints)
             zone = own or zone
             hidden = hidden or name in HIDDEN
             stack.append((name, zone, hidden))
@@ -196,34 +215,45 @@ def grow(rows: list[tuple], depth: int = 7):
     return f, bound, grow([r for r in rows if r[f] <= bound], depth - 1), grow([r for r in rows if r[f] > bound], depth - 1)
 
 
-def _coded(words: float, density: float, before: tuple, after: tuple, zone: int, heading: int, item: int) -> tuple:
+def _coded(words: float, density: float, before: tuple, after: tuple, zone: int, heading: int, item: int, zones: bool = True) -> tuple:
     """Zones as separate yes-or-no features, as they have no order."""
-    return words, density, *before, *after, int(zone == ARTICLE), int(zone == MENU), int(zone == ASIDE), heading, item
+    return words, density, *before, *after, *((int(zone == ARTICLE), int(zone == MENU), int(zone in (ASIDE, FORM))) if zones else ()), heading, item
 
 
-@lru_cache(maxsize=1)
-def tree():
-    return grow([(*_coded(r[0], r[1], r[2:4], r[4:6], *r[6:9]), r[9]) for r in TABLE])
+@lru_cache(maxsize=2)
+def tree(zones: bool = True):
+    """The decision tree; without ``zones``, of counts alone."""
+    rows = TABLE if zones else [r for r in TABLE if r[6] in (0, ARTICLE) or r[1] > 0.3]
+    return grow([(*_coded(r[0], r[1], r[2:4], r[4:6], *r[6:9], zones), r[9]) for r in rows])
 
 
-def main_text(page: str | None) -> str:
-    """The kept blocks, joined by an empty line."""
-    found = blocks(page or "")
-    root, kept, none = tree(), [], (0, 0.0)
+def judged(found: list[Block], zones: bool = True) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    out, none = [], (0, 0.0)
     for i, b in enumerate(found):
         before = (found[i - 1].words, found[i - 1].density) if i else none
         after = (found[i + 1].words, found[i + 1].density) if i + 1 < len(found) else none
-        x, node = _coded(b.words, b.density, before, after, b.zone, int(b.heading), int(b.item)), root
+        x, node = _coded(b.words, b.density, before, after, b.zone, int(b.heading), int(b.item), zones), tree(zones)
         while not isinstance(node, int):
             node = node[2] if x[node[0]] <= node[1] else node[3]
-        if node:
-            kept.append(b.text)
-    return "\n\n".join(kept)
+        out.append(bool(node))
+    return out
+
+
+def main_text(page: str | None, zones: bool = True) -> str:
+    """The kept blocks, joined by an empty line."""
+    found = blocks(page or "")
+    kept = judged(found, zones)
+    if found and not any(kept):
+        found = blocks(page or "", hints=False)
+        kept = judged(found, zones)
+    return "\n\n".join(b.text for b, k in zip(found, kept) if k)
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:
     """``keep`` and ``text string`` of every page; a narrow map."""
     bounded_batches(pages.sparkSession)
+    free_names(keep, ("text",))
     rows = pages.select(*(column(pages, c).alias(c) for c in keep), column(pages, source).cast("string").alias("_html_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

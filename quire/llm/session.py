@@ -104,3 +104,10 @@ def places(parts: int, each: int) -> np.ndarray:
 def column(frame: DataFrame, name: str):
     """A column by its exact name, whatever other columns are called."""
     return frame[f"`{name}`"]
+
+
+def free_names(keep: tuple[str, ...], made: tuple[str, ...]) -> None:
+    """Kept columns must not have the names of columns that an operator makes, nor one name twice."""
+    taken = sorted({c for c in keep if c in made or keep.count(c) > 1})
+    if taken:
+        raise ValueError(f"column names are taken: {taken}")
