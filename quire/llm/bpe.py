@@ -5,7 +5,8 @@ searched again and again, its boundary deleted, and the ranks to both sides refr
 ``LONG_WORD`` bytes, for which repeated scans would be quadratic, use a heap over the same ranks.
 
 Defined results: null counts as the empty text, which has no ids and decodes to the empty text.  Repeated
-rows each get a row.  Columns of the input other than those asked for never enter.
+rows each get a row.  Columns of the input other than those asked for never enter; a kept one must not have a made
+one's name (ValueError).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.pretokens import NOT_PLAIN, PIECE, PackedWords, encode_rows, library, special_pattern, vocabulary
-from quire.llm.session import bounded_batches, column, lean
+from quire.llm.session import bounded_batches, column, free_names, lean
 
 LONG_WORD = 160
 _NONE = 1 << 60
@@ -125,6 +126,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
     """
     bounded_batches(docs.sparkSession)
     fields = fields or (("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string"))
+    free_names(keep, tuple(n for n, _, _ in fields))
     source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{n} {s}" for n, _, s in fields])
 

@@ -1,19 +1,23 @@
 """Benchmark decontamination: a prefix-filtered set join on rare shingles.
 
-A window of ``window`` item words occurs in a document only if each of its shingles does, so one shingle a
-window is the necessary prefix.  Shingles are ordered by rarity in the corpus and each window joins by its
-rarest.  A joined position gives the window's start in the document; length and position bounds follow, and
-the whole window is then compared.  The item side is a stated query set: it is broadcast in blocks of at most
-``BLOCK_WINDOWS`` windows and the documents are passed once a block, whatever its size.
-
-Defined results: null and empty texts have no words; items without words have no window; items of fewer words
-than a window are one window; repeated item rows count once by item_id; windows of items without item_id count for
-spans, but not among items; documents are judged row by row.
+A window of ``window`` item words occurs in a document only if each of its shingles does, so one shingle a window
+is the necessary prefix.  Shingles are ordered by rarity in the corpus, which one pass counts in ``SLOTS`` counters
+for all items together (any order is right, a good one is fast), and each window joins by its rarest.  A joined
+position gives the window's start in the document; length and position bounds follow, and the whole window is then
+compared.
+
+The item side is a stated query set, broadcast in blocks of bounded bytes (``BLOCK_WINDOWS`` windows at most);
+longer items are cut between windows.  A document's row passes one block after the other and carries what it has found, so blocks need neither
+row numbers nor a join; after every ``CHAIN`` blocks rows are written to the shared folder.
+
+Defined results: null and empty texts have no words; items without words have no window; items of fewer words than
+a window are one window; repeated item rows count once by item_id; windows of items without item_id count for
+spans, but not among items; documents are judged row by row.  Kept columns must not have the names of made ones
+(ValueError, whatever the number of blocks).
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.session import bounded_batches, column, lean
+from quire.llm.membership import bitmap, has
+from quire.llm.session import bounded_batches, column, free_names, lean, materialised, shared_folder
 from quire.llm.spans import ALNUM, LOWER_VALUE, Prefix, chunks, flat, shingles, words
 
-#: Windows of a broadcast block: about 200 bytes each, so a block is some 100 MB at most.
-BLOCK_WINDOWS = 500_000
+#: Windows of a broadcast block and bytes of one with its tables (64 MB a block), and blocks that a document's row
+#: passes in one job.
+BLOCK_WINDOWS, WINDOW_BYTES, CHAIN = 320_000, 200, 4
+#: Counters of the items' shingles.
+SLOTS = 1 << 20
 SHINGLE = 4
 
 
@@ -46,17 +54,11 @@ class Block:
             grams = np.array([shingles(r, k) for r in table], dtype=np.uint64).reshape(len(table), size - k + 1)
             self.lengths[size] = {"owner": np.array([o for o, _ in some]), "words": table, "k": k, "grams": grams}
 
-    def shingle_set(self) -> dict[int, np.ndarray]:
-        out: dict[int, list[np.ndarray]] = {}
-        for x in self.lengths.values():
-            out.setdefault(x["k"], []).append(x["grams"].ravel())
-        return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
+    def order(self, counts: np.ndarray) -> None:
         """Chooses each window's rarest shingle (ties: the smaller hash) as its prefix token."""
         for x in self.lengths.values():
             g = x["grams"]
-            rarity = np.array([counts.get((x["k"], int(v)), 0) for v in g.ravel()], dtype=np.int64).reshape(g.shape)
+            rarity = counts[(g & np.uint64(SLOTS - 1)).astype(np.int64)]
             best = np.lexsort((g, rarity), axis=1)[:, 0]
             token = g[np.arange(len(g)), best]
             by = np.argsort(token, kind="stable")
@@ -113,41 +115,59 @@ def _blocks(items: DataFrame, window: int) -> Iterator[Block]:
     for item, text in items.toLocalIterator():
         data = np.frombuffer((text or "").encode(), dtype=np.uint8)
         hashes, _ = _word_hashes(data, np.array([0, len(data)]))
-        if len(hashes):
-            held.append((item, hashes))
-            size += max(1, len(hashes) - window + 1)
-        if size >= BLOCK_WINDOWS:
-            yield Block(held, window)
-            held, size = [], 0
+        many = max(1, len(hashes) - window + 1)
+        for at in range(0, many if len(hashes) else 0, BLOCK_WINDOWS):
+            part = hashes[at : at + BLOCK_WINDOWS + window - 1]
+            own = WINDOW_BYTES * max(1, len(part) - window + 1) + len(item or "")
+            if held and size + own > BLOCK_WINDOWS * WINDOW_BYTES:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((item, part))
+            size += own
     if held:
         yield Block(held, window)
 
 
-def _counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """Occurrences of the items' shingles over all documents; as many rows as the block has shingles at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _counts(docs: DataFrame, items: DataFrame, window: int) -> np.ndarray:
+    """How often the items' shingles occur in all documents, by counter; one pass for all items."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, first = _word_hashes(*flat(batch.column(0)))
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                k = min(SHINGLE, window, b - a)
+                if k:
+                    own = np.unique(shingles(hashes[a:b], k))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k)), pa.array(own.view(np.int64))], ["k", "gram"])
+
+    asked = items.select("text").mapInArrow(lean(grams), "k bigint, gram bigint")
+    sizes = [r["k"] for r in asked.select("k").distinct().toLocalIterator()]  # SHINGLE at most
+    table = np.zeros(SLOTS, dtype=np.int64)
+    if not sizes:
+        return table
+    marks = bitmap(asked.select("gram"), lambda b: b.column(0).to_numpy().view(np.uint64), SLOTS)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(len(v), dtype=np.int64) for k, v in shared.value.items()}
-        sieve = {}
-        for k, v in shared.value.items():
-            sieve[k] = np.zeros(1 << 16, dtype=bool)
-            sieve[k][(v & np.uint64(0xFFFF)).astype(np.int64)] = True
+        total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for a, b in chunks(offsets):
                 hashes, _ = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for k, v in shared.value.items():
-                    grams = shingles(hashes, k)
-                    if len(grams):
-                        np.add.at(total[k], _members(grams, v, sieve[k])[1], 1)
-        for k, v in shared.value.items():
-            seen = np.flatnonzero(total[k])
-            if len(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k)), pa.array(v[seen].view(np.int64)), pa.array(total[k][seen])], ["k", "gram", "n"])
+                for k in sizes:
+                    own = shingles(hashes, k)
+                    slot, n = np.unique((own[has(shared.value, own)] & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
+                    total[slot] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
+
+    found = docs.select(column(docs, "text").cast("string").alias("text")).mapInArrow(lean(run), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    for r in found.toLocalIterator():
+        table[r["slot"]] = r["n"]
+    return table
 
-    found = docs.select(column(docs, "text").cast("string").alias("text")).mapInArrow(lean(run), "k bigint, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    return {(r["k"], r["gram"] & (2**64 - 1)): r["n"] for r in found.toLocalIterator()}
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -159,58 +179,47 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, .
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    free_names(keep, ("n_words", "spans", "items", "_text_"))
     wanted = items.select(column(items, "item_id").cast("string").alias("item"), column(items, "text").cast("string").alias("text"))
-    source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), F.expr("cast(array() as array<string>)")
+    rows = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"), F.lit(0).cast("bigint").alias("n_words"), empty[0].alias("spans"), empty[1].alias("items"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    at = len(keep)
 
-    def one(block: Block | None) -> DataFrame:
-        if block is not None:
-            block.order(_counts(docs, block.shingle_set()))
+    def passed(rows: DataFrame, block: Block | None) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = flat(batch.column(len(keep)))
+                data, offsets = flat(batch.column(at))
                 counts: list[np.ndarray] = []
-                spans: list[list] = [[] for _ in range(batch.num_rows)]
-                hit: list[set] = [set() for _ in range(batch.num_rows)]
+                spans: dict[int, list] = {}
+                hit: dict[int, set] = {}
                 for a, b in chunks(offsets):
                     hashes, first = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     counts.append(np.diff(first))
                     for row, start, size, owner in find(shared.value, hashes, first) if shared.value else ():
                         for r, s, o in zip(row.tolist(), start.tolist(), owner.tolist()):
-                            spans[a + r].append((s, s + size))
-                            hit[a + r].update(() if (item := shared.value.items[o]) is None else (item,))
+                            spans.setdefault(a + r, []).append((s, s + size))
+                            hit.setdefault(a + r, set()).update(() if (item := shared.value.items[o]) is None else (item,))
                 n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-                made = [pa.array(n.astype(np.int64)), pa.array([[{"start": s, "end": e} for s, e in merged(x)] for x in spans], type=span_type), pa.array([sorted(x) for x in hit], type=pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_words", "spans", "items"])
-
-        return source.mapInArrow(lean(run), ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
-
-    parts = [one(b) for b in _blocks(wanted, window)] or [one(None)]
-    return parts[0] if len(parts) == 1 else _joined(parts, source, keep, kept, span_type)
-
-
-def _joined(parts: list[DataFrame], source: DataFrame, keep: tuple[str, ...], kept: list[str], span_type: pa.DataType) -> DataFrame:
-    """Results of several blocks by document row; only rows with hits meet again, beside one row a document."""
-    raise_on = [c for c in keep if c in ("n_words", "spans", "items")]
-    if raise_on:
-        raise ValueError(f"column names are taken: {raise_on}")
-    ids = [F.monotonically_increasing_id().alias("_row")]
-    frames = [p.select("*", *ids) for p in parts]
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f.where(F.size("spans") > 0))
-    grouped = rows.groupBy("_row").agg(*(F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in keep), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("spans")
-            spans = pa.array([[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in row])] for row in batch.column(at).to_pylist()], type=span_type)
-            yield pa.RecordBatch.from_arrays([spans if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    return grouped.drop("_row").mapInArrow(lean(run), ", ".join([*kept, "n_words bigint", "spans array<struct<start: bigint, end: bigint>>", "items array<string>"]))
+                all_spans, all_items = batch.column(at + 2).to_pylist(), batch.column(at + 3).to_pylist()
+                for r, own in spans.items():
+                    all_spans[r] = [{"start": s, "end": e} for s, e in merged([*((x["start"], x["end"]) for x in all_spans[r]), *own])]
+                    all_items[r] = sorted({*all_items[r], *hit[r]})
+                made = [pa.array(n.astype(np.int64)), pa.array(all_spans, type=_SPANS), pa.array(all_items, type=pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *made], batch.schema.names)
+
+        return rows.mapInArrow(lean(run), schema)
+
+    counts = _counts(docs, wanted, window)
+    n = 0
+    for n, block in enumerate(_blocks(wanted, window), 1):
+        if n > 1 and n % CHAIN == 1:
+            rows = materialised(rows, shared_folder(spark), "rows")
+        block.order(counts)
+        rows = passed(rows, block)
+    return (rows if n else passed(rows, None)).drop("_text_")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

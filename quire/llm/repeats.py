@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.membership import bitmap, has, size_for
-from quire.llm.session import bounded_batches, column, lean, materialised, partitions, places, shared_folder
+from quire.llm.session import bounded_batches, column, free_names, lean, materialised, partitions, places, shared_folder
 from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 
 LENGTH, GRAM = 100, 16
@@ -502,14 +502,10 @@ def cut(text: str | None, ranges: list[tuple[int, int]], characters: bool = Fals
 
 def dedupe(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:
     """``keep``, ``n_bytes bigint``, ``spans array<struct<start, end>>`` (maximal removed runs of bytes) and
-    ``kept binary`` of every text."""
+    ``kept binary`` of every text (which is why the text itself can't be kept)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    taken = {"doc", "h", "ranges", "n_bytes", "spans", "kept"} & set(keep)
-    if taken:
-        raise ValueError(f"column names are taken: {sorted(taken)}")
-    if "text" in keep:
-        raise ValueError("the text itself comes back as kept")
+    free_names(keep, ("doc", "h", "text", "ranges", "n_bytes", "spans", "kept"))
     texts, ranges, bits = find(docs, shared_folder(spark), keep)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[: len(keep)]]

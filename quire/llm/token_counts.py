@@ -12,7 +12,7 @@ Sections may overlap, nest and leave gaps; tokens in no section are counted as o
 character that two tokens share belong to both tokens' spans, as the library's offsets have it.
 
 Defined results: null counts as the empty text (no tokens); an empty section has none; sections beyond the
-text are cut at its end; repeated rows each get their rows.
+text are cut at its end; repeated rows each get their rows; a kept column must not have a made one's name (ValueError).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.pretokens import library_ids, widths
-from quire.llm.session import bounded_batches, column, lean
+from quire.llm.session import bounded_batches, column, free_names, lean
 
 RULES = ("start", "end", "split")
 
@@ -81,6 +81,7 @@ def attribute(docs: DataFrame, path: str, sections: Callable[[str], list[tuple[s
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     bounded_batches(docs.sparkSession)
+    free_names(keep, ("n_tokens", "n_outside", "sections"))
     source = docs.select(*(column(docs, c).alias(c) for c in keep), column(docs, "text").cast("string").alias("_text_"))
     kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("tokens", pa.float64()), ("crossing", pa.int64())]))
 
