@@ -23,14 +23,14 @@ from pyspark.sql.window import Window
 from quire.llm.session import column, partitions
 
 #: Up to eight words with the space around them, ending early at a word that closes a sentence.
-PIECE = r"\s*(?:\S*[^\s.!?]\s+){0,7}\S+\s*"
-#: A paragraph ends its section if its hash is divisible by this.
-PARAGRAPHS = 4
+PIECE = r"[ \t\n\x0B\f\r]*(?:[^ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r.!?][ \t\n\x0B\f\r]+){0,7}[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
+#: A paragraph ends its section if its hash begins with one of these digits.
+ENDS = "048c"
 _LEAST = -(2**63)
 
 
 def _hash(piece: Column) -> Column:
-    return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(piece))), 16, "0"), 1, 12)
+    return F.substring(F.md5(piece.cast("binary")), 1, 12)
 
 
 def fingerprint(text: Column) -> Column:
@@ -42,7 +42,7 @@ def fingerprint(text: Column) -> Column:
         return F.array_join(F.transform(F.when(blank, F.array(p)).otherwise(found), _hash), ".")
 
     nodes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph)
-    marked = F.transform(nodes, lambda p: F.concat(p, F.when(F.pmod(F.xxhash64(p), F.lit(PARAGRAPHS)) == 0, F.lit(";")).otherwise(F.lit(","))))
+    marked = F.transform(nodes, lambda p: F.concat(p, F.when(F.instr(F.lit(ENDS), F.substring(F.md5(p.cast("binary")), 1, 1)) > 0, F.lit(";")).otherwise(F.lit(","))))
     joined = F.regexp_replace(F.array_join(marked, ""), "[,;]$", "")
     sections = F.transform(F.split(joined, ";"), lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.lit("="), s))
     return F.array_join(F.transform(F.array(F.array_join(sections, ";")), lambda s: F.concat(F.sha2(F.regexp_replace(s, "=[^;]*", "").cast("binary"), 256), F.lit(":"), s)), "")
