@@ -119,3 +119,14 @@ def test_integrity_and_stream(spark, tmp_path):
     events = spark.readStream.schema("k int, seq int, v string").parquet(str(tmp_path / "in"))
     state_log.feed(events, ["k"], "seq", ["v"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {r["k"]: r["v"] for r in state_log.current(spark, str(tmp_path / "out"), ["k"], "seq", ["v"]).collect()} == {1: "b", 2: "c"}
+
+
+def test_dotenv_is_the_last_layer(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text('# keys\nexport LLM_API_KEY="k"\nLLM_MODEL=from-file # x\nLLM_TIMEOUT=7\n')
+    monkeypatch.setenv("LLM_TIMEOUT", "9")
+    monkeypatch.delenv("LLM_API_KEY", raising=False)
+    monkeypatch.delenv("LLM_MODEL", raising=False)
+    s = Settings.load({}, dotenv=tmp_path / ".env")
+    assert (s.api_key, s.model, s.timeout) == ("k", "from-file", 9.0)
+    with pytest.raises(ValueError):
+        Settings.load({}, dotenv=tmp_path / "none")
