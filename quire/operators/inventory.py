@@ -38,6 +38,11 @@ def inventory(documents: DataFrame, prompt_tokens: int = 300, input_price: float
 
 
 def with_total(rows: DataFrame) -> DataFrame:
-    """The rows, and one that sums them."""
-    total = rows.agg(F.lit(None).cast("bigint").alias("id"), F.lit("TOTAL").alias("title"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("images"), F.lit(0)).alias("images"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum("dollars"), F.lit(0.0)), 4).alias("dollars"))
-    return rows.select("id", "title", "words", "images", "tokens", "dollars").unionByName(total)
+    """The rows, and one that sums them, of one pass over them."""
+    each = rows.select(F.monotonically_increasing_id().alias("_row"), "id", "title", "words", "images", "tokens", "dollars")
+    total = F.grouping_id() != 0
+    own = lambda c: F.when(~total, F.first(c))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    dollars = F.round(F.coalesce(F.sum("dollars"), F.lit(0.0)), F.lit(4))
+    found = each.groupingSets([[F.col("_row")], []], F.col("_row")).agg(own("id").alias("id"), F.when(total, "TOTAL").otherwise(F.first("title")).alias("title"), *map(whole, ("words", "images", "tokens")), F.when(total, dollars).otherwise(F.first("dollars")).alias("dollars"))
+    return found.drop("_row")

@@ -27,17 +27,43 @@ def pack(pieces: Column, limit: int, heading: str = r"(?s)^\s*<h[12][\s>].*") ->
     return F.aggregate(pieces, start, step, lambda s: s["parts"])
 
 
+def ranged(rows: DataFrame, order: str, many: int | None = None) -> DataFrame:
+    """``_range``: the number of an order column's quantiles below a row's, so that what is ordered within books can be
+    split, however large a book is.  A range holds whole values of the column; the number of ranges follows the
+    session's partitions.  The column must be a number."""
+    many = many or 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = rows.agg(F.percentile_approx(order, [i / many for i in range(1, many)] or [1.0], 20 * many).alias("q")).first()["q"]
+    bounds = F.array(*(F.lit(x) for x in sorted(set(cut or []))))
+    return rows.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(order))), F.lit(-1)) if cut else F.lit(0))
+
+
 def carry_previous(rows: DataFrame, book: str, order: str, value: str, ok: str, limit: int = 12_000) -> DataFrame:
-    """``previous``: the value of the last successful row before, cut to its first characters."""
-    before = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("previous", F.coalesce(F.substring(F.last(F.when(F.col(ok), F.col(value)), ignorenulls=True).over(before), 1, limit), F.lit("")))
+    """``previous``: the value of the last successful row before, cut to its first characters.
+
+    Found within ranges of the order first; what each range ends with is then carried over the ranges, a row a book
+    and range."""
+    cut = F.when(F.col(ok), F.substring(F.col(value), 1, limit))
+    parts = ranged(rows, order).withColumn("_value", cut)
+    before = Window.partitionBy(book, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.where(F.col("_value").isNotNull()).groupBy(book, "_range").agg(F.max_by("_value", order).alias("_end"))
+    every = parts.select(book, "_range").distinct().join(ends, [book, "_range"], "left")
+    over = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(book, "_range", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
+    own = parts.withColumn("_own", F.last("_value", ignorenulls=True).over(before))
+    return own.join(carried, [book, "_range"], "left").withColumn("previous", F.coalesce("_own", "_carried", F.lit(""))).drop("_range", "_value", "_own", "_carried")
 
 
 def previous_parts(rows: DataFrame, group: str, order: str, value: str, limit: int = 6_000) -> DataFrame:
-    """``tail``: the last characters of all earlier parts, without placeholders."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = F.array_join(F.collect_list(F.regexp_replace(value, T.TOKEN, "")).over(before), "")
-    return rows.withColumn("tail", F.right(F.coalesce(joined, F.lit("")), F.lit(limit)))
+    """``tail``: the last characters of all earlier parts, without placeholders.
+
+    A fold over a group's parts in order, which holds the tail alone: linear in them."""
+    part = F.struct(F.col(order).alias("o"), F.regexp_replace(value, T.TOKEN, "").alias("text"), F.struct(*rows.columns).alias("row"))
+    start = F.struct(F.lit("").alias("tail"), F.expr("cast(array() as array<string>)").alias("tails"))
+    right = lambda x: F.right(x, F.lit(limit))
+    step = lambda s, p: F.struct(right(F.concat(s["tail"], F.coalesce(p["text"], F.lit("")))).alias("tail"), F.array_append(s["tails"], s["tail"]).alias("tails"))
+    grouped = rows.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    told = grouped.select(F.explode(F.arrays_zip("parts", F.aggregate("parts", start, step, lambda s: s["tails"]).alias("tails"))).alias("x"))
+    return told.select("x.parts.row.*", F.col("x.tails").alias("tail"))
 
 
 def relabel(found: Column, expected: Column) -> Column:
@@ -52,5 +78,10 @@ def play_order(entries: DataFrame) -> DataFrame:
 
 
 def dense_index(rows: DataFrame, book: str, position: str) -> DataFrame:
-    """``idx``: 1, 2, ... in order of position within a book."""
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy(book).orderBy(position)).cast("bigint"))
+    """``idx``: 1, 2, ... in order of position within a book; counted within ranges, whose sizes are then added up."""
+    parts = ranged(rows, position)
+    over = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy(book, "_range").count().select(book, "_range", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(book, "_range").orderBy(position)
+    found = parts.withColumn("idx", F.row_number().over(own)).join(before, [book, "_range"])
+    return found.withColumn("idx", (F.col("idx") + F.col("_before")).cast("bigint")).drop("_range", "_before")

@@ -75,8 +75,17 @@ def algebra(chapters: DataFrame, picked: DataFrame, excluded: DataFrame) -> Data
     return picked.select("book_id", "idx").distinct().join(excluded, ["book_id", "idx"], "left_anti").join(front, ["book_id", "idx"], "left_anti")
 
 
+#: Patterns that are broadcast at once.
+PATTERNS = 10_000
+
+
 def title_matches(chapters: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Patterns that are in exactly one title of a book.  The patterns are a short stated list; they are
-    checked against every title, which is all a containment test can do."""
-    found = chapters.join(patterns, F.lower("title").contains(F.lower("pattern")))
-    return found.groupBy("book_id", "pattern").agg(F.min("idx").alias("idx"), F.count("*").alias("n")).where("n = 1").drop("n")
+    """Patterns that are in exactly one title of a book.  The patterns are a stated list; they are checked against
+    every title, which is all a containment test can do, in blocks of some ``PATTERNS``, each broadcast."""
+    blocks = -(-patterns.count() // PATTERNS) or 1
+    found = None
+    for n in range(blocks):
+        block = F.broadcast(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == n))
+        matched = chapters.join(block, F.lower("title").contains(F.lower("pattern"))).groupBy("book_id", "pattern").agg(F.min("idx").alias("idx"), F.count("*").alias("n")).where("n = 1").drop("n")
+        found = matched if found is None else found.unionByName(matched)
+    return found

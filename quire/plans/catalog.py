@@ -124,22 +124,41 @@ _ENDPOINT = r"^https?://(localhost|127\.0\.0\.1|\[::1\]):11434/v1/*$"
 
 @query("SELECT url, model, regexp_matches(url, '" + _ENDPOINT + "') AND NOT contains(lower(model), 'cloud') AS is_local FROM (VALUES " + ", ".join(f"('{u}', '{m}')" for u, m in _ENDPOINTS) + ") t(url, model)")
 def f10_local_endpoint(spark, d):
-    """loopback endpoints on the usual port."""
-    rows = spark.createDataFrame(_ENDPOINTS, "url string, model string")
-    return rows.select("url", "model", (F.col("url").rlike(_ENDPOINT) & ~F.lower("model").contains("cloud")).alias("is_local"))
+    """loopback endpoints on the usual port, and no model in a cloud behind them."""
+    from quire.plans.settings import Settings
+
+    @F.pandas_udf("boolean")
+    def local(urls: pd.Series, models: pd.Series) -> pd.Series:
+        return pd.Series([Settings(base_url=u, model=m).local() for u, m in zip(urls, models)])
+
+    return spark.createDataFrame(_ENDPOINTS, "url string, model string").select("url", "model", local("url", "model").alias("is_local"))
 
 
 @query("SELECT doc_id, (doc_id % 3 = 0) OR (((doc_id % 5) > 0 OR (doc_id % 7) > 0) AND NOT (doc_id % 2 = 0)) AS priced FROM documents")
 def f11_priced(spark, d):
-    """local, or priced and not mixed."""
-    i = F.col("doc_id")
-    return table(spark, d, "documents").select(i, ((i % 3 == 0) | ((((i % 5) > 0) | ((i % 7) > 0)) & ~(i % 2 == 0))).alias("priced"))
+    """whether a price can be told, of settings made from doc_id: local or not, with prices or not, and with a
+    cloud's model for pictures or without."""
+    from quire.plans.settings import Settings
+
+    @F.pandas_udf("boolean")
+    def priced(ids: pd.Series) -> pd.Series:
+        own = "http://localhost:11434/v1"
+        made = (Settings(base_url=own if i % 3 == 0 or i % 2 == 0 else "https://models.example/v1", model="m", vision_model="m-cloud" if i % 3 else "m", input_price=i % 5, output_price=i % 7) for i in ids)
+        return pd.Series([x.priced(describe_images=True) for x in made])
+
+    return table(spark, d, "documents").select("doc_id", priced("doc_id").alias("priced"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND trim(text) <> ''")
+@query("SELECT conv_id, turn FROM conversations WHERE turn % 4 <> 3 AND regexp_matches(text, '\\S')")
 def f12_usable_turns(spark, d):
-    """finished, non-blank answers."""
-    return table(spark, d, "conversations").where((F.col("role") == "assistant") & (F.trim("text") != "")).select("conv_id", "turn")
+    """replies that ended by themselves and have text; every fourth was cut by its limit."""
+    from quire.plans.completer import unusable
+
+    @F.pandas_udf("boolean")
+    def usable(turns: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([unusable("length" if n % 4 == 3 else "stop", x) is None for n, x in zip(turns, texts)])
+
+    return table(spark, d, "conversations").where(usable("turn", "text")).select("conv_id", "turn")
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_WORDS}'))::BIGINT AS words FROM documents")
@@ -436,14 +455,14 @@ def l2_preview(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("""SELECT d.doc_id, coalesce(substr(last_value(CASE WHEN d.lang <> 'de' THEN d.text END IGNORE NULLS) OVER (PARTITION BY d.source ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1, 1200), '') AS previous FROM documents d""")
+@query("""SELECT d.doc_id, coalesce(substr(last_value(CASE WHEN d.lang <> 'de' THEN d.text END IGNORE NULLS) OVER (PARTITION BY d.source ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1, 12000), '') AS previous FROM documents d""")
 def w2_carry_previous(spark, d):
     """What the last successful chapter gave."""
     rows = table(spark, d, "documents").select("doc_id", "source", "text", (F.col("lang") != "de").alias("ok"))
     return P.carry_previous(rows, "source", "doc_id", "text", "ok").select("doc_id", "previous")
 
 
-@query("""SELECT conv_id, turn, coalesce(right(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 600), '') AS tail FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(right(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6000), '') AS tail FROM conversations""")
 def w3_prefix_tail(spark, d):
     """The end of all earlier parts."""
     return P.previous_parts(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "tail")
@@ -491,7 +510,7 @@ def w11_part1_title(spark, d):
 _ESCAPE = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query(f"SELECT page_id, {_ESCAPE.format(x='substr(html, 1, 400)')} AS escaped FROM pages")
+@query(f"SELECT page_id, {_ESCAPE.format(x='html')} AS escaped FROM pages")
 def x8_escape(spark, d):
     """Markup-safe text."""
     return table(spark, d, "pages").select("page_id", T.escape(F.col("html")).alias("escaped"))
@@ -541,30 +560,32 @@ def d16_live_props(spark, d):
 
 
 def _fragment():
-    """A flat fragment with an image and code in every page, from its own title and url."""
-    return F.concat(F.lit("<h1>"), T.escape(F.coalesce(I.heading(F.col("html")), F.lit(""))), F.lit('</h1><p>before</p><figure><img src="'), T.escape(F.col("url")), F.lit('"/></figure><p>text <code>x = 1</code> after</p>'))
+    """A flat fragment with an image and code in every page: its title, its url, and its whole markup as text."""
+    return F.concat(F.lit("<h1>"), T.escape(F.coalesce(I.heading(F.col("html")), F.lit(""))), F.lit('</h1><p>before</p><figure><img src="'), T.escape(F.col("url")), F.lit('"/></figure><p>text <code>x = 1</code> after</p><p>'), T.escape(F.col("html")), F.lit("</p>"))
 
 
 _ESCAPE_TEXT = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_FRAGMENT_TITLE = "'<h1>' || " + _ESCAPE_TEXT.format(x=_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))) + " || '</h1><p>before</p>'"
+_FRAGMENT_PAGE = "'<p>' || " + _ESCAPE_TEXT.format(x="html") + " || '</p>'"
 
 
-@query(f"SELECT page_id, '<h1>' || {_ESCAPE_TEXT.format(x=_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG)))} || '</h1><p>before</p>' || chr(10) || '[[IMG_1]]' || chr(10) || '<p>text ' || chr(10) || '[[CODE_2]]' || chr(10) || ' after</p>' AS xhtml, 2::BIGINT AS n_tokens FROM pages")
+@query(f"SELECT page_id, {_FRAGMENT_TITLE} || chr(10) || '[[IMG_1]]' || chr(10) || '<p>text ' || chr(10) || '[[CODE_2]]' || chr(10) || ' after</p>' || {_FRAGMENT_PAGE} AS xhtml, 2::BIGINT AS n_tokens FROM pages")
 def d01_protect(spark, d):
-    """Images and code give way to placeholders."""
+    """Images and code give way to placeholders; all else stays."""
     from quire.operators.markup import protect_column
 
     rows = table(spark, d, "pages").select("page_id", protect_column(_fragment()).alias("p"))
     return rows.select("page_id", F.col("p.xhtml").alias("xhtml"), F.size("p.tokens").cast("bigint").alias("n_tokens"))
 
 
-@query("SELECT page_id, true AS same FROM pages")
+@query(f"SELECT page_id, replace({_FRAGMENT_TITLE} || '<figure><img src=\"' || " + _ESCAPE_TEXT.format(x="url") + f" || '\"/></figure><p>text <code>x = 1</code> after</p>' || {_FRAGMENT_PAGE}, chr(10), '') AS restored FROM pages")
 def d05_restore(spark, d):
     """Restored fragments are what they were, but for the lines that placeholders stood on."""
     from quire.operators.markup import canonicalize_column, protect_column, restore_column
 
-    rows = table(spark, d, "pages").select("page_id", F.col("url"), protect_column(_fragment()).alias("p"))
+    rows = table(spark, d, "pages").select("page_id", protect_column(_fragment()).alias("p"))
     whole = restore_column(canonicalize_column(F.col("p.xhtml"), F.col("p.tokens")), F.col("p.tokens"), F.col("p.markup"))
-    return rows.select("page_id", (whole.contains("<code>x = 1</code>") & whole.contains(F.concat(F.lit('<img src="'), T.escape(F.col("url"))))).alias("same"))
+    return rows.select("page_id", F.replace(whole, F.lit("\n"), F.lit("")).alias("restored"))
 
 
 @query()
@@ -618,7 +639,7 @@ def x10_url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"))
 
 
-@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(substr(text, 1, 40)::BLOB) AS uri FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[ -~]*')")
+@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM documents")
 def x11_data_uri(spark, d):
     """X11: data URIs."""
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "\\s", "")).alias("uri"))
@@ -632,43 +653,51 @@ def x14_timestamp(spark, d):
 
 @query("SELECT doc_id, least(600.0, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE ELSE least(60.0, pow(2.0, doc_id % 8)) END) AS delay FROM documents")
 def x15_retry_delay(spark, d):
-    """The part of a delay that isn't random."""
-    i = F.col("doc_id")
-    return table(spark, d, "documents").select(i, F.least(F.lit(600.0), F.when(i % 3 == 0, i.cast("double")).otherwise(F.least(F.lit(60.0), F.pow(F.lit(2.0), i % 8)))).alias("delay"))
+    """Delays that a server asks for, or grow by themselves; without the part of a second that is random."""
+    from quire.plans.completer import retry_delay
+
+    @F.pandas_udf("double")
+    def delay(ids: pd.Series) -> pd.Series:
+        return pd.Series([float(int(retry_delay(str(i) if i % 3 == 0 else None, int(i % 8)))) for i in ids])
+
+    return table(spark, d, "documents").select("doc_id", delay("doc_id").alias("delay"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'term conflict' WHEN doc_id % 7 = 0 THEN 'the answer is no' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title FROM documents")
+_PLAIN = r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'term conflict' WHEN doc_id % 7 = 0 THEN 'the answer is no' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE md5(replace('<p>' || {_ESCAPE_TEXT.format(x=_PLAIN)} || '</p>', chr(13), '')) END AS body FROM documents")
 def d07_parse_response(spark, d):
-    """Responses read, or what is wrong with them."""
+    """Responses that hold whole texts, read, or what is wrong with them."""
     from quire.operators.markup import parse_response
 
-    @F.pandas_udf("struct<error: string, title: string>")
+    @F.pandas_udf("struct<error: string, title: string, body: string>")
     def read(values: pd.Series) -> pd.DataFrame:
         rows = []
         for x in values:
             try:
-                rows.append(("", parse_response(x, {"term": "fixed"})[1]))
+                body, title, _ = parse_response(x, {"term": "fixed"})
+                rows.append(("", title, body))
             except ValueError as e:
-                rows.append((str(e), None))
-        return pd.DataFrame(rows, columns=["error", "title"])
+                rows.append((str(e), None, None))
+        return pd.DataFrame(rows, columns=["error", "title", "body"])
 
     i = F.col("doc_id")
     rendering = F.when(i % 5 == 0, "other").otherwise("fixed")
-    response = F.concat(F.lit('<section data-role="summary" data-title="'), F.col("source"), F.lit('"><p>x</p></section><dl data-role="glossary"><dt>term</dt><dd>'), rendering, F.lit("</dd></dl>"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")  # XML has no such characters
+    response = F.concat(F.lit('<section data-role="summary" data-title="'), F.col("source"), F.lit('"><p>'), T.escape(plain), F.lit('</p></section><dl data-role="glossary"><dt>term</dt><dd>'), rendering, F.lit("</dd></dl>"))
     sent = F.when((i % 7 == 0) & (i % 5 != 0), F.concat(F.lit("<p>"), response)).otherwise(response)
     rows = table(spark, d, "documents").select("doc_id", read(sent).alias("r"))
-    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(term conflict|the answer is no)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"))
+    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(term conflict|the answer is no)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"), F.md5(F.replace("r.body", F.lit("\r"), F.lit("")).cast("binary")).alias("body"))
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
-    """Packages made of pages, ten a book: path and content."""
+    """Packages made of whole pages, ten a book: path and content."""
     import io
     import zipfile
-    from html import escape
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        files = [(f"c{r.id}.xhtml", r.title or "") for r in rows.itertuples()]
+        files = [(f"c{r.id}.xhtml", r.markup or "<body/>") for r in rows.sort_values("id").itertuples()]
         items = "".join(f'<item id="i{n}" href="{f}" media-type="application/xhtml+xml"/>' for n, (f, _) in enumerate(files))
         refs = "".join(f'<itemref idref="i{n}"/>' for n in range(len(files)))
         out = io.BytesIO()
@@ -676,27 +705,63 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
             z.writestr("mimetype", "application/epub+zip")
             z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="book.opf"/></rootfiles></container>')
             z.writestr("book.opf", f'<package><metadata/><manifest>{items}</manifest><spine>{refs}</spine></package>')
-            for f, title in files:
-                z.writestr(f, f"<html><head/><body><h1>{escape(title)}</h1><p>text</p></body></html>")
+            for f, markup in files:
+                z.writestr(f, markup)
         return pd.DataFrame([(f"book{rows['book'].iloc[0]}.epub", out.getvalue())], columns=["path", "content"])
 
-    rows = pages(spark, d).select("id", I.heading(F.col("markup")).alias("title"), F.floor(F.col("id") / 10).alias("book"))
+    rows = pages(spark, d).select("id", "markup", F.floor(F.col("id") / 10).alias("book"))
     return rows.groupBy("book").applyInPandas(pack, "path string, content binary")
 
 
-@query(f"SELECT 'book' || page_id // 10 || '.epub' AS book, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id)::INTEGER AS idx, 'c' || page_id || '.xhtml' AS path, trim(regexp_replace({_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))}, '\\s+', ' ', 'g')) AS title FROM pages")
+_HEAD_TEXT = f"trim(regexp_replace({_UNESCAPE.format(x=_STRIP.format(x=_HEADING))}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT 'book' || page_id // 10 || '.epub' AS book, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id)::INTEGER AS idx, 'c' || page_id || '.xhtml' AS path, {_HEAD_TEXT} AS title, len(regexp_extract_all(html, '<img[\\s/>]'))::INTEGER AS images FROM pages")
 def s1_package_scan(spark, d):
-    """Packages written and read back as chapters."""
+    """Packages of whole pages, written and read back as chapters."""
     from quire.sources import epub
 
     books = epub.read_archives(_books(spark, d))
-    return books.select(F.col("path").alias("book"), F.inline("chapters")).select("book", "idx", "path", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"))
+    return books.select(F.col("path").alias("book"), F.inline("chapters")).select("book", "idx", "path", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"), "images")
+
+
+@query(f"SELECT 'book' || page_id // 10 || '.epub' AS name, 'chap_' || lpad((row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id))::VARCHAR, 3, '0') || '.xhtml' AS path, {_HEAD_TEXT} AS heading, false AS broken FROM pages")
+def s13_package_sink(spark, d):
+    """An archive a book from tables, nothing wrong with any; the chapters that are in them."""
+    from quire.sources import epub, sink
+
+    files = _books(spark, d)
+    chapters = epub.chapters(epub.read_archives(files))
+    results = chapters.select("book_id", "idx", "title", "body", F.lit(True).alias("translated"), F.lit("{}").alias("terms"))
+    made = sink.archives(files, results, "en")
+    again = epub.read_archives(made.select(F.col("name").alias("path"), F.col("archive").alias("content")))
+    rows = again.select(F.col("path").alias("name"), F.inline("chapters"))
+    broken = made.select("name", (F.size("problems") > 0).alias("broken"))
+    shown = rows.where("path like 'chap_%'").join(broken, "name")
+    return shown.select("name", "path", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("heading"), "broken")
 
 
-@query("SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS idx, source || ' ' || doc_id AS title, true AS translated FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS idx, source || ' ' || doc_id AS title, true AS translated FROM documents")
 def d11_run_books(spark, d):
     """The ordered fold of every book, with a deterministic model."""
+    return _folded(spark, d).select("book_id", "idx", "title", "translated")
+
+
+_FIRST_WORDS = r"array_to_string(list_slice(regexp_extract_all(regexp_replace(coalesce(text, ''), '\[\[|\]\]', '', 'g'), '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), 1, 40), ' ')"
+
+
+@query(f"SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS idx, md5({_FIRST_WORDS}) AS first_words, NULL::VARCHAR AS error FROM documents")
+def d10_chapter_bodies(spark, d):
+    """What the fold makes of every chapter: the first forty words, by the deterministic model."""
+    words = F.split(T.unescape(F.regexp_replace(F.regexp_extract("body", "(?s)^<p>(.*?)</p>", 1), "<[^>]*>", "")), " ")
+    return _folded(spark, d).select("book_id", "idx", F.md5(F.array_join(F.slice(words, 1, 40), " ").cast("binary")).alias("first_words"), "error")
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    import atexit
+    import shutil
     import tempfile
+    import uuid
 
     from quire.plans.completer import Stub
     from quire.plans.generation import generate
@@ -706,5 +771,10 @@ def d11_run_books(spark, d):
     body = F.concat(F.lit("<p>"), F.regexp_replace(T.escape(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\[|\]\]", "")), "\n", "</p><p>"), F.lit("</p>"))
     chapters = rows.select("book_id", F.col("idx").cast("int").alias("idx"), F.lit("i").alias("item_id"), F.lit("a.xhtml").alias("path"), F.concat_ws(" ", "book_id", F.col("doc_id").cast("string")).alias("title"), body.alias("body"), F.lit("<head/>").alias("head"), F.lit(0).alias("words"), F.lit(0).alias("images"), F.lit(False).alias("front_matter"), F.lit("").alias("properties"), F.expr("cast(null as map<string,string>)").alias("body_attrs"))
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    state = tempfile.mkdtemp(prefix="quire-state-", dir=shared.removeprefix("file://") if shared and shared.startswith(("/", "file:///")) else None)
-    return generate(chapters, Settings(language="en"), Stub(), state, "s").select("book_id", "idx", "title", "translated")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quire-state-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    state = f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}"
+    return generate(chapters, Settings(language="en"), Stub(), state, "s")
