@@ -12,7 +12,9 @@
    is too small, or which are already one group; what is left falls into small groups of possible links.
 5. Only members of such groups fetch their sets.  In a group the same tree, over its own tokens, finds the
    pairs to compare exactly.  What leaves is a spanning forest, not pairs.
-6. Blocks over ``BLOCK`` members are cut into parts, and every pair of parts is a block of its own.
+6. Members of blocks over ``BLOCK`` are first compared with a few pivots of the block, in rounds, as many rows as
+   members.  Members that are connected this way need no further comparison with each other, so of a block only the
+   pairs with a member outside its largest connected group are left; those are cut into parts.
 7. Components of the edges take the smallest doc_id.
 
 Shingles are 56-bit hashes below their frequency class.  Defined results: null and empty texts, and texts
@@ -39,8 +41,8 @@ from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, sh
 #: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
 #: corpus's shingles keeps phrases of a dozen texts apart from words of one; fewer cost longer lists only.
 COUNTERS, COUNTER_ROW = 1 << 24, 1 << 16
-#: Members of a block.
-BLOCK = 1500
+#: Members of a block; pivots of a larger one that are drawn in a round, and rounds.
+BLOCK, PIVOTS, ROUNDS = 1500, 8, 3
 #: Documents of a tree's leaf, children of a node, and bits of a bitmap at most.
 LEAF, FAN, BITMAP = 16, 8, 1 << 15
 _LEAST = -(2**63)
@@ -166,14 +168,81 @@ def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "leader bigint, member bigint").distinct()
 
 
-def _cells(pairs: DataFrame) -> DataFrame:
-    """leader, cell, member: blocks, those over BLOCK members cut into parts and their pairs."""
-    rows = pairs.union(pairs.select("leader", F.col("leader").alias("member")).distinct())
-    large = pairs.groupBy("leader").agg((F.count("*") + 1).alias("m")).where(F.col("m") > BLOCK).withColumn("parts", F.ceil(F.col("m") / (BLOCK // 2)).cast("int"))
-    rows = rows.join(large.select("leader", "parts"), "leader", "left")
-    part = F.pmod(F.xxhash64("member"), F.col("parts"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
-    return rows.select("leader", "member", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell"))
+def _cells(rows: DataFrame) -> DataFrame:
+    """leader, cell, member, open: blocks (leader, member, open, large).  Of a large block, members that are open are
+    compared with each other and with the rest, in parts; the rest are connected already."""
+    half = BLOCK // 2
+    small = rows.where("not large").select("leader", F.lit(0).cast("bigint").alias("cell"), "member", F.lit(True).alias("open"))
+    large = rows.where("large")
+    counts = large.groupBy("leader").agg(F.ceil(F.sum(F.col("open").cast("int")) / half).cast("int").alias("a"), F.ceil(F.sum((~F.col("open")).cast("int")) / half).cast("int").alias("b")).where("a > 0")
+    many = F.when(F.col("open"), F.col("a")).otherwise(F.col("b"))
+    parts = large.join(counts, "leader").withColumn("part", F.pmod(F.xxhash64("member"), many))
+    among = lambda n: F.sequence(F.lit(0), n - 1)
+    # Cells of two open parts have even numbers, those of an open and another part odd ones.
+    own = F.transform(among(F.col("a")), lambda j: 2 * (F.least(F.col("part"), j).cast("bigint") * F.col("a") + F.greatest(F.col("part"), j)))
+    rest = F.transform(among(F.greatest("b", F.lit(1))), lambda j: 2 * (F.col("part").cast("bigint") * F.greatest("b", F.lit(1)) + j) + 1)
+    other = F.transform(among(F.col("a")), lambda i: 2 * (i.cast("bigint") * F.col("b") + F.col("part")) + 1)
+    cells = F.when(F.col("open"), F.when(F.col("b") > 0, F.concat(own, rest)).otherwise(own)).otherwise(other)
+    return small.unionByName(parts.select("leader", F.explode(cells).alias("cell"), "member", "open"))
+
+
+def _pivot_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b between pivots and members (leader, salt, other, member, tokens; pivots, which come first, have
+    other 0): every link, so that pivots with a neighbour in common are connected, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots, table = None, [], None
+        for batch in batches:
+            left: list[int] = []
+            right: list[int] = []
+            for leader, salt, other, member, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if (leader, salt) != key:
+                    key, pivots, table = (leader, salt), [], None
+                own = np.frombuffer(tokens, dtype=np.uint64)
+                if not other:
+                    pivots.append((member, own))
+                    continue
+                if table is None:
+                    every, at = np.unique(np.concatenate([t for _, t in pivots]), return_inverse=True)
+                    held = np.zeros((len(every), len(pivots)), dtype=np.int64)
+                    held[at, np.repeat(np.arange(len(pivots)), [len(t) for _, t in pivots])] = 1
+                    table = every, held, np.array([len(t) for _, t in pivots])
+                every, held, sizes = table
+                place = np.minimum(np.searchsorted(every, own), len(every) - 1)
+                shared = held[place[every[place] == own]].sum(axis=0)
+                for i in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)).tolist():
+                    if pivots[i][0] != member:
+                        left.append(pivots[i][0])
+                        right.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    keys = ["leader", "salt"]
+    dealt = rows.select(*keys, "other", "member", "tokens").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "other")
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint")
+
+
+def _connected(members: DataFrame, sets: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of large blocks (leader, member, m): leader, member, open (not of the block's largest connected group); and the
+    edges that were found."""
+    now, edges, before = members.withColumn("open", F.lit(True)), None, None
+    for n in range(ROUNDS):
+        salts = F.ceil(F.col("m") / BLOCK).cast("int")
+        open_ = now.where("open").groupBy("leader").agg(F.count("*").alias("u"))
+        drawn = now.where("open").join(open_, "leader").where(F.pmod(F.xxhash64("member", F.lit(n)), F.col("u")) < PIVOTS)
+        drawn = drawn.select("leader", "member", "m").unionByName(members.where("leader = member").select("leader", "member", "m")).distinct()
+        pivots = drawn.select("leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("other"), "member")
+        others = members.select("leader", F.pmod(F.xxhash64("member"), salts).cast("int").alias("salt"), F.lit(1).alias("other"), "member")
+        found = _pivot_links(pivots.unionByName(others).join(sets.withColumnRenamed("node", "member"), "member"), percent)
+        found = materialised(found if edges is None else found.unionByName(edges), folder, f"pivots{n}")
+        roots = stars(found, f"{folder}/pivots{n}-roots").withColumnRenamed("node", "member")
+        rooted = members.join(roots, "member", "left").select("leader", "member", "m", F.coalesce("root", "member").alias("root"))
+        main = rooted.groupBy("leader", "root").count().groupBy("leader").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        now = materialised(rooted.join(main, "leader").select("leader", "member", "m", (F.col("root") != F.col("main")).alias("open")), folder, f"open{n}")
+        edges, left = found, now.where("open").count()
+        if not left or before is not None and left * 10 > before * 9:
+            break
+        before = left
+    return now.select("leader", "member", "open"), edges
 
 
 def _key(node: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -344,33 +413,35 @@ class SignatureTree:
 
 
 def _groups(rows: DataFrame, percent: int) -> DataFrame:
-    """leader, cell, part, member: the groups of possible links in every block, by bitmaps alone."""
+    """leader, cell, part, member: the groups of possible links in every block that have an open member, by bitmaps
+    alone."""
 
-    def solve(key: tuple, nodes: list[int], sizes: list[int], maps: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    def solve(key: tuple, nodes: list[int], sizes: list[int], maps: list[bytes], fresh: list[bool]) -> Iterator[tuple[int, int, int, int]]:
         if len(nodes) > 1:
             tree = SignatureTree.of_bitmaps(sizes, maps, percent)
             tree.link()
             roots = [tree.root(i) for i in range(len(nodes))]
-            many = Counter(roots)
-            yield from ((*key, r, node) for r, node in zip(roots, nodes) if many[r] > 1)
+            many, wanted = Counter(roots), {r for r, f in zip(roots, fresh) if f}
+            yield from ((*key, r, node) for r, node in zip(roots, nodes) if many[r] > 1 and r in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sizes, maps = (0, 0), [], [], []
+        key, nodes, sizes, maps, fresh = (0, 0), [], [], [], []
         names = ["leader", "cell", "part", "member"]
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for leader, cell, member, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            for leader, cell, member, n, bits, f in zip(*(c.to_pylist() for c in batch.columns)):
                 if (leader, cell) != key:
-                    out += solve(key, nodes, sizes, maps)
-                    key, nodes, sizes, maps = (leader, cell), [], [], []
+                    out += solve(key, nodes, sizes, maps, fresh)
+                    key, nodes, sizes, maps, fresh = (leader, cell), [], [], [], []
                 nodes.append(member)
                 sizes.append(n)
                 maps.append(bits)
+                fresh.append(f)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names)
-        out = list(solve(key, nodes, sizes, maps))
+        out = list(solve(key, nodes, sizes, maps, fresh))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names)
 
-    dealt = rows.select("leader", "cell", "member", "n", "bits").repartition(partitions(rows.sparkSession), "leader", "cell").sortWithinPartitions("leader", "cell")
+    dealt = rows.select("leader", "cell", "member", "n", "bits", "open").repartition(partitions(rows.sparkSession), "leader", "cell").sortWithinPartitions("leader", "cell")
     return dealt.mapInArrow(lean(run), "leader bigint, cell bigint, part bigint, member bigint")
 
 
@@ -425,10 +496,23 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     sets = real.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     pairs = materialised(_list_pairs(sets.select(F.explode("prefix").alias("token"), "n", "node"), percent), folder, "pairs")
     bitmaps = real.groupBy(F.col("node").alias("member")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    groups = materialised(_groups(_cells(pairs).join(bitmaps, "member"), percent), folder, "groups")
-    chosen = labels.join(groups.select(F.col("member").alias("node")).distinct(), "node").select("node", "label")
-    wanted = bitmap(chosen, lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()), size_for(chosen.count()))
-    edges = _links(groups.join(_chosen_sets(texts, shingle, classes, wanted).withColumnRenamed("node", "member"), "member"), percent)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = labels.join(nodes.distinct(), "node").select("node", "label")
+        wanted = bitmap(chosen, lambda b: _key(b.column(0).to_numpy(), b.column(1).to_numpy()), size_for(chosen.count()))
+        return _chosen_sets(texts, shingle, classes, wanted)
+
+    blocks = pairs.unionByName(pairs.select("leader", F.col("leader").alias("member")).distinct())
+    large = materialised(pairs.groupBy("leader").agg((F.count("*") + 1).alias("m")).where(F.col("m") > BLOCK), folder, "large")
+    rows, known = blocks.select("leader", "member", F.lit(True).alias("open"), F.lit(False).alias("large")), None
+    if not large.isEmpty():
+        members = materialised(blocks.join(large, "leader"), folder, "members")
+        sets_ = materialised(sets_of(members.select(F.col("member").alias("node"))), folder, "sets")
+        found, known = _connected(members, sets_, percent, folder)
+        rows = rows.join(large, "leader", "left_anti").unionByName(found.withColumn("large", F.lit(True)))
+    groups = materialised(_groups(_cells(rows).join(bitmaps, "member"), percent), folder, "groups")
+    edges = _links(groups.join(sets_of(groups.select(F.col("member").alias("node"))).withColumnRenamed("node", "member"), "member"), percent)
+    edges = edges if known is None else edges.unionByName(known)
     roots = stars(edges, folder)
     rooted = labels.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("label") != _LEAST, F.col("label")).alias("label"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
