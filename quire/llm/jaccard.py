@@ -12,9 +12,10 @@
    is too small, or which are already one group; what is left falls into small groups of possible links.
 5. Only members of such groups fetch their sets.  In a group the same tree, over its own tokens, finds the
    pairs to compare exactly.  What leaves is a spanning forest, not pairs.
-6. Members of blocks over ``BLOCK`` are first compared with a few pivots of the block, in rounds, as many rows as
-   members.  Members that are connected this way need no further comparison with each other, so of a block only the
-   pairs with a member outside its largest connected group are left; those are cut into parts.
+6. Blocks over ``BLOCK`` are cut into parts, and every pair of parts is a block of its own.  That copies a member
+   once a part, so members of blocks over ``PARTS * BLOCK`` are first compared with a few pivots, in rounds, as many
+   rows as members.  Members that are connected this way need no further comparison with each other: of such a
+   block only the pairs with a member outside its largest connected group are left, which are cut into parts.
 7. Components of the edges take the smallest doc_id.
 
 Shingles are 56-bit hashes below their frequency class.  Defined results: null and empty texts, and texts
@@ -41,8 +42,8 @@ from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, sh
 #: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
 #: corpus's shingles keeps phrases of a dozen texts apart from words of one; fewer cost longer lists only.
 COUNTERS, COUNTER_ROW = 1 << 24, 1 << 16
-#: Members of a block; pivots of a larger one that are drawn in a round, and rounds.
-BLOCK, PIVOTS, ROUNDS = 1500, 8, 3
+#: Members of a block; blocks of so many times more meet pivots first; pivots that are drawn in a round, and rounds.
+BLOCK, PARTS, PIVOTS, ROUNDS = 1500, 4, 8, 2
 #: Documents of a tree's leaf, children of a node, and bits of a bitmap at most.
 LEAF, FAN, BITMAP = 16, 8, 1 << 15
 _LEAST = -(2**63)
@@ -504,12 +505,16 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
 
     blocks = pairs.unionByName(pairs.select("leader", F.col("leader").alias("member")).distinct())
     large = materialised(pairs.groupBy("leader").agg((F.count("*") + 1).alias("m")).where(F.col("m") > BLOCK), folder, "large")
-    rows, known = blocks.select("leader", "member", F.lit(True).alias("open"), F.lit(False).alias("large")), None
-    if not large.isEmpty():
-        members = materialised(blocks.join(large, "leader"), folder, "members")
-        sets_ = materialised(sets_of(members.select(F.col("member").alias("node"))), folder, "sets")
-        found, known = _connected(members, sets_, percent, folder)
-        rows = rows.join(large, "leader", "left_anti").unionByName(found.withColumn("large", F.lit(True)))
+    rows, known, many = blocks.select("leader", "member", F.lit(True).alias("open"), F.lit(False).alias("large")), None, PARTS * BLOCK
+    most = large.agg(F.max("m")).first()[0]
+    if most is not None:
+        rows = blocks.join(large, "leader", "left").select("leader", "member", F.lit(True).alias("open"), F.col("m").isNotNull().alias("large"), F.coalesce("m", F.lit(0)).alias("m"))
+        if most > many:
+            members = materialised(blocks.join(large.where(F.col("m") > many), "leader"), folder, "members")
+            sets_ = materialised(sets_of(members.select(F.col("member").alias("node"))), folder, "sets")
+            found, known = _connected(members, sets_, percent, folder)
+            rows = rows.where(F.col("m") <= many).drop("m").unionByName(found.withColumn("large", F.lit(True)))
+        rows = rows.drop("m")
     groups = materialised(_groups(_cells(rows).join(bitmaps, "member"), percent), folder, "groups")
     edges = _links(groups.join(sets_of(groups.select(F.col("member").alias("node"))).withColumnRenamed("node", "member"), "member"), percent)
     edges = edges if known is None else edges.unionByName(known)

@@ -223,6 +223,26 @@ def test_near_duplicates(docs, rows, nothing):
     assert jaccard.components(nothing).count() == 0 and jaccard.representatives(nothing).count() == 0
 
 
+def test_blocks_with_pivots(spark, monkeypatch):
+    """Chains, hubs and strangers in blocks that all meet pivots first, against brute force."""
+    from quire.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "PARTS", 1)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    r, rows = random.Random(9), []
+    for _ in range(3):
+        ws = sentence(r, 70).split()
+        for i in range(25):  # each differs a little from the one before, so the ends of a chain are far apart
+            rows.append((len(rows), " ".join(ws)))
+            ws = list(ws)
+            ws[r.randrange(len(ws))] = f"new{i}"
+    common = sentence(r, 30)
+    rows += [(len(rows) + i, f"{common} {sentence(r, 12)}") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    same(collected(jaccard.components(docs), "doc_id", "n_shingles", "component_id"), brute_components(rows)[0])
+
+
 def test_signature_trees_find_every_link():
     from quire.llm.jaccard import SignatureTree, _bitmap
 
