@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.session import materialised
+from quire.llm.session import drop, materialised
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def stars(edges: DataFrame, folder: str) -> DataFrame:
     seen = None
     for n in range(1, 200):
         now = materialised(_small(_large(now)), folder, f"edges{n}")
+        drop(edges.sparkSession, f"{folder}/edges{n - 1}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from quire.llm.components import stars
 from quire.llm.membership import bitmap, has, size_for
-from quire.llm.session import bounded_batches, column, lean, materialised, partitions, shared_folder
+from quire.llm.session import bounded_batches, column, drop, lean, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
 #: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
@@ -519,6 +519,8 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     edges = _links(groups.join(sets_of(groups.select(F.col("member").alias("node"))).withColumnRenamed("node", "member"), "member"), percent)
     edges = edges if known is None else edges.unionByName(known)
     roots = stars(edges, folder)
+    for name in ("pairs", "large", "groups", "members", "sets", *(f"{x}{n}" for n in range(ROUNDS) for x in ("pivots", "open")), *(f"pivots{n}-roots" for n in range(ROUNDS))):
+        drop(spark, f"{folder}/{name}")  # read for the last time, or never written
     rooted = labels.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("label") != _LEAST, F.col("label")).alias("label"))
     smallest = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
     by_node = rooted.select("node", "root").join(smallest, "root")
