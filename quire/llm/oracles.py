@@ -90,4 +90,24 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES = {"op1_fingerprints": OP1, "op3_licenses": OP3, "op5_repeats": OP5, "op6_near_duplicates": OP6, "op9_decontamination": OP9}
+_CRC = "(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295))"
+
+#: Pairs of equal grams of 16 words at one distance, in stretches, give every stretch of that period.
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+c AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+e AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM c),
+x AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(w, lambda v, i: CASE WHEN i - 1 < a THEN v ELSE w[a + (i - 1 - a) % p + 1] END) ELSE w END AS w FROM e),
+grams AS (SELECT r, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM (SELECT r, w, unnest(range(greatest(0, len(w) - 15))) AS i FROM x)),
+pairs AS (SELECT y.r, y.i, z.i - y.i AS q FROM grams y JOIN grams z ON y.r = z.r AND y.s = z.s AND y.i < z.i),
+apart AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 16 + q AS length FROM apart GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+texts AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t, list_distinct(flatten(list(range(start + period, start + length)))) AS gone FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(t, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM x LEFT JOIN best b USING (r) LEFT JOIN texts USING (r)
+"""
+
+ORACLES = {"op1_fingerprints": OP1, "op3_licenses": OP3, "op5_repeats": OP5, "op6_near_duplicates": OP6, "op9_decontamination": OP9, "op13_periodic_runs": OP13}

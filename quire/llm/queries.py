@@ -109,3 +109,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import repeats
 
     return repeats.report(repeats.dedupe(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import periodic
+
+    docs = table(spark, sf_dir, "documents")
+    return periodic.report(periodic.scan(docs.select("doc_id", periodic.planted(docs["doc_id"], docs["text"]).alias("text"))))

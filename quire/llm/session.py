@@ -107,7 +107,9 @@ def column(frame: DataFrame, name: str):
 
 
 def free_names(keep: tuple[str, ...], made: tuple[str, ...]) -> None:
-    """Kept columns must not have the names of columns that an operator makes, nor one name twice."""
-    taken = sorted({c for c in keep if c in made or keep.count(c) > 1})
+    """Kept columns must not have the names of columns that an operator makes, nor one name twice; as Spark
+    compares names, without regard to case."""
+    low, own = [c.lower() for c in keep], {c.lower() for c in made}
+    taken = sorted({c for c in keep if c.lower() in own or low.count(c.lower()) > 1})
     if taken:
         raise ValueError(f"column names are taken: {taken}")

@@ -6,7 +6,7 @@ pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ("op1_fingerprints", "op3_licenses", "op5_repeats", "op6_near_duplicates", "op9_decontamination"))
+@pytest.mark.parametrize("name", ("op1_fingerprints", "op3_licenses", "op5_repeats", "op6_near_duplicates", "op9_decontamination", "op13_periodic_runs"))
 def test_matches_sql(spark, name):
     import duckdb
 
