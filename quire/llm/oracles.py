@@ -90,6 +90,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
 _CRC = "(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295))"
 
 #: Pairs of equal grams of 16 words at one distance, in stretches, give every stretch of that period.
@@ -110,4 +120,4 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000
 FROM x LEFT JOIN best b USING (r) LEFT JOIN texts USING (r)
 """
 
-ORACLES = {"op1_fingerprints": OP1, "op3_licenses": OP3, "op5_repeats": OP5, "op6_near_duplicates": OP6, "op9_decontamination": OP9, "op13_periodic_runs": OP13}
+ORACLES = {"op1_fingerprints": OP1, "op3_licenses": OP3, "op5_repeats": OP5, "op6_near_duplicates": OP6, "op9_decontamination": OP9, "op11_hard_negatives": OP11, "op13_periodic_runs": OP13}

@@ -117,3 +117,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return periodic.report(periodic.scan(docs.select("doc_id", periodic.planted(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("id") % 50 == 0)
