@@ -126,3 +126,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", label), F.col("id") % 50 == 0)
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import chat
+
+    said = chat.END + chat.START + "assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    folder = shared_folder(spark) + "/chat"
+    chat.write(table(spark, sf_dir, "conversations").select(*more.columns).union(more), tokenizer_path(), folder)
+    return chat.digests(chat.read(spark, folder))
