@@ -1,12 +1,10 @@
-"""Paths inside packages: references against a base, and back."""
+"""Paths inside packages: references against a base, and back; as Python functions and as columns inside the JVM."""
 
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable
 from urllib.parse import quote, unquote, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,17 +25,62 @@ def external(reference: str) -> bool:
     return bool(parts.scheme or parts.netloc)
 
 
-def resolve_path_column(base: Column, reference: Column) -> Column:
-    return _pairs(resolve_path)(base, reference)
+def path_part(reference: Column) -> Column:
+    """A reference without scheme, network location, query and fragment."""
+    return F.regexp_extract(reference, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
-def relative_column(base: Column, target: Column) -> Column:
-    return _pairs(relative)(base, target)
+def fragment_part(reference: Column) -> Column:
+    return F.regexp_extract(reference, r"(?s)^[^#]*#(.*)$", 1)
+
+
+def percent_decoded(text: Column) -> Column:
+    """Percent escapes as UTF-8; a plus sign stays one, and a percent sign that escapes nothing stays as well."""
+    return F.url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
+def percent_encoded(text: Column, safe: str = "") -> Column:
+    """Letters, digits, ``_.-~`` and what is safe stay; anything else is escaped as UTF-8."""
+    out = F.url_encode(text)
+    for found, written in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), *((f"%{ord(c):02X}", c) for c in safe)):
+        out = F.replace(out, F.lit(found), F.lit(written))
+    return out
+
+
+def _segments(path: Column) -> Column:
+    """The segments of a path with ``.`` and ``..`` folded away over a stack."""
+    empty = F.expr("cast(array() as array<string>)")
 
+    def step(stack: Column, s: Column) -> Column:
+        up = (F.size(stack) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), stack), -1) != "..")
+        back = F.when(up, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(path.startswith("/"), stack).otherwise(F.array_append(stack, F.lit("..")))
+        return F.when((s == "") | (s == "."), stack).when(s == "..", back).otherwise(F.array_append(stack, s))
 
-def _pairs(f: Callable[[str, str], str]):
-    @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype=object)
+    return F.aggregate(F.split(path, "/", -1), empty, step)
 
-    return run
+
+def normalised(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty segments; the empty path is ``.``."""
+    joined = F.array_join(_segments(path), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def resolve_path_column(base: Column, reference: Column) -> Column:
+    """``resolve_path`` of columns; missing where either is."""
+    plain = percent_decoded(path_part(reference))
+    return normalised(F.when(plain.startswith("/"), plain).otherwise(F.concat(F.regexp_extract(base, "(?s)^(.*/)?", 0), plain)))
+
+
+def relative_column(base: Column, target: Column) -> Column:
+    """``relative`` of columns; a rooted target stays so where the base isn't rooted."""
+    folder = F.regexp_extract(base, "(?s)^(.*/)?", 0)
+
+    def between(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        same = F.aggregate(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), F.lit(0), lambda n, i: F.when((n == i) & (F.get(a, i) == F.get(b, i)), n + 1).otherwise(n))
+        return F.transform(F.array(same), lambda n: F.concat(F.array_repeat(F.lit(".."), F.size(a) - n), F.slice(b, n + 1, F.size(b))))[0]
+
+    parts = F.transform(F.array(F.struct(_segments(folder).alias("a"), _segments(target).alias("b"))), between)[0]
+    joined = F.array_join(F.transform(parts, lambda s: percent_encoded(s)), "/")
+    rooted = F.concat(F.lit("/"), F.array_join(F.transform(_segments(target), lambda s: percent_encoded(s)), "/"))
+    return F.when(base.isNull() | target.isNull(), F.lit(None)).when(target.startswith("/") & ~base.startswith("/"), rooted).when(joined == "", ".").otherwise(joined)

@@ -9,22 +9,40 @@ from pyspark.sql.window import Window
 from quire.functions import text as T
 
 
+#: Starts of parts are held in arrays of so many, as appending copies an array.
+_CHUNK = 512
+
+
 def pack(pieces: Column, limit: int, heading: str = r"(?s)^\s*<h[12][\s>].*") -> Column:
     """Part number (from 1) of each piece of an ordered array.
 
     A part takes pieces while its estimate stays within the limit; a heading begins a new one.  The estimate is
-    of the part's characters, as rounded estimates don't add up, so the fold carries counts.
+    of the part's characters, as rounded estimates don't add up, so the fold carries weights that do.
     """
-    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("m"), F.lit(0).alias("part"), F.expr("cast(array() as array<int>)").alias("parts"))
+    count = lambda p: 6 * F.length(p) - 5 * T.ascii_count(p)
+    return pack_weights(F.transform(pieces, lambda p: F.struct(count(p).cast("bigint").alias("w"), p.rlike(heading).alias("heading"))), limit)
+
+
+def pack_weights(pieces: Column, limit: int) -> Column:
+    """``pack`` of an array of struct<w, heading>, where the estimate is a third of the weights, rounded up.
+
+    The fold carries a sum and the starts of parts; part numbers come from these at the end.  Starts are held in
+    two levels, so that time is linear in the pieces up to millions of parts.
+    """
+    longs = F.expr("cast(array() as array<bigint>)")
+    start = F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("i"), longs.alias("now"), F.expr("cast(array() as array<array<bigint>>)").alias("done"))
+
+    def step(s: Column, p: Column) -> Column:
+        new = (s["i"] == 0) | ((s["w"] > 0) & ((s["w"] + p["w"] > 3 * limit) | p["heading"]))
+        full = new & (F.size(s["now"]) >= _CHUNK)
+        now = F.when(full, F.array(s["i"])).when(new, F.array_append(s["now"], s["i"])).otherwise(s["now"])
+        return F.struct(F.when(new, p["w"]).otherwise(s["w"] + p["w"]).alias("w"), (s["i"] + 1).alias("i"), now.alias("now"), F.when(full, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"))
 
-    def step(state: Column, piece: Column) -> Column:
-        a, m = T.ascii_count(piece), F.length(piece) - T.ascii_count(piece)
-        size = F.greatest(F.lit(1), F.floor((state["a"] + a + 2) / 3) + 2 * (state["m"] + m))
-        new = (state["part"] == 0) | (((state["a"] + state["m"]) > 0) & ((size > limit) | piece.rlike(heading)))
-        part = F.when(new, state["part"] + 1).otherwise(state["part"])
-        return F.struct(F.when(new, a).otherwise(state["a"] + a).alias("a"), F.when(new, m).otherwise(state["m"] + m).alias("m"), part.alias("part"), F.array_append(state["parts"], part).alias("parts"))
+    def numbered(state: Column) -> Column:
+        return F.transform(F.array(F.struct(F.flatten(F.array_append(state["done"], state["now"])).alias("starts"), state["i"].alias("n"))), lambda x: F.flatten(
+            F.transform(x["starts"], lambda s, k: F.array_repeat((k + 1).cast("int"), (F.coalesce(F.get(x["starts"], k + 1), x["n"]) - s).cast("int")))))[0]
 
-    return F.aggregate(pieces, start, step, lambda s: s["parts"])
+    return F.aggregate(pieces, start, step, numbered)
 
 
 def ranged(rows: DataFrame, order: str, many: int | None = None) -> DataFrame:

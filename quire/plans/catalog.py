@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from quire.functions import text as T
 from quire.operators import inventory as I
 from quire.operators import links as L
+from quire.operators import nested as N
 from quire.operators import packing as P
 from quire.operators import selection as S
 from quire.operators import state as K
@@ -330,30 +331,59 @@ def j11_digest_fanout(spark, d):
     return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_doc")), "k").select("doc_id", "first_doc")
 
 
-_LINKS = [(1, "a.xhtml", "b.xhtml", "x"), (1, "a.xhtml", "old.xhtml", None), (1, "a.xhtml", "fig.png", None), (1, "a.xhtml", "none.xhtml", "y"), (1, "a.xhtml", "b.xhtml", "gone")]
-_LINK_SQL = "(VALUES " + ", ".join(f"({b}, '{s}', '{t}', {'NULL' if f is None else repr(f)})" for b, s, t, f in _LINKS) + ") t(book_id, source, target, fragment)"
+#: Links of every page with a fragment, as of documents in a folder; what they name is kept, removed, absent or an
+#: asset by the length of its name, and every second kept name is an anchor of its output.
+_LINKED = "regexp_replace(html, 'href=\"/([^\"]*)\"', 'href=\"../\\1#\\1\"', 'g')"
+_LINK_SQL = f"SELECT page_id, unnest(regexp_extract_all({_LINKED}, 'href=\"[.][.]/([^\"#]*)#', 1)) AS target FROM pages"
+_KIND_SQL = "CASE length(target) % 4 WHEN 2 THEN 'kept' WHEN 3 THEN 'asset' ELSE 'unwrap' END"
 
 
-def _links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LINKS, "book_id int, source string, target string, fragment string")
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    markup = F.regexp_replace("html", 'href="/([^"]*)"', 'href="../$1#$1"')
+    return table(spark, d, "pages").select(F.lit(1).alias("book_id"), F.concat(F.lit("Text/"), number, F.lit(".xhtml")).alias("path"), F.concat(F.lit("Out/"), number, F.lit(".xhtml")).alias("output"), markup.alias("markup"), "page_id")
 
 
-def _package(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    make = lambda rows, cols: spark.createDataFrame(rows, cols)
-    return make([(1, "b.xhtml", "chap_002.xhtml")], "book_id int, target string, output string"), make([(1, "old.xhtml")], "book_id int, target string"), make([(1, "b.xhtml"), (1, "old.xhtml"), (1, "fig.png")], "book_id int, target string")
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Kept, removed, members and anchors, of the names that the links have."""
+    names = L.internal(docs.select("book_id", "path", "markup")).select("book_id", "target").distinct()
+    n = F.length("target") % 4
+    output = F.concat(F.lit("Out/"), F.length("target").cast("string"), F.lit(" "), F.col("target"))
+    kept = names.where(n == 2).select("book_id", "target", output.alias("output"))
+    anchors = kept.where(F.length("target") % 8 == 2).select("book_id", F.col("output").alias("path"), F.col("target").alias("id"))
+    return kept, names.where(n == 1), names.where(n != 0), anchors
 
 
-@query(f"SELECT target, fragment, CASE WHEN target = 'b.xhtml' THEN 'kept' WHEN target = 'old.xhtml' OR target NOT IN ('b.xhtml', 'old.xhtml', 'fig.png') THEN 'unwrap' ELSE 'asset' END AS kind FROM {_LINK_SQL}")
+@query(f"SELECT page_id, target, count(*) AS n, {_KIND_SQL} AS kind FROM ({_LINK_SQL}) GROUP BY page_id, target")
 def j12_link_classify(spark, d):
-    """Kept, unwrapped or an asset."""
-    return L.classify(_links(spark), *_package(spark)).select("target", "fragment", "kind")
+    """Links of all pages: kept, unwrapped or an asset."""
+    docs = _linked(spark, d)
+    kinds = L.classify(L.internal(docs.select("book_id", "path", "markup")), *_named(docs)[:3])
+    page = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    return kinds.groupBy(page.alias("page_id"), "target", "kind").agg(F.count("*").alias("n")).select("page_id", "target", "n", "kind")
 
 
-@query(f"SELECT target, CASE WHEN fragment = 'x' THEN fragment END AS fragment FROM {_LINK_SQL} WHERE target = 'b.xhtml'")
+@query(f"SELECT page_id, target, CASE WHEN length(target) % 8 = 2 THEN target END AS fragment, count(*) AS n FROM ({_LINK_SQL}) WHERE length(target) % 4 = 2 GROUP BY page_id, target")
 def j13_fragment(spark, d):
-    """Fragments that still exist."""
-    anchors = spark.createDataFrame([(1, "chap_002.xhtml", "x")], "book_id int, path string, id string")
-    return L.live_fragments(L.classify(_links(spark), *_package(spark)).where("kind = 'kept'"), anchors).select("target", "fragment")
+    """Fragments of links to kept documents that still exist."""
+    docs = _linked(spark, d)
+    kept, removed, members, anchors = _named(docs)
+    live = L.live_fragments(L.classify(L.internal(docs.select("book_id", "path", "markup")), kept, removed, members).where("kind = 'kept'"), anchors)
+    page = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    return live.groupBy(page.alias("page_id"), "target", "fragment").agg(F.count("*").alias("n"))
+
+
+_HREF = "url_encode(length(target) || ' ' || target) || CASE WHEN length(target) % 8 = 2 THEN '#' || replace(url_encode(target), '%3A', ':') ELSE '' END"
+_NEW_TAG = f"CASE {_KIND_SQL} WHEN 'kept' THEN '<a href=\"' || {_HREF} || '\">' WHEN 'asset' THEN '<a href=\"../' || url_encode(target) || '#' || target || '\">' ELSE '' END"
+
+
+@query(f"""WITH c AS (SELECT page_id, string_split_regex(html, '<a href="/[^"]*">[^<]*</a>') AS t, regexp_extract_all(html, '<a href="/([^"]*)">[^<]*</a>', 1) AS targets, regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS labels FROM pages),
+  e AS (SELECT page_id, unnest(range(len(t))) AS n, unnest(t) AS text, unnest(list_concat(targets, [NULL])) AS target, unnest(list_concat(labels, [''])) AS label FROM c)
+  SELECT page_id, string_agg(text || CASE WHEN target IS NULL THEN '' WHEN {_KIND_SQL} = 'unwrap' THEN label ELSE {_NEW_TAG} || label || '</a>' END, '' ORDER BY n) AS markup FROM e GROUP BY page_id""")
+def d13_rewrite_links(spark, d):
+    """All pages with their links rewritten."""
+    docs = _linked(spark, d)
+    return L.rewrite(docs, *_named(docs)).select("page_id", "markup")
 
 
 @query("""WITH a AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS id FROM pages)
@@ -559,64 +589,122 @@ def d16_live_props(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat_ws(" ", has("svg", "svg"), has("math", "mathml"), has("script", "scripted")).alias("properties"))
 
 
-def _fragment():
-    """A flat fragment with an image and code in every page: its title, its url, and its whole markup as text."""
-    return F.concat(F.lit("<h1>"), T.escape(F.coalesce(I.heading(F.col("html")), F.lit(""))), F.lit('</h1><p>before</p><figure><img src="'), T.escape(F.col("url")), F.lit('"/></figure><p>text <code>x = 1</code> after</p><p>'), T.escape(F.col("html")), F.lit("</p>"))
+_ESCAPE_TEXT = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_EACH = N.TAG.replace("'", "''")
 
+#: Tags of pages as rows, elements of one name as pairs of rows; for the two queries below.
+_NESTED = rf"""c AS (SELECT page_id, string_split_regex(html, '{_EACH}') AS t, regexp_extract_all(html, '{_EACH}') AS g FROM pages),
+e AS (SELECT page_id, unnest(range(len(t))) AS n, unnest(t) AS text, unnest(list_concat(g, [''])) AS tag FROM c),
+k AS (SELECT *, lower(regexp_extract(tag, '{N.NAME}', 1)) AS name FROM e),
+f AS (SELECT *, CASE WHEN starts_with(tag, '</') THEN 'close' WHEN name IN ('', {", ".join(f"'{v}'" for v in N.VOID)}) OR regexp_matches(tag, '/\s*>$') THEN 'whole' ELSE 'open' END AS kind FROM k),
+a AS (SELECT *, CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END AS step, coalesce(sum(length(text) + length(tag)) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS begins FROM f),
+s AS (SELECT *, sum(step) OVER w AS s FROM a WINDOW w AS (PARTITION BY page_id, name ORDER BY n)),
+m AS (SELECT *, s - least(min(s) OVER w, 0) AS after FROM s WINDOW w AS (PARTITION BY page_id, name ORDER BY n)),
+l AS (SELECT *, CASE kind WHEN 'open' THEN after WHEN 'close' THEN nullif(lag(after, 1, 0) OVER w, 0) END AS level FROM m WINDOW w AS (PARTITION BY page_id, name ORDER BY n)),
+o AS (SELECT *, CASE WHEN level IS NOT NULL THEN CASE kind WHEN 'open' THEN lead(n) OVER p WHEN 'close' THEN lag(n) OVER p END END AS other, lead(begins + length(tag)) OVER p AS pair_end FROM l WINDOW p AS (PARTITION BY page_id, name, level ORDER BY n))"""
 
-_ESCAPE_TEXT = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-_FRAGMENT_TITLE = "'<h1>' || " + _ESCAPE_TEXT.format(x=_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))) + " || '</h1><p>before</p>'"
-_FRAGMENT_PAGE = "'<p>' || " + _ESCAPE_TEXT.format(x="html") + " || '</p>'"
 
+@query(f"WITH {_NESTED} SELECT page_id, n, name, coalesce(level, 0)::BIGINT AS level, begins::BIGINT AS begins, (CASE WHEN other IS NOT NULL THEN pair_end ELSE begins + length(tag) END)::BIGINT AS ends, other IS NOT NULL AS closed FROM o WHERE name <> '' AND kind IN ('open', 'whole')")
+def x5_nested_sets(spark, d):
+    """The elements of every page as intervals."""
+    return N.elements(table(spark, d, "pages"), "html", ("page_id",))
 
-@query(f"SELECT page_id, {_FRAGMENT_TITLE} || chr(10) || '[[IMG_1]]' || chr(10) || '<p>text ' || chr(10) || '[[CODE_2]]' || chr(10) || ' after</p>' || {_FRAGMENT_PAGE} AS xhtml, 2::BIGINT AS n_tokens FROM pages")
-def d01_protect(spark, d):
-    """Images and code give way to placeholders; all else stays."""
-    from quire.operators.markup import protect_column
 
-    rows = table(spark, d, "pages").select("page_id", protect_column(_fragment()).alias("p"))
-    return rows.select("page_id", F.col("p.xhtml").alias("xhtml"), F.size("p.tokens").cast("bigint").alias("n_tokens"))
+def _fragment():
+    """A figure, code and the whole markup of every page."""
+    return F.concat(F.lit("<h1>"), T.escape(F.coalesce(I.heading(F.col("html")), F.lit(""))), F.lit('</h1><p>before</p><figure><img src="'), T.escape(F.col("url")), F.lit('"/></figure><p>text <code>x = 1</code> after</p>'), F.col("html"))
 
 
-@query(f"SELECT page_id, replace({_FRAGMENT_TITLE} || '<figure><img src=\"' || " + _ESCAPE_TEXT.format(x="url") + f" || '\"/></figure><p>text <code>x = 1</code> after</p>' || {_FRAGMENT_PAGE}, chr(10), '') AS restored FROM pages")
-def d05_restore(spark, d):
-    """Restored fragments are what they were, but for the lines that placeholders stood on."""
-    from quire.operators.markup import canonicalize_column, protect_column, restore_column
+def _protected(spark, d):
+    """Pages with their figure, notices, menus and footers held."""
+    rows = table(spark, d, "pages").select("page_id", _fragment().alias("markup"))
+    return N.protect(rows, "markup", ("page_id",), figures=("figure", "div"), media=("svg", "object", "nav", "footer"))
+
+
+_H1 = "'<h1>' || " + _ESCAPE.format(x=_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))) + " || '</h1><p>before</p>'"
+_WITHOUT = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<div.*?</div>', chr(10) || '[[MEDIA_2]]' || chr(10)), '(?s)<nav.*?</nav>', chr(10) || '[[MEDIA_4]]' || chr(10)), '(?s)<footer.*?</footer>', chr(10) || '[[MEDIA_5]]' || chr(10))"
+
 
-    rows = table(spark, d, "pages").select("page_id", protect_column(_fragment()).alias("p"))
-    whole = restore_column(canonicalize_column(F.col("p.xhtml"), F.col("p.tokens")), F.col("p.tokens"), F.col("p.markup"))
-    return rows.select("page_id", F.replace(whole, F.lit("\n"), F.lit("")).alias("restored"))
+@query(f"SELECT page_id, {_H1} || chr(10) || '[[IMG_1]]' || chr(10) || '<p>text ' || chr(10) || '[[CODE_3]]' || chr(10) || ' after</p>' || {_WITHOUT} AS xhtml, 5::BIGINT AS n_tokens, regexp_extract(html, '(?s)<nav.*?</nav>') AS menu FROM pages")
+def d01_protect(spark, d):
+    """Figures, code and media of whole pages give way to placeholders; all else stays as written."""
+    menu = F.filter("held", lambda h: h["number"] == 4)
+    return _protected(spark, d).select("page_id", "xhtml", F.size("held").cast("bigint").alias("n_tokens"), F.get(menu, F.lit(0))["markup"].alias("menu"))
 
 
-@query()
+@query(f"SELECT page_id, replace({_H1} || '<figure><img src=\"' || " + _ESCAPE.format(x="url") + " || '\"/></figure><p>text <code>x = 1</code> after</p>' || html, chr(10), '') AS restored, NULL::VARCHAR AS error FROM pages")
+def d05_restore(spark, d):
+    """Restored pages are what they were, but for the lines that placeholders stood on."""
+    return N.restore(_protected(spark, d), "xhtml", "held", ("page_id",)).select("page_id", F.replace("restored", F.lit("\n"), F.lit("")).alias("restored"), "error")
+
+
+_LIMIT = 400
+_WEIGHT = "(6 * length({x}) - 5 * length(regexp_replace({x}, '[^\x00-\x7F]', '', 'g')))"
+_SPLIT = rf"""WITH {_NESTED},
+w AS (SELECT *, {_WEIGHT.format(x="text")} AS text_w, {_WEIGHT.format(x="tag")} AS tag_w, other IS NOT NULL AND name IN ({", ".join(f"'{v}'" for v in N.WRAPPERS)}) AS wrapper FROM o),
+x AS (SELECT *, sum(text_w + tag_w) OVER d AS upto, sum(CASE WHEN other IS NOT NULL AND NOT wrapper THEN step ELSE 0 END) OVER d AS solid, sum(text_w + tag_w) OVER (PARTITION BY page_id) AS total FROM w WINDOW d AS (PARTITION BY page_id ORDER BY n)),
+y AS (SELECT x.*, coalesce(x.wrapper AND greatest(x.solid, z.solid) = 0 AND (abs(z.upto - x.upto) + CASE x.kind WHEN 'open' THEN x.tag_w ELSE z.tag_w END + 2) // 3 > {_LIMIT} AND (x.total + 2) // 3 > {_LIMIT}, false) AS shell FROM x LEFT JOIN x z ON z.page_id = x.page_id AND z.n = x.other),
+v AS (SELECT *, sum(CASE WHEN other IS NOT NULL AND NOT shell THEN step ELSE 0 END) OVER d AS cover FROM y WINDOW d AS (PARTITION BY page_id ORDER BY n)),
+b AS (SELECT *, lag(cover, 1, 0) OVER d AS cover_before, (total + 2) // 3 <= {_LIMIT} AS whole_page FROM v WINDOW d AS (PARTITION BY page_id ORDER BY n)),
+q AS (SELECT *, (CASE WHEN whole_page THEN n = 0 ELSE cover_before = 0 AND text <> '' END)::INT AS new_text, (CASE WHEN whole_page THEN false ELSE cover_before = 0 AND tag <> '' AND NOT shell END)::INT AS new_tag FROM b),
+r AS (SELECT *, sum(new_text + new_tag) OVER (PARTITION BY page_id ORDER BY n) AS unit FROM q),
+pieces AS (SELECT page_id, n, 0 AS k, unit - new_tag AS unit, text AS s, text_w AS w FROM r WHERE text <> '' UNION ALL SELECT page_id, n, 1, unit, tag, tag_w FROM r WHERE tag <> '' AND NOT shell),
+units AS (SELECT page_id, unit, min(n) AS n, string_agg(s, '' ORDER BY n, k) AS body, sum(w) AS w FROM pieces GROUP BY page_id, unit),
+shells AS (SELECT page_id, n, other, name, tag, unit + 1 AS first FROM r WHERE shell AND kind = 'open'),
+around AS (SELECT u.page_id, u.unit, string_agg(CASE WHEN first = u.unit THEN tag ELSE regexp_replace(tag, '(?i)\s+id\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', '', 'g') END, '' ORDER BY h.n) AS opens, string_agg('</' || name || '>', '' ORDER BY h.n DESC) AS closes
+  FROM units u JOIN shells h ON h.page_id = u.page_id AND h.n < u.n AND h.other >= u.n GROUP BY u.page_id, u.unit),
+shelled AS (SELECT page_id, unit, (w + 2) // 3 > {_LIMIT} AS over, w + {_WEIGHT.format(x="coalesce(opens || closes, '')")} AS w, regexp_matches(coalesce(opens, '') || body, '(?i)^\s*<h[12][\s>]') AS heading, coalesce(opens, '') || body || coalesce(closes, '') AS s FROM units LEFT JOIN around USING (page_id, unit)),
+docs AS (SELECT page_id, list(s ORDER BY unit) AS s, list(over ORDER BY unit) AS over, list({{'w': w::BIGINT, 'h': heading, 'p': 0::BIGINT, 'l': []::BIGINT[]}} ORDER BY unit) AS u FROM shelled GROUP BY page_id),
+packed AS (SELECT page_id, s, over, list_reduce(list_prepend({{'w': 0::BIGINT, 'h': false, 'p': 0::BIGINT, 'l': []::BIGINT[]}}, u), lambda t, z: CASE WHEN t.p = 0 OR t.w > 0 AND (t.w + z.w > {3 * _LIMIT} OR z.h) THEN {{'w': z.w, 'h': false, 'p': t.p + 1, 'l': list_append(t.l, t.p + 1)}} ELSE {{'w': t.w + z.w, 'h': false, 'p': t.p, 'l': list_append(t.l, t.p)}} END).l AS parts FROM docs),
+each_ AS (SELECT page_id, unnest(parts) AS part, unnest(s) AS s, unnest(over) AS over, unnest(range(len(s))) AS i FROM packed)
+SELECT page_id, part, string_agg(s, '' ORDER BY i) AS xhtml, CASE WHEN bool_or(over) THEN 'a block that can''t be divided is over the limit' END AS error FROM each_ GROUP BY page_id, part"""
+
+
+@query(_SPLIT)
 def d06_split_chapter(spark, d):
-    """Pages in parts of whole blocks; tests hold it against an exact version."""
-    from quire.operators.markup import split_column
+    """Whole pages in parts of whole blocks, each with the wrappers around it."""
+    return N.split(table(spark, d, "pages"), "html", ("page_id",), _LIMIT)
+
+
+_BASE = "regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1)"
+_REFERENCES = f"""SELECT page_id, i AS n, {_BASE} AS base, CASE i % 4 WHEN 0 THEN '/' || w WHEN 1 THEN '../' || w || '/./a%20b+' || i || '.png?q#f' WHEN 2 THEN w || '//../../../' || url_encode(w) ELSE './' || url_encode(w) || '/100%' END AS reference
+  FROM (SELECT page_id, url, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages))"""
+_FOLD = "list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({x}, '/'), lambda s: [s])), lambda st, p: CASE WHEN p[1] IN ('', '.') THEN st WHEN p[1] <> '..' THEN list_concat(st, p) WHEN len(st) > 0 AND st[-1] <> '..' THEN st[:-2] WHEN starts_with({x}, '/') THEN st ELSE list_append(st, '..') END)"
+_DECODED = "url_decode(regexp_extract(reference, '^([^?#]*)', 1))"
 
-    body = F.regexp_extract("html", r"(?s)<article>(.*?)(?:</article>|$)", 1)
-    rows = table(spark, d, "pages").select("page_id", split_column(F.regexp_replace(body, "</?b>|<br>", ""), 400).alias("s"))
-    return rows.select("page_id", F.posexplode("s.parts").alias("part", "xhtml"), F.col("s.error").alias("error"))
 
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """References of four kinds from every page's path, made of the names that its links have."""
+    from quire.functions.paths import percent_encoded
 
-_PATHS = [("OEBPS/a/b.xhtml", "../c%20d.png#x", "OEBPS/c d.png"), ("a.xhtml", "b.xhtml", "b.xhtml"), ("t/a.xhtml", "./u/../v.xhtml", "t/v.xhtml"), ("t/a.xhtml", "w+x.png?y", "t/w+x.png")]
+    base = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/?([^?#]*)", 1)
+    rows = table(spark, d, "pages").select("page_id", base.alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("i", "w"))
+    n, w = (F.col("i") + 1).cast("bigint"), F.col("w")
+    made = F.when(n % 4 == 0, F.concat(F.lit("/"), w)).when(n % 4 == 1, F.concat(F.lit("../"), w, F.lit("/./a%20b+"), n.cast("string"), F.lit(".png?q#f")))
+    made = made.when(n % 4 == 2, F.concat(w, F.lit("//../../../"), percent_encoded(w))).otherwise(F.concat(F.lit("./"), percent_encoded(w), F.lit("/100%")))
+    return rows.select("page_id", n.alias("n"), "base", made.alias("reference"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{r}', '{o}')" for b, r, o in _PATHS) + ") t(base, reference, path)")
+@query(f"""WITH r AS ({_REFERENCES}), p AS (SELECT *, CASE WHEN starts_with({_DECODED}, '/') THEN {_DECODED} ELSE regexp_extract(base, '^(.*/)?') || {_DECODED} END AS joined FROM r), f AS (SELECT *, {_FOLD.format(x="joined")} AS st FROM p)
+  SELECT page_id, n, reference, CASE WHEN starts_with(joined, '/') THEN '/' ELSE '' END || CASE WHEN len(st) = 0 AND NOT starts_with(joined, '/') THEN '.' ELSE array_to_string(st, '/') END AS path FROM f""")
 def x1_resolve_path(spark, d):
-    """References against a base."""
+    """References against the paths of all pages, folded inside the JVM."""
     from quire.functions.paths import resolve_path_column
 
-    rows = spark.createDataFrame([x[:2] for x in _PATHS], "base string, reference string")
-    return rows.withColumn("path", resolve_path_column(F.col("base"), F.col("reference")))
+    return _references(spark, d).select("page_id", "n", "reference", resolve_path_column(F.col("base"), F.col("reference")).alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('OEBPS/a/b.xhtml', 'OEBPS/c d.png', '../c%20d.png'), ('a.xhtml', 'b/c.xhtml', 'b/c.xhtml')) t(base, target, reference)")
+@query(f"""WITH r AS (SELECT page_id, n, base, base || CASE n % 3 WHEN 0 THEN '' ELSE '/../' || split_part(reference, '/', 2) || '/x y' END AS target FROM ({_REFERENCES})),
+  f AS (SELECT *, {_FOLD.format(x="regexp_extract(base, '^(.*/)?')")} AS a, {_FOLD.format(x="target")} AS b FROM r),
+  g AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[:i] = b[:i])) AS same FROM f)
+  SELECT page_id, n, target, coalesce(nullif(array_to_string(list_concat(list_transform(range(len(a) - same), lambda i: '..'), list_transform(b[same + 1:], lambda s: url_encode(s))), '/'), ''), '.') AS reference FROM g""")
 def x2_relative(spark, d):
-    """References from a base."""
+    """References from the paths of all pages."""
     from quire.functions.paths import relative_column
 
-    rows = spark.createDataFrame([("OEBPS/a/b.xhtml", "OEBPS/c d.png"), ("a.xhtml", "b/c.xhtml")], "base string, target string")
-    return rows.withColumn("reference", relative_column(F.col("base"), F.col("target")))
+    more = F.when(F.col("n") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("/../"), F.split_part("reference", F.lit("/"), F.lit(2)), F.lit("/x y")))
+    rows = _references(spark, d).select("page_id", "n", "base", F.concat("base", more).alias("target"))
+    return rows.select("page_id", "n", "target", relative_column(F.col("base"), F.col("target")).alias("reference"))
 
 
 @query("SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || coalesce(text, '')) AS digest FROM documents")
