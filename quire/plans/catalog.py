@@ -801,6 +801,77 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("book").applyInPandas(pack, "path string, content binary")
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """Packages of whole pages, ten a book, as rows of members, with all that a package can name: an item twice under
+    one id, navigation with labels for some pages and types for others, an older table of contents, a guide, and in
+    books whose number ends in 7 a spine reference without an item."""
+    i, book = F.col("page_id"), F.floor(F.col("page_id") / 10).cast("bigint")
+    rows = table(spark, d, "pages").select(i, F.col("html"), book.alias("book"), F.coalesce(I.heading(F.regexp_extract("html", r"(?is)<title\b[^>]*>.*?</title>", 0)), F.lit("")).alias("title"))
+    item = F.concat(F.when(i % 7 == 0, F.format_string('<item id="i%d" href="old%d.xhtml" media-type="text/plain"/>', i, i)).otherwise(""), F.format_string('<item id="i%d" href="Text/c%%20%d.xhtml" media-type="application/xhtml+xml"/>', i, i))
+    ref = F.concat(F.format_string('<itemref idref="i%d"/>', i), F.when((F.col("book") % 10 == 7) & (i % 10 == 3), F.format_string('<itemref idref="gone%d"/>', i)).otherwise(""))
+    types = F.when(i % 4 == 0, ' epub:type="bodymatter"').otherwise("")
+    link = F.when(i % 3 != 0, F.concat(F.format_string('<li><a href="Text/c%%20%d.xhtml#top"%s> <b>', i, types), T.escape(F.col("title")), F.lit("</b> x</a></li>"))).otherwise("")
+    point = F.concat(F.format_string('<navPoint id="n%d"><navLabel><text>ncx ', i), T.escape(F.col("title")), F.format_string('</text></navLabel><content src="Text/c%%20%d.xhtml"/></navPoint>', i))
+    reference = F.when(i % 8 == 0, F.format_string('<reference type="toc" href="Text/c%%20%d.xhtml"/>', i)).otherwise("")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c.alias("s")))), lambda x: x["s"]), "")
+    head = '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+    opf = F.concat(F.lit(head), joined(item), F.lit("</manifest><spine>"), joined(ref), F.lit("</spine><guide>"), joined(reference), F.lit("</guide></package>"))
+    files = (("META-INF/container.xml", F.lit('<c:container xmlns:c="urn:x"><c:rootfiles><c:rootfile full-path="OEBPS/content.opf"/></c:rootfiles></c:container>')), ("OEBPS/content.opf", opf), ("OEBPS/nav.xhtml", F.concat(F.lit("<html><body><nav><ol>"), joined(link), F.lit("</ol></nav></body></html>"))), ("OEBPS/toc.ncx", F.concat(F.lit("<ncx><navMap>"), joined(point), F.lit("</navMap></ncx>"))))
+    books = rows.groupBy("book").agg(F.array(*(F.struct(F.lit(p).alias("path"), c.alias("content")) for p, c in files)).alias("m")).select("book", F.inline("m"))
+    texts = rows.select("book", F.format_string("OEBPS/Text/c %d.xhtml", i).alias("path"), F.col("html").alias("content"))
+    return books.unionByName(texts).withColumnRenamed("book", "book_id")
+
+
+def _package_of(spark: SparkSession, d: str):
+    from quire.sources import relations
+
+    return relations.read(_members(spark, d))
+
+
+_ITEM_PATH = "'OEBPS/Text/c ' || page_id || '.xhtml'"
+_PAGE_LABEL = _UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))
+
+
+@query(f"""SELECT page_id // 10 AS book_id, 'i' || page_id AS item_id, {_ITEM_PATH} AS path, 'application/xhtml+xml' AS media_type FROM pages
+  UNION ALL SELECT DISTINCT page_id // 10, 'nav', 'OEBPS/nav.xhtml', 'application/xhtml+xml' FROM pages UNION ALL SELECT DISTINCT page_id // 10, 'ncx', 'OEBPS/toc.ncx', 'application/x-dtbncx+xml' FROM pages""")
+def s3_manifest(spark, d):
+    """S3: the manifests of packages of all pages; the last item of an id counts."""
+    return _package_of(spark, d).manifest.select("book_id", "item_id", "path", "media_type")
+
+
+@query(f"SELECT page_id // 10 AS book_id, {_ITEM_PATH} AS path, CASE WHEN page_id % 3 <> 0 THEN trim({_PAGE_LABEL} || ' x') ELSE trim('ncx ' || {_PAGE_LABEL}) END AS label FROM pages")
+def s4_labels(spark, d):
+    """Labels of navigation documents and older tables of contents; the first counts."""
+    return _package_of(spark, d).labels
+
+
+@query(f"SELECT page_id // 10 AS book_id, {_ITEM_PATH} AS path, CASE WHEN page_id % 8 = 0 THEN 'toc' ELSE 'bodymatter' END AS types FROM pages WHERE page_id % 8 = 0 OR page_id % 4 = 0 AND page_id % 3 <> 0")
+def s6_landmarks(spark, d):
+    """Landmarks, which guides override."""
+    return _package_of(spark, d).landmarks
+
+
+@query(f"""SELECT page_id // 10 AS book_id, 'i' || page_id AS idref, {_ITEM_PATH} AS path, NULL::VARCHAR AS problem FROM pages
+  UNION ALL SELECT page_id // 10, 'gone' || page_id, NULL, 'the spine names an item that the manifest lacks' FROM pages WHERE page_id // 10 % 10 = 7 AND page_id % 10 = 3""")
+def j1_spine_manifest(spark, d):
+    """Spine references with their items; a miss is a row of errors."""
+    package = _package_of(spark, d)
+    found = package.spine.select("book_id", "idref", "path", F.lit(None).cast("string").alias("problem"))
+    return found.unionByName(package.errors.select("book_id", F.col("detail").alias("idref"), F.lit(None).cast("string").alias("path"), "problem"))
+
+
+_BODY = r"regexp_extract(html, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1)"
+
+
+@query(f"""SELECT page_id // 10 AS book_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id)::INTEGER AS idx, 'i' || page_id AS item_id, {_UNESCAPE.format(x=_STRIP.format(x=_HEADING))} AS title,
+  len(regexp_extract_all({_UNESCAPE.format(x=_STRIP.format(x=_BODY))}, '{_WORDS}'))::BIGINT AS words, page_id % 8 = 0 AS front_matter, md5({_BODY}) AS body
+  FROM pages WHERE page_id // 10 % 10 <> 7 OR page_id // 10 * 10 + 3 NOT IN (SELECT page_id FROM pages)""")
+def j2_chapters(spark, d):
+    """Chapters of packages without errors, from whole pages."""
+    rows = _package_of(spark, d).chapters
+    return rows.select("book_id", "idx", "item_id", "title", "words", "front_matter", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
 _HEAD_TEXT = f"trim(regexp_replace({_UNESCAPE.format(x=_STRIP.format(x=_HEADING))}, '\\s+', ' ', 'g'))"
 
 
