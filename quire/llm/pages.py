@@ -5,7 +5,10 @@ neighbours, whether it is a heading or a list item, and the zone it stands in; a
 small labelled table of many layouts, keeps or drops it.  Zones come from the nearest container whose tag, or a
 whole token of whose class, id or role, says what it holds (article, nav, site-footer, comments); body and html
 give none, and a token with any unknown part (has-sidebar, side-by-side) gives none.  Without a zone the counts
-decide.  A page that loses everything this way is judged again by its counts alone, as then a hint was wrong.
+decide.  Words of class, id and role are hints that the page as a whole may overrule, but for those of readers'
+words: containers whose hint names no article, but which hold the page's only first-level heading and prose, and,
+where nothing but headings or less than a tenth as much was kept, the containers of the hint with most prose (over
+20 words) among what was lost, count as the article.  A page that still loses everything is judged by counts alone.
 
 Defined results: null and empty pages have the empty text.  Markup that never ends is read to the page's end;
 end tags without a start are passed over.  Repeated rows each get a row.  Nothing kept is shortened.  A kept column
@@ -17,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from quire.llm.session import bounded_batches, column, free_names, lean
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HINT = re.compile(r"(?<![\w:.-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose text is never shown, or is no prose.
@@ -46,6 +49,8 @@ ZONE_OF_WORD = {
 NEUTRAL = frozenset("site page global web blog single left right top bottom upper lower inner outer primary secondary section sections wrapper wrap container box block area region group list item items text links link panel bar col column row the of and 1 2 3 4 5".split())
 #: Parts that mark what readers wrote, even in an article element.
 READERS = frozenset("comment comments reply replies respond disqus".split())
+#: A paragraph of so many words that ends like a sentence counts as one, however much of it is links.
+SENTENCE, ENDS = 12, ".!?…。！？»”\"'"
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -57,6 +62,8 @@ class Block:
     zone: int
     heading: bool
     item: bool
+    top: bool = False  # a first-level heading
+    hint: str = ""  # of class, id and role, if they gave the zone and name no readers' words
 
 
 def _hints(attributes: str) -> list[set[str]]:
@@ -89,10 +96,10 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # containers: name, zone, hidden
-    zone, hidden, link, heading, item = 0, False, 0, False, False
+    stack: list[tuple[str, int, bool, str]] = []  # containers: name, zone, hidden, hint of the zone
+    zone, hidden, link, heading, item, top, hint = 0, False, 0, False, False, False, ""
     lower: str | None = None
-    at, n = 0, len(page)
+    at, n, paragraph = 0, len(page), False
 
     def close() -> None:
         nonlocal parts, linked
@@ -100,7 +107,9 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
             ws = entities.unescape("".join(parts)).split()
             if ws:
                 in_links = len(entities.unescape(" ".join(linked)).split())
-                out.append(Block(" ".join(ws), len(ws), min(1.0, in_links / len(ws)), zone, heading, item))
+                if paragraph and len(ws) >= SENTENCE and ws[-1][-1] in ENDS:
+                    in_links = 0  # a sentence is prose, also where all of it is a link
+                out.append(Block(" ".join(ws), len(ws), min(1.0, in_links / len(ws)), zone, heading, item, top, hint))
         parts, linked = [], []
 
     while at < n:
@@ -127,34 +136,39 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         if name in INLINE:
             continue
         close()
+        paragraph = name == "p" and not ending
         if name in _HEADINGS:
-            heading = not ending
+            heading, top = not ending, not ending and name == "h1"
         elif name in ("li", "dt", "dd"):
             item = not ending
         elif name == "p":
-            heading = item = False
+            heading = item = top = False
         if name in ("p", "li", "td", "th", "div", "article", "section"):
             link = 0
         if ending:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
-                    zone, hidden = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                    zone, hidden, hint = stack[-1][1:] if stack else (0, False, "")
                     break
             continue
         if name in _RAW and not attributes.endswith("/"):
             lower = lower or page.lower()
             stop = lower.find(f"</{name}", at)
-            if name != "title" and name in HIDDEN or hidden:
+            if name == "title" or name in HIDDEN or hidden:
                 at = n if stop < 0 else stop
         if name in HIDDEN or name in ("div", "section", "ul", "ol", "table", "td", "dl", "details", "body", "center") or name in ZONE_OF_TAG:
             if name == "body":
                 stack.clear()
-                zone, hidden = 0, False
+                zone, hidden, hint = 0, False, ""
             own = _zone(name, attributes, zone, hints)
+            if own:
+                tokens = [parts for parts in _hints(attributes) if hints]
+                told = own != ZONE_OF_TAG.get(name) and own != ARTICLE and not any(parts & READERS for parts in tokens)
+                hint = " ".join(sorted(" ".join(sorted(parts)) for parts in tokens)) if told and not (own == zone and not hint) else ""
             zone = own or zone
             hidden = hidden or name in HIDDEN
-            stack.append((name, zone, hidden))
+            stack.append((name, zone, hidden, hint))
     close()
     return out
 
@@ -240,10 +254,31 @@ def judged(found: list[Block], zones: bool = True) -> list[bool]:
     return out
 
 
+def _prose(found: list[Block]) -> int:
+    return sum(b.words for b in found if not b.heading and b.words >= 8 and b.density < 0.5)
+
+
+def overruled(found: list[Block], kept: list[bool]) -> set[str]:
+    """Hints that the page as a whole speaks against."""
+    out = set()
+    told = {b.hint for b in found if b.hint}
+    lost = {h: [b for b, k in zip(found, kept) if b.hint == h and not k] for h in told}
+    if not any(b.top for b, k in zip(found, kept) if k):
+        out |= {h for h, own in lost.items() if sum(b.top for b in own) == 1 and any(not b.heading and b.words >= 15 and b.density < 0.3 for b in own)}
+    most = max(lost, key=lambda h: (_prose(lost[h]), h), default=None)
+    if most is not None and _prose(lost[most]) > max(20, 10 * sum(b.words for b, k in zip(found, kept) if k and not b.heading)):
+        out.add(most)
+    return out
+
+
 def main_text(page: str | None, zones: bool = True) -> str:
     """The kept blocks, joined by an empty line."""
     found = blocks(page or "")
     kept = judged(found, zones)
+    wrong = overruled(found, kept)
+    if wrong:
+        found = [replace(b, zone=ARTICLE) if b.hint in wrong else b for b in found]
+        kept = judged(found, zones)
     if found and not any(kept):
         found = blocks(page or "", hints=False)
         kept = judged(found, zones)

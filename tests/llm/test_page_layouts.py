@@ -47,6 +47,45 @@ def page(layout, seed):
     return f"<!DOCTYPE html><html><head><title>x</title><style>p {{}}</style></head>{made}</html>", want
 
 
+def short(r):
+    """A heading and three paragraphs of some twenty words."""
+    head, paras = prose(r, 5), [prose(r, n) for n in (22, 18, 25)]
+    return head, paras
+
+
+#: Pages whose hints are wrong: {h} is the heading, {p} all paragraphs, {1} to {3} each; N, F, S and C as above.
+WRONG = {
+    "main-sidebar": "<body><nav>{N}</nav><main><h1>{h}</h1></main><div class='main-sidebar'>{p}</div><footer>{F}</footer></body>",
+    "share post": "<body><div class='site-header'>{N}</div><article><h1>{h}</h1><div class='share post'>{p}</div></article></body>",
+    "legal": "<body><div class='content'><h1>{h}</h1></div><div class='legal'>{p}</div><div class='site-footer'>{F}</div></body>",
+    "widget": "<body><div><h1>{h}</h1></div><div class='widget widget-text'>{p}</div><div class='comments'><p>{C}</p></div></body>",
+    "widgets of one kind": "<body><h1>{h}</h1><div class='elementor-widget widget'><p>{1}</p></div><div class='elementor-widget widget'><p>{2}</p></div><div class='elementor-widget widget'><p>{3}</p></div></body>",
+    "widgets by name": "<body><h1>{h}</h1><div class='widget'><p>{1}</p></div><div class='widget'><p>{2}</p></div><div class='widget'><p>{3}</p></div><div class='ad'><p>{S}</p></div></body>",
+    "search": "<body><h1>{h}</h1><section class='search'>{p}</section><div class='cookie-notice'>{S}</div></body>",
+    "another attribute": "<body><div data-id='sidebar' data-class=\"ad\"><h1>{h}</h1>{p}</div><div class='sidebar'><p>{S}</p></div></body>",
+    "banner": "<body><nav>{N}</nav><section class='banner section'><h1>{h}</h1><p>{1}</p></section><div><p>{2}</p><p>{3}</p></div></body>",
+    "title without head": "<title>Some title of a page</title><body><article><h1>{h}</h1>{p}</article></body>",
+    "a paragraph in a link": "<body><article><h1>{h}</h1><p>{1}</p><p><a href='/x'>{2}</a></p><p>{3}</p></article></body>",
+    "a paragraph in a link, no zone": "<body><div><h1>{h}</h1><p>{1}</p><p><a href='/x'>{2}</a></p><p>{3}</p></div></body>",
+    "an open link": "<body><article><h1>{h}</h1><p>{1}</p><p><a href='/x'>{2}</p><p>{3}</p></article></body>",
+    "a link around paragraphs": "<body><article><h1>{h}</h1><a href='/x'><p>{1}</p><p>{2}</p><p>{3}</p></article></body>",
+}
+
+
+@pytest.mark.parametrize("name", WRONG)
+def test_wrong_hints_lose_nothing(name):
+    from quire.llm import pages
+
+    for seed in range(5):
+        r = random.Random(seed)
+        head, paras = short(r)
+        fields = {"h": head, "p": "".join(f"<p>{x}</p>" for x in paras), "N": NAV, "F": FOOT, "S": prose(r, 14), "C": prose(r, 22)}
+        page_ = WRONG[name]
+        for k, v in {**fields, **{str(i + 1): x for i, x in enumerate(paras)}}.items():
+            page_ = page_.replace("{" + k + "}", v)
+        assert pages.main_text(f"<!DOCTYPE html><html>{page_}</html>") == "\n\n".join([head, *paras])
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_layouts(name):
     from quire.llm import pages
