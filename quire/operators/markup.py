@@ -150,19 +150,6 @@ def token_error(fragment: str, expected: list[str]) -> str | None:
     return f"lacking {missing}, unknown {invented}, repeated {twice}, out of order: {moved}" if missing or invented or twice or moved else None
 
 
-def repair_tokens(fragment: str, expected: list[str]) -> tuple[str, list[str]]:
-    """Drops placeholders that weren't asked for or come again; and names those that lack."""
-    left = dict.fromkeys(expected, True)
-
-    def once(m: re.Match) -> str:
-        ok = left.get(m[0], False)
-        left[m[0]] = False
-        return m[0] if ok else ""
-
-    out = TOKEN.sub(once, fragment)
-    return out, [t for t in expected if left[t]]
-
-
 def _texts(node: Node) -> Iterator[tuple[Node, int]]:
     """Places of text nodes in document order."""
     for i, c in enumerate(node.children):

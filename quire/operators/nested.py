@@ -165,6 +165,19 @@ def _without_paragraphs(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return x.groupBy("_doc", *keep).agg(joined.alias("restored"))
 
 
+def repaired(text: Column, expected: Column) -> Column:
+    """A struct of the text without placeholders that aren't expected or come again (``text``), and of those expected
+    that it lacks (``missing``), in their order."""
+    found, rest = F.regexp_extract_all(text, F.lit(T.TOKEN), F.lit(0)), F.split(text, T.TOKEN, -1)
+
+    def joined(x: Column) -> Column:
+        first = lambda t, i: F.array_contains(expected, t) & (F.array_position(x["found"], t) == i + 1)
+        each = F.transform(F.arrays_zip(x["rest"].alias("a"), x["found"].alias("t")), lambda y, i: F.concat(y["a"], F.when(first(y["t"], i), y["t"]).otherwise("")))
+        return F.struct(F.array_join(each, "").alias("text"), F.array_except(expected, x["found"]).alias("missing"))
+
+    return F.transform(F.array(F.struct(found.alias("found"), rest.alias("rest"))), joined)[0]
+
+
 def units(rows: DataFrame, markup: str, keep: tuple[str, ...], limit: int, wrappers: tuple[str, ...] = WRAPPERS, held: str | None = None) -> DataFrame:
     """The smallest pieces that a document over the limit is cut into: ``keep``, ``_doc``, ``unit`` (from 1),
     ``weight``, ``shells`` (struct<name, tag> of the wrappers around it, outermost first), ``xhtml``.

@@ -48,11 +48,19 @@ def pack_weights(pieces: Column, limit: int) -> Column:
 def ranged(rows: DataFrame, order: str, many: int | None = None) -> DataFrame:
     """``_range``: the number of an order column's quantiles below a row's, so that what is ordered within books can be
     split, however large a book is.  A range holds whole values of the column; the number of ranges follows the
-    session's partitions.  The column must be a number."""
+    session's partitions.  The column must be a number.  A row is compared with the square root of the bounds twice:
+    with every last one of a group of bounds, then with those of its group."""
     many = many or 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = rows.agg(F.percentile_approx(order, [i / many for i in range(1, many)] or [1.0], 20 * many).alias("q")).first()["q"]
-    bounds = F.array(*(F.lit(x) for x in sorted(set(cut or []))))
-    return rows.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(order))), F.lit(-1)) if cut else F.lit(0))
+    cut = rows.agg(F.percentile_approx(order, [i / many for i in range(1, many)] or [1.0], 10 * many).alias("q")).first()["q"]
+    if not cut:
+        return rows.withColumn("_range", F.lit(0))
+    bounds = sorted(set(cut))
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda some: F.size(F.filter(some, lambda b: b < F.col(order)))
+    group = below(F.lit([g[-1] for g in groups]))
+    inside = below(F.coalesce(F.get(F.lit([g + [g[-1]] * (step - len(g)) for g in groups]), group), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>")))
+    return rows.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(group * step + inside))
 
 
 def carry_previous(rows: DataFrame, book: str, order: str, value: str, ok: str, limit: int = 12_000) -> DataFrame:
@@ -74,14 +82,18 @@ def carry_previous(rows: DataFrame, book: str, order: str, value: str, ok: str,
 def previous_parts(rows: DataFrame, group: str, order: str, value: str, limit: int = 6_000) -> DataFrame:
     """``tail``: the last characters of all earlier parts, without placeholders.
 
-    A fold over a group's parts in order, which holds the tail alone: linear in them."""
-    part = F.struct(F.col(order).alias("o"), F.regexp_replace(value, T.TOKEN, "").alias("text"), F.struct(*rows.columns).alias("row"))
-    start = F.struct(F.lit("").alias("tail"), F.expr("cast(array() as array<string>)").alias("tails"))
+    What a part ends with comes from the parts that reach back ``limit`` characters: a window over running lengths,
+    which holds at most as many parts, as empty ones are left out of it and take over the tail before them.
+    """
+    text = F.coalesce(F.regexp_replace(value, T.TOKEN, ""), F.lit(""))
     right = lambda x: F.right(x, F.lit(limit))
-    step = lambda s, p: F.struct(right(F.concat(s["tail"], F.coalesce(p["text"], F.lit("")))).alias("tail"), F.array_append(s["tails"], s["tail"]).alias("tails"))
-    grouped = rows.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    told = grouped.select(F.explode(F.arrays_zip("parts", F.aggregate("parts", start, step, lambda s: s["tails"]).alias("tails"))).alias("x"))
-    return told.select("x.parts.row.*", F.col("x.tails").alias("tail"))
+    over = Window.partitionBy(group).orderBy(order)
+    parts = rows.withColumn("_length", F.length(text).cast("bigint")).withColumn("_text", right(text)).withColumn("_end", F.sum("_length").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy(group, F.col("_length") > 0).orderBy("_end").rangeBetween(1 - limit, 0)
+    after = F.when(F.col("_length") > 0, right(F.array_join(F.collect_list("_text").over(near), "")))
+    told = parts.withColumn("_after", F.when(F.col("_length") > 0, after))
+    tail = F.last("_after", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    return told.withColumn("tail", F.coalesce(tail, F.lit(""))).drop("_length", "_text", "_end", "_after")
 
 
 def relabel(found: Column, expected: Column) -> Column:

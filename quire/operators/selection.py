@@ -75,17 +75,25 @@ def algebra(chapters: DataFrame, picked: DataFrame, excluded: DataFrame) -> Data
     return picked.select("book_id", "idx").distinct().join(excluded, ["book_id", "idx"], "left_anti").join(front, ["book_id", "idx"], "left_anti")
 
 
-#: Patterns that are broadcast at once.
-PATTERNS = 10_000
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of so many characters of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
 
 
 def title_matches(chapters: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Patterns that are in exactly one title of a book.  The patterns are a stated list; they are checked against
-    every title, which is all a containment test can do, in blocks of some ``PATTERNS``, each broadcast."""
-    blocks = -(-patterns.count() // PATTERNS) or 1
-    found = None
-    for n in range(blocks):
-        block = F.broadcast(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == n))
-        matched = chapters.join(block, F.lower("title").contains(F.lower("pattern"))).groupBy("book_id", "pattern").agg(F.min("idx").alias("idx"), F.count("*").alias("n")).where("n = 1").drop("n")
-        found = matched if found is None else found.unionByName(matched)
-    return found
+    """Patterns that are in exactly one title of a book: book_id, pattern, idx.
+
+    Titles (book_id, idx, title) are indexed by their runs of up to three characters; a pattern joins the titles that
+    have its rarest run, and containment is verified on those.  Cases don't matter.  The empty pattern is in every
+    title, as is the empty run, so it matches where a book has one.
+    """
+    wanted = patterns.select("pattern").distinct().withColumn("low", F.lower("pattern"))
+    parts = wanted.withColumn("gram", F.explode(F.when(F.col("low") == "", F.array(F.lit(""))).otherwise(_grams(F.col("low"), F.least(F.lit(3), F.length("low"))))))
+    titles = chapters.select("book_id", "idx", F.lower("title").alias("t")).where("t is not null")
+    index = titles.select("book_id", "idx", "t", F.explode(F.concat(F.array(F.lit("")), *(_grams(F.col("t"), F.lit(n)) for n in (1, 2, 3)))).alias("gram"))
+    index = index.join(parts.select("gram").distinct(), "gram", "left_semi")
+    often = parts.join(index.groupBy("gram").count(), "gram", "left")
+    rarest = often.groupBy("pattern", "low").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    found = index.join(rarest, "gram").where(F.col("t").contains(F.col("low"))).groupBy("book_id", "pattern").agg(F.min("idx").alias("idx"), F.count("*").alias("n"))
+    return found.where("n = 1").drop("n")

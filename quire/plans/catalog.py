@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import replies as R
 from quire.functions import text as T
 from quire.operators import inventory as I
 from quire.operators import links as L
@@ -86,13 +87,11 @@ def a10_last_wins(spark, d):
     return K.latest(table(spark, d, "events"), ["event_type"], "event_id", "user_id")
 
 
-_SETTINGS = [("model", "given", "env", "default"), ("timeout", None, "60", "180"), ("language", None, None, "zh-Hant"), ("vision_model", "", "v", "d")]
-
-
-@query("SELECT name, coalesce(given, env, def) AS value FROM (VALUES ('model', 'given', 'env', 'default'), ('timeout', NULL, '60', '180'), ('language', NULL, NULL, 'zh-Hant'), ('vision_model', '', 'v', 'd')) t(name, given, env, def)")
+@query("SELECT d.doc_id, coalesce(l.quality::VARCHAR, CASE WHEN d.lang <> 'en' THEN d.lang END, d.source) AS value FROM documents d LEFT JOIN labels l USING (doc_id)")
 def s11_config_precedence(spark, d):
-    """Command line over environment over default."""
-    return spark.createDataFrame(_SETTINGS, "name string, given string, env string, def string").select("name", F.coalesce("given", "env", "def").alias("value"))
+    """Of three places for a value the first that has one: labels over languages other than the default over sources."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.when(F.col("lang") != "en", F.col("lang")), "source").alias("value"))
 
 
 @query(f"SELECT page_id, {_UNESCAPE.format(x=_STRIP.format(x=_TITLE_TAG))} AS title, {_UNESCAPE.format(x=_STRIP.format(x=_HEADING))} AS h1 FROM pages")
@@ -119,47 +118,39 @@ def f6_external_links(spark, d):
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", T.is_external(F.col("href")).alias("is_external"))
 
 
-_ENDPOINTS = [("http://localhost:11434/v1", "m"), ("http://127.0.0.1:11434/v1/", "m"), ("https://[::1]:11434/v1", "m"), ("http://localhost:11434/v1", "m-cloud"), ("http://localhost:11435/v1", "m"), ("http://localhost/v1", "m"), ("http://example.com:11434/v1", "m"), ("http://u:p@localhost:11434/v1", "m"), ("http://localhost:11434/v1?x=1", "m"), ("http://localhost:11434/v1#f", "m"), ("ftp://localhost:11434/v1", "m"), ("http://localhost:11434/v2", "m"), ("http://localhost:x/v1", "m")]
-_ENDPOINT = r"^https?://(localhost|127\.0\.0\.1|\[::1\]):11434/v1/*$"
+#: Of every page an endpoint, its models and prices: mobile hosts stand for the loopback, links and bold for prices.
+_ENDPOINT_SQL = r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://m\.') THEN regexp_extract(url, '^https?') || '://localhost:11434/v1' || CASE WHEN contains(url, '#') THEN '?x' ELSE '/' END ELSE url END AS base_url,
+  regexp_extract(url, '^[a-z]+://[^/]*/([a-z]*)', 1) || CASE WHEN contains(url, 'page=') THEN '-Cloud' ELSE '' END AS model, CASE WHEN contains(url, 'ref=') THEN 'v-cloud' END AS vision_model,
+  len(regexp_extract_all(html, '<a ')) - 6 AS input_price, len(regexp_extract_all(html, '<b>')) - 1 AS output_price FROM pages"""
+_LOCAL_SQL = "regexp_matches(base_url, '" + R.LOOPBACK + "') AND NOT contains(lower(model), 'cloud')"
 
 
-@query("SELECT url, model, regexp_matches(url, '" + _ENDPOINT + "') AND NOT contains(lower(model), 'cloud') AS is_local FROM (VALUES " + ", ".join(f"('{u}', '{m}')" for u, m in _ENDPOINTS) + ") t(url, model)")
-def f10_local_endpoint(spark, d):
-    """loopback endpoints on the usual port, and no model in a cloud behind them."""
-    from quire.plans.settings import Settings
+def _endpoints(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    local = F.concat(F.regexp_extract("url", "^https?", 0), F.lit("://localhost:11434/v1"), F.when(url.contains("#"), "?x").otherwise("/"))
+    model = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]*)", 1), F.when(url.contains("page="), "-Cloud").otherwise(""))
+    many = lambda tag: F.regexp_count("html", F.lit(tag))
+    return table(spark, d, "pages").select("page_id", F.when(url.rlike(r"^https?://m\."), local).otherwise(url).alias("base_url"), model.alias("model"), F.when(url.contains("ref="), "v-cloud").alias("vision_model"), (many("<a ") - 6).alias("input_price"), (many("<b>") - 1).alias("output_price"))
 
-    @F.pandas_udf("boolean")
-    def local(urls: pd.Series, models: pd.Series) -> pd.Series:
-        return pd.Series([Settings(base_url=u, model=m).local() for u, m in zip(urls, models)])
 
-    return spark.createDataFrame(_ENDPOINTS, "url string, model string").select("url", "model", local("url", "model").alias("is_local"))
+@query(f"SELECT page_id, base_url, model, {_LOCAL_SQL} AS is_local FROM ({_ENDPOINT_SQL})")
+def f10_local_endpoint(spark, d):
+    """loopback endpoints on the usual port, and no model in a cloud behind them."""
+    return _endpoints(spark, d).select("page_id", "base_url", "model", R.local_endpoint(F.col("base_url"), F.col("model")).alias("is_local"))
 
 
-@query("SELECT doc_id, (doc_id % 3 = 0) OR (((doc_id % 5) > 0 OR (doc_id % 7) > 0) AND NOT (doc_id % 2 = 0)) AS priced FROM documents")
+@query(f"SELECT page_id, ({_LOCAL_SQL} AND vision_model IS NULL) OR (NOT ({_LOCAL_SQL}) AND (input_price <> 0 OR output_price <> 0)) AS priced FROM ({_ENDPOINT_SQL})")
 def f11_priced(spark, d):
-    """whether a price can be told, of settings made from doc_id: local or not, with prices or not, and with a
-    cloud's model for pictures or without."""
-    from quire.plans.settings import Settings
-
-    @F.pandas_udf("boolean")
-    def priced(ids: pd.Series) -> pd.Series:
-        own = "http://localhost:11434/v1"
-        made = (Settings(base_url=own if i % 3 == 0 or i % 2 == 0 else "https://models.example/v1", model="m", vision_model="m-cloud" if i % 3 else "m", input_price=i % 5, output_price=i % 7) for i in ids)
-        return pd.Series([x.priced(describe_images=True) for x in made])
+    """whether a price can be told, of endpoints, models for text and pictures, and prices."""
+    c = F.col
+    return _endpoints(spark, d).select("page_id", R.priced(c("base_url"), c("model"), c("vision_model"), c("input_price"), c("output_price")).alias("priced"))
 
-    return table(spark, d, "documents").select("doc_id", priced("doc_id").alias("priced"))
 
-
-@query("SELECT conv_id, turn FROM conversations WHERE turn % 4 <> 3 AND regexp_matches(text, '\\S')")
+@query(r"SELECT conv_id, turn FROM conversations WHERE length(text) % 4 <> 0 AND regexp_matches(text, '\S')")
 def f12_usable_turns(spark, d):
-    """replies that ended by themselves and have text; every fourth was cut by its limit."""
-    from quire.plans.completer import unusable
-
-    @F.pandas_udf("boolean")
-    def usable(turns: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([unusable("length" if n % 4 == 3 else "stop", x) is None for n, x in zip(turns, texts)])
-
-    return table(spark, d, "conversations").where(usable("turn", "text")).select("conv_id", "turn")
+    """replies that ended by themselves and have text; every fourth length stands for a limit that cut them."""
+    finish = F.when(F.length("text") % 4 == 0, "length").when(F.length("text") % 4 == 1, "end_turn").when(F.length("text") % 4 == 2, "stop")
+    return table(spark, d, "conversations").where(R.usable(finish, F.col("text"))).select("conv_id", "turn")
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_WORDS}'))::BIGINT AS words FROM documents")
@@ -200,34 +191,37 @@ def a7_duplicates(spark, d):
     return table(spark, d, "documents").groupBy(T.content_key(F.col("text")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-_ARRAYS = [(1, ["a", "b"], ["a", "b"]), (2, ["a", "b"], ["b", "a"]), (3, ["a", "b"], ["a"]), (4, ["a"], ["a", "c"]), (5, ["a", "b"], ["a", "a", "b"]), (6, [], [])]
-_ARRAY_SQL = "(VALUES " + ", ".join(f"({i}, {e}::VARCHAR[], {f}::VARCHAR[])" for i, e, f in _ARRAYS) + ") t(id, expected, found)"
+#: What is expected and found of every document: its first six words, and the six from its third word on.
+_ARRAY_SQL = r"(SELECT doc_id AS id, w[1:6] AS expected, w[3:8] AS found FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x20]+') AS w FROM documents)) t"
 
 
-def _token_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ARRAYS, "id int, expected array<string>, found array<string>")
+def _token_rows(spark: SparkSession, d: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x00-\x20]+)"), F.lit(1))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("w"))
+    return rows.select("id", F.slice("w", 1, 6).alias("expected"), F.slice("w", 3, 6).alias("found"))
 
 
-@query(f"""SELECT id, coalesce(array_to_string(list_sort(list_filter(expected, lambda x: NOT list_contains(found, x))), ','), '') AS missing,
-  coalesce(array_to_string(list_sort(list_filter(found, lambda x: NOT list_contains(expected, x))), ','), '') AS invented,
+@query(f"""SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_filter(expected, lambda x: NOT list_contains(found, x)))), ' '), '') AS missing,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(found, lambda x: NOT list_contains(expected, x)))), ' '), '') AS invented,
   len(found) <> len(list_distinct(found)) AS duplicates,
   len(list_filter(expected, lambda x: NOT list_contains(found, x))) = 0 AND len(list_filter(found, lambda x: NOT list_contains(expected, x))) = 0 AND expected <> found AS reordered FROM {_ARRAY_SQL}""")
 def a8_token_diff(spark, d):
-    """What is wrong with placeholders."""
+    """What is wrong with what was found, of every document's words."""
     missing, invented = F.array_except("expected", "found"), F.array_except("found", "expected")
-    return _token_rows(spark).select("id", F.array_join(F.array_sort(missing), ",").alias("missing"), F.array_join(F.array_sort(invented), ",").alias("invented"), (F.size("found") != F.size(F.array_distinct("found"))).alias("duplicates"), ((F.size(missing) == 0) & (F.size(invented) == 0) & (F.col("expected") != F.col("found"))).alias("reordered"))
+    in_order = lambda x: F.array_join(F.array_sort(x), " ")
+    return _token_rows(spark, d).select("id", in_order(missing).alias("missing"), in_order(invented).alias("invented"), (F.size("found") != F.size(F.array_distinct("found"))).alias("duplicates"), ((F.size(missing) == 0) & (F.size(invented) == 0) & (F.col("expected") != F.col("found"))).alias("reordered"))
 
 
-@query(f"SELECT id, unnest(list_concat(list_filter(expected, lambda x: NOT list_contains(found, x)), list_filter(found, lambda x: NOT list_contains(expected, x)))) AS token FROM {_ARRAY_SQL}")
+@query(f"SELECT DISTINCT id, unnest(list_concat(list_filter(expected, lambda x: NOT list_contains(found, x)), list_filter(found, lambda x: NOT list_contains(expected, x)))) AS token FROM {_ARRAY_SQL}")
 def u3_sym_diff(spark, d):
     """Symmetric difference."""
-    return _token_rows(spark).select("id", F.explode(F.concat(F.array_except("expected", "found"), F.array_except("found", "expected"))).alias("token"))
+    return _token_rows(spark, d).select("id", F.explode(F.concat(F.array_except("expected", "found"), F.array_except("found", "expected"))).alias("token"))
 
 
-@query(f"SELECT id, coalesce(array_to_string(list_concat(expected[:least(len(found), len(expected))], expected[least(len(found), len(expected)) + 1:]), ','), '') AS tokens FROM {_ARRAY_SQL}")
+@query(f"SELECT id, coalesce(array_to_string(list_concat(expected[:least(len(found), len(expected))], expected[least(len(found), len(expected)) + 1:]), ' '), '') AS tokens FROM {_ARRAY_SQL}")
 def w9_relabel(spark, d):
-    """The k-th placeholder becomes the k-th expected."""
-    return _token_rows(spark).select("id", F.array_join(P.relabel(F.col("found"), F.col("expected")), ",").alias("tokens"))
+    """The k-th found becomes the k-th expected."""
+    return _token_rows(spark, d).select("id", F.array_join(P.relabel(F.col("found"), F.col("expected")), " ").alias("tokens"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS uses FROM documents GROUP BY text")
@@ -437,21 +431,25 @@ def j21_integrity(spark, d):
     return L.integrity(nav, rows.select("book_id", "path"), rows.select("book_id", "path"), members, none).select(F.col("path").cast("bigint").alias("page_id"), "problem")
 
 
-@query("SELECT a.id, i AS idx FROM (VALUES (1, 3, 7), (2, 5, 5), (3, 9, 12)) a(id, low, high), generate_series(low, high) t(i)")
+@query("SELECT conv_id, unnest(generate_series(min(turn), max(turn))) AS idx FROM conversations GROUP BY conv_id")
 def j23_range_select(spark, d):
     """Ranges and the indices inside them."""
-    rows = spark.createDataFrame([(1, 3, 7), (2, 5, 5), (3, 9, 12)], "id int, low bigint, high bigint")
-    return rows.select("id", F.explode(F.sequence("low", "high")).alias("idx"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"))
+    return rows.select("conv_id", F.explode(F.sequence("low", "high")).alias("idx"))
 
 
-_PATTERNS = ("#1999", "RING #", "no such name", "#200")
+_PATTERN_SQL = "SELECT DISTINCT pattern FROM (SELECT '#' || p_partkey AS pattern FROM part WHERE p_size = 7 UNION ALL SELECT lower(p_name) || ' #' || p_partkey FROM part WHERE p_size = 8 UNION ALL SELECT upper(left(p_name, 2)) FROM part WHERE p_size = 9 UNION ALL SELECT p_type FROM part WHERE p_size = 10)"
 
 
-@query("SELECT pattern, min(p_partkey) AS idx FROM part, (VALUES " + ", ".join(f"('{p}')" for p in _PATTERNS) + ") t(pattern) WHERE contains(lower(p_name || ' #' || p_partkey), lower(pattern)) GROUP BY pattern HAVING count(*) = 1")
+@query(f"SELECT pattern, min(p_partkey) AS idx FROM part JOIN ({_PATTERN_SQL}) ON contains(lower(p_name || ' #' || p_partkey), lower(pattern)) GROUP BY pattern HAVING count(*) = 1")
 def j24_title_match(spark, d):
-    """Patterns that match exactly one title."""
-    titles = table(spark, d, "part").select(F.lit(1).alias("book_id"), F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit(" #"), "p_partkey").alias("title"))
-    return S.title_matches(titles, spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")).select("pattern", "idx")
+    """Patterns that are in exactly one title, by an index of the titles; patterns are numbers, whole titles,
+    beginnings and types of parts of some sizes."""
+    parts = table(spark, d, "part")
+    title = lambda name: F.concat(name, F.lit(" #"), "p_partkey")
+    some = lambda size, pattern: parts.where(F.col("p_size") == size).select(pattern.alias("pattern"))
+    patterns = some(7, F.concat(F.lit("#"), "p_partkey")).union(some(8, title(F.lower("p_name")))).union(some(9, F.upper(F.substring("p_name", 1, 2)))).union(some(10, F.col("p_type")))
+    return S.title_matches(parts.select(F.lit(1).alias("book_id"), F.col("p_partkey").alias("idx"), title("p_name").alias("title")), patterns).select("pattern", "idx")
 
 
 @query("SELECT source, idx FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS idx, lang FROM documents) WHERE (idx BETWEEN 2 AND 9 OR lang = 'fr') AND idx NOT IN (4, 5) AND doc_id % 6 <> 0")
@@ -462,15 +460,17 @@ def u1_selection_algebra(spark, d):
     return S.algebra(chapters, picked, chapters.where("idx in (4, 5)").select("book_id", "idx")).select(F.col("book_id").alias("source"), "idx")
 
 
-_GRAMMAR = ["all", "3", "1, 4-6", "10-", " 2 - 3 ,2", "0", "13", "5-3", "-4", "1,,2", "1--3", "x"]
-_GRAMMAR_OUT = [list(range(1, 13)), [3], [1, 4, 5, 6], [10, 11, 12], [2, 3], *[None] * 7]
+_GRAMMAR = "CASE length(t) % 6 WHEN 0 THEN 'all' WHEN 1 THEN '1, ' || n || '-' WHEN 2 THEN n || '' WHEN 3 THEN ' 2 - ' || n || ' ,1' WHEN 4 THEN (n + 1) || '' ELSE '1,,2' END"
+_GRAMMAR_OUT = "CASE length(t) % 6 WHEN 0 THEN range(1, n + 1) WHEN 1 THEN list_sort(list_distinct([1, n])) WHEN 2 THEN [n] WHEN 3 THEN CASE WHEN n >= 2 THEN range(1, n + 1) ELSE [] END ELSE [] END"
 
 
-@query("SELECT expr, idx FROM (VALUES " + ", ".join(f"('{e}', {o})" for e, o in zip(_GRAMMAR, _GRAMMAR_OUT) if o) + ") t(expr, l), unnest(l::BIGINT[]) u(idx)")
+@query(f"SELECT conv_id, expr, unnest(l::BIGINT[]) AS idx FROM (SELECT conv_id, {_GRAMMAR} AS expr, {_GRAMMAR_OUT} AS l FROM (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id))")
 def u2_grammar(spark, d):
-    """The range grammar for a book of twelve; invalid expressions give no index."""
-    rows = spark.createDataFrame([(e,) for e in _GRAMMAR], "expr string")
-    return rows.select("expr", F.explode(S.expand(F.col("expr"), F.lit(12).cast("bigint"))).alias("idx"))
+    """The range grammar for conversations as books of turns; invalid expressions give no index."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("t"))
+    n, kind = F.col("n").cast("string"), F.length("t") % 6
+    expr = F.when(kind == 0, "all").when(kind == 1, F.concat(F.lit("1, "), n, F.lit("-"))).when(kind == 2, n).when(kind == 3, F.concat(F.lit(" 2 - "), n, F.lit(" ,1"))).when(kind == 4, (F.col("n") + 1).cast("string")).otherwise("1,,2")
+    return rows.select("conv_id", expr.alias("expr"), "n").select("conv_id", "expr", F.explode(S.expand(F.col("expr"), F.col("n"))).alias("idx"))
 
 
 @query("SELECT DISTINCT lang, source FROM documents ORDER BY ALL")
@@ -739,16 +739,40 @@ def x14_timestamp(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"))
 
 
-@query("SELECT doc_id, least(600.0, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE ELSE least(60.0, pow(2.0, doc_id % 8)) END) AS delay FROM documents")
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN least(600.0, k * k) WHEN 'view' THEN 0.0 ELSE least(60.0, pow(2.0, k % 8)) END AS delay FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)""")
 def x15_retry_delay(spark, d):
-    """Delays that a server asks for, or grow by themselves; without the part of a second that is random."""
-    from quire.plans.completer import retry_delay
-
-    @F.pandas_udf("double")
-    def delay(ids: pd.Series) -> pd.Series:
-        return pd.Series([float(int(retry_delay(str(i) if i % 3 == 0 else None, int(i % 8)))) for i in ids])
-
-    return table(spark, d, "documents").select("doc_id", delay("doc_id").alias("delay"))
+    """Delays that a server asks for (of errors the square of k seconds, of views a time that has gone), or that
+    grow by themselves; without the part of a second that is random."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    asked = F.when(F.col("event_type") == "error", (k * k).cast("string")).when(F.col("event_type") == "view", F.date_format("ts", "E, dd MMM yyyy HH:mm:ss 'GMT'")).when(F.col("event_type") == "click", "soon")
+    return table(spark, d, "events").select("event_id", R.retry_delay(asked, k % 8).alias("delay"))
+
+
+_PHRASE_SQL = r"""SELECT DISTINCT unnest([array_to_string(w[1:1], ' '), array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' ')]) AS p FROM (SELECT string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1))"""
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN pattern IS NULL THEN text ELSE regexp_replace(text, pattern, '<\\1>', 'g') END) AS converted FROM documents,
+  (SELECT '(' || string_agg(regexp_escape(p), '|' ORDER BY length(p) DESC, p) || ')' AS pattern FROM ({_PHRASE_SQL}) WHERE p <> '')""")
+def x16_phrases(spark, d):
+    """The first words of some documents, wherever they are in all documents, leftmost and longest."""
+    from quire.operators import phrases
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    some = docs.where("text is not null").join(table(spark, d, "labels").where("quality = 0 and toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)
+    made = some.select(F.explode(F.array(*(F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)))).alias("phrase")).distinct()
+    converted = phrases.convert(docs, "text", made.select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("rendering")))
+    return converted.select("doc_id", F.md5(F.col("text").cast("binary")).alias("converted"))
+
+
+@query("""SELECT page_id, '[[IMG_1]] [[CODE_3]] [[MEDIA_4]]  [[MEDIA_5]] ' AS text, '[[MEDIA_2]]' AS missing FROM pages""")
+def d03_repair_tokens(spark, d):
+    """Placeholders of an answer that were not asked for or come again go; what lacks is named."""
+    rows = _protected(spark, d).select("page_id", F.transform("held", lambda h: h["token"]).alias("expected"))
+    said = F.concat(F.array_join(F.filter("expected", lambda t: t != "[[MEDIA_2]]"), " "), F.lit(" [[IMG_1]][[CODE_99]]"))
+    said = F.replace(said, F.lit("[[MEDIA_5]]"), F.lit("[[IMG_9]] [[MEDIA_5]]"))
+    fixed = N.repaired(said, F.col("expected"))
+    return rows.select("page_id", fixed.alias("r")).select("page_id", "r.text", F.array_join("r.missing", " ").alias("missing"))
 
 
 _PLAIN = r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"

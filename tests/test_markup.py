@@ -39,7 +39,6 @@ def test_token_error_and_repair():
     e = ["[[IMG_1]]", "[[IMG_2]]"]
     assert M.token_error("[[IMG_1]][[IMG_2]]", e) is None
     assert "out of order: True" in M.token_error("[[IMG_2]][[IMG_1]]", e)
-    assert M.repair_tokens("[[IMG_1]][[IMG_1]][[IMG_9]]", e) == ("[[IMG_1]]", ["[[IMG_2]]"])
 
 
 def test_split_keeps_all_text_and_ids_once():
