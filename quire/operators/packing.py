@@ -104,14 +104,19 @@ def relabel(found: Column, expected: Column) -> Column:
 
 def play_order(entries: DataFrame) -> DataFrame:
     """Numbers entries and their children (book_id, entry, child; child 0 is the entry itself) in reading order."""
-    return entries.withColumn("play_order", F.row_number().over(Window.partitionBy("book_id").orderBy("entry", "child")).cast("bigint"))
+    return _numbered(entries, "book_id", ("entry", "child"), "play_order")
 
 
 def dense_index(rows: DataFrame, book: str, position: str) -> DataFrame:
-    """``idx``: 1, 2, ... in order of position within a book; counted within ranges, whose sizes are then added up."""
-    parts = ranged(rows, position)
+    """``idx``: 1, 2, ... in order of position within a book."""
+    return _numbered(rows, book, (position,), "idx")
+
+
+def _numbered(rows: DataFrame, book: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """Numbers from 1 within a book, counted within ranges of the first order column, whose sizes are then added up."""
+    parts = ranged(rows, order[0])
     over = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.groupBy(book, "_range").count().select(book, "_range", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(book, "_range").orderBy(position)
-    found = parts.withColumn("idx", F.row_number().over(own)).join(before, [book, "_range"])
-    return found.withColumn("idx", (F.col("idx") + F.col("_before")).cast("bigint")).drop("_range", "_before")
+    before = parts.groupBy(book, "_range").count().select(F.col(book).alias("_book"), F.col("_range").alias("_part"), F.coalesce(F.sum("count").over(over), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(book, "_range").orderBy(*order)
+    found = parts.withColumn(name, F.row_number().over(own)).join(before, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_range") == F.col("_part")))
+    return found.withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_range", "_before", "_book", "_part")

@@ -75,6 +75,21 @@ def s10_upsert_latest(spark, d):
     return K.latest(table(spark, d, "events"), ["user_id", "event_type"], "event_id", "value", "props")
 
 
+@query("""WITH w AS (SELECT user_id::VARCHAR AS key, props AS value, event_id, event_type IN ('error', 'purchase') AS second FROM events),
+  r AS (SELECT key, arg_max(value, (second, event_id)) AS latest, arg_max(value, event_id) FILTER (NOT second) AS before FROM w GROUP BY key)
+  SELECT c_custkey, latest, before FROM customer LEFT JOIN r ON key = c_custkey::VARCHAR""")
+def s8_point_lookup(spark, d):
+    """A state table of two versions, looked up by key as of the latest and of the first."""
+    store = K.StateStore(spark, _state_folder(spark))
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), "event_id", F.col("event_type").isin("error", "purchase").alias("second"))
+    for second in (False, True):
+        store.write("responses", events.where(F.col("second") == second), F.col("event_id"), token=f"part {second}")
+    store.write("responses", events, F.col("event_id"), token="part True")  # a retried write counts for nothing
+    keys = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("key"))
+    now, then = (store.read("responses", v).withColumnRenamed("value", n) for v, n in ((2, "latest"), (1, "before")))
+    return K.hits(K.hits(keys, now, ["key"]), then, ["key"]).select("c_custkey", "latest", "before")
+
+
 @query("SELECT user_id, event_type, arg_min(value, event_id) AS value FROM events GROUP BY ALL")
 def a9_first_wins(spark, d):
     """The first write of each key."""
@@ -325,6 +340,21 @@ def j11_digest_fanout(spark, d):
     return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_doc")), "k").select("doc_id", "first_doc")
 
 
+@query("SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) % 7 = 0 THEN NULL WHEN strlen(text) % 5 = 0 THEN '' ELSE lang || ' ' || strlen(text) END AS caption FROM documents")
+def d09_captions(spark, d):
+    """Texts as pictures: one call for each that differs, refusals kept, failures not; one fan-out."""
+    from quire.plans import captions
+
+    def ask(content: bytes, media: str) -> str | None:
+        n = len(content)
+        return None if n % 7 == 0 else "" if n % 5 == 0 else f"{media} {n}"
+
+    pictures = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.col("lang").alias("media"))
+    store = K.StateStore(spark, _state_folder(spark))
+    captions.describe(pictures, store, ask)
+    return captions.describe(pictures, store, lambda content, media: None).select("doc_id", "caption")  # the second time from the store alone
+
+
 #: Links of every page with a fragment, as of documents in a folder; what they name is kept, removed, absent or an
 #: asset by the length of its name, and every second kept name is an anchor of its output.
 _LINKED = "regexp_replace(html, 'href=\"/([^\"]*)\"', 'href=\"../\\1#\\1\"', 'g')"
@@ -501,8 +531,8 @@ def w3_prefix_tail(spark, d):
 @query("SELECT user_id, event_id, min_by(value, event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events")
 def w4_running_first(spark, d):
     """The glossary so far, where the first rendering stays."""
-    so_far = Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("user_id", "event_id", F.first("value").over(so_far).alias("value"))
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    return K.so_far(rows, ["user_id", "event_type"], "event_id", "value").select("user_id", "event_id", "value")
 
 
 _PACK = """list_reduce(list_prepend({{'a': 0::BIGINT, 'm': 0::BIGINT, 'p': 0::BIGINT, 'l': []::BIGINT[]}}, list_transform({pieces}, lambda x: {{'a': length(regexp_replace(x, '[^\\x00-\\x7F]', '', 'g'))::BIGINT, 'm': (length(x) - length(regexp_replace(x, '[^\\x00-\\x7F]', '', 'g')))::BIGINT, 'p': 0::BIGINT, 'l': []::BIGINT[]}})),
@@ -940,12 +970,23 @@ def d10_chapter_bodies(spark, d):
     return _folded(spark, d).select("book_id", "idx", F.md5(F.array_join(F.slice(words, 1, 40), " ").cast("binary")).alias("first_words"), "error")
 
 
-def _folded(spark: SparkSession, d: str) -> DataFrame:
+def _state_folder(spark: SparkSession) -> str:
+    """A new folder where the session's checkpoints are; on one machine without such a setting, one of its own."""
     import atexit
     import shutil
     import tempfile
     import uuid
 
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quire-state-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}"
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
     from quire.plans.completer import Stub
     from quire.plans.generation import generate
     from quire.plans.settings import Settings
@@ -953,11 +994,5 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
     rows = P.dense_index(table(spark, d, "documents").select(F.col("source").alias("book_id"), "doc_id", "text"), "book_id", "doc_id")
     body = F.concat(F.lit("<p>"), F.regexp_replace(T.escape(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\[|\]\]", "")), "\n", "</p><p>"), F.lit("</p>"))
     chapters = rows.select("book_id", F.col("idx").cast("int").alias("idx"), F.lit("i").alias("item_id"), F.lit("a.xhtml").alias("path"), F.concat_ws(" ", "book_id", F.col("doc_id").cast("string")).alias("title"), body.alias("body"), F.lit("<head/>").alias("head"), F.lit(0).alias("words"), F.lit(0).alias("images"), F.lit(False).alias("front_matter"), F.lit("").alias("properties"), F.expr("cast(null as map<string,string>)").alias("body_attrs"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="quire-state-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    state = f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = _state_folder(spark)
     return generate(chapters, Settings(language="en"), Stub(), state, "s")
