@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from quire.llm.components import stars
 from quire.llm.membership import bitmap, has, size_for
-from quire.llm.session import bounded_batches, column, drop, lean, materialised, partitions, shared_folder
+from quire.llm.session import bounded_batches, column, drop, free_names, lean, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
 #: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
@@ -531,8 +531,10 @@ def components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
 def representatives(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
     """One row of each component, with all columns of ``docs``: that of the smallest doc_id (a missing one
     counts as largest; of rows alike in it, that of the smallest hash of the text), and every row without
-    shingles.  Only rows that may have to go are shuffled."""
+    shingles.  Only rows that may have to go are shuffled.  Columns must not be called ``_d``, ``_h``, ``_best`` or
+    ``_n`` (ValueError)."""
     spark = docs.sparkSession
+    free_names(tuple(docs.columns), ("_d", "_h", "_best", "_n"))
     d = lambda c: F.coalesce(c.cast("bigint"), F.lit(2**63 - 1))
     found = materialised(components(docs, shingle, percent).where("node is not null").select(d(F.col("doc_id")).alias("_d"), F.col("h").alias("_h"), "root"), shared_folder(spark), "found")
     best = found.groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("best"), F.count("*").alias("rows")).where("rows > 1")

@@ -25,5 +25,15 @@ def test_taken_names(spark):
         for name in taken:
             with pytest.raises(ValueError):
                 f(("doc_id", name))
+            with pytest.raises(ValueError):  # as Spark compares names
+                f(("doc_id", name.upper()))
         with pytest.raises(ValueError):
             f(("doc_id", "doc_id"))
+
+
+def test_names_of_representatives(spark):
+    from quire.llm import jaccard
+
+    for name in ("_d", "_H", "_n"):
+        with pytest.raises(ValueError):
+            jaccard.representatives(spark.createDataFrame([], f"doc_id bigint, text string, `{name}` int"))
