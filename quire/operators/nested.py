@@ -123,6 +123,7 @@ def protect(
     piece = lambda of, k, s, t: F.struct(of.cast("bigint").alias("number"), F.lit(k).alias("k"), s.alias("s"), t.alias("token"))
     none = F.lit(None).cast("string")
     made = F.array(piece(text_of, 0, F.col("text"), none), piece(F.when(mark.isNotNull(), mark_of), 1, lines, none), piece(tag_of, 2, F.col("tag"), mark))
+    made = F.when(mark.isNull() & (text_of == tag_of), F.array(piece(text_of, 0, F.concat("text", "tag"), none))).otherwise(made)  # one piece for most rows
     held = F.col("text").rlike(T.TOKEN)
     pieces = x.select(*keep, "_doc", "n", held.alias("_held"), F.explode(made).alias("p")).where("p.number is not null")
     parts = pieces.groupBy("_doc", *keep, "p.number").agg(
@@ -213,6 +214,8 @@ def units(rows: DataFrame, markup: str, keep: tuple[str, ...], limit: int, wrapp
     piece = lambda u, k, s, w: F.struct(u.cast("bigint").alias("unit"), F.lit(k).alias("k"), s.alias("s"), w.alias("w"))
     text_unit = F.col("_unit") - F.col("_new_tag").cast("int")
     made = F.array(piece(text_unit, 0, F.col("text"), F.col("_text")), piece(F.when(~F.col("_shell"), F.col("_unit")), 1, F.col("tag"), F.col("_tag")))
+    joint = ~F.col("_new_tag") & ~F.col("_shell")
+    made = F.when(joint, F.array(piece(F.col("_unit"), 0, F.concat("text", "tag"), F.col("_text") + F.col("_tag")))).otherwise(made)  # one piece for most rows
     shell = F.when(F.col("_shell") & (F.col("kind") == "open"), F.struct("n", "other", "name", "tag", (F.col("_unit") + 1).alias("first")))
     pieces = x.select(*keep, "_doc", "n", shell.alias("_wrapper"), F.explode(made).alias("p")).where("p.s <> '' and (p.unit is not null or p.k = 1)")
     out = pieces.groupBy("_doc", *keep, F.col("p.unit").alias("unit")).agg(
