@@ -166,6 +166,25 @@ def _without_paragraphs(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return x.groupBy("_doc", *keep).agg(joined.alias("restored"))
 
 
+def canonicalized(rows: DataFrame, xhtml: str, expected: str, keep: tuple[str, ...]) -> DataFrame:
+    """Placeholders of texts (columns ``xhtml`` and ``expected``, an array) stay where they are and take the expected
+    names in order: ``keep``, ``xhtml``.  Surplus ones go, lacking ones come at the end on lines of their own; those in
+    attributes are cut out, with the attribute where nothing else is left in it."""
+    x = tags(rows.select(*keep, F.col(xhtml).alias("_x"), F.col(expected).alias("_expected")), "_x", (*keep, "_expected"))
+    over = Window.partitionBy("_doc").orderBy("n")
+    found = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    x = x.withColumn("_many", F.size(found)).withColumn("_upto", F.sum("_many").over(over.rowsBetween(*_RUNNING)).cast("int"))
+    each = F.arrays_zip(F.split("text", T.TOKEN, -1).alias("a"), found.alias("t"))
+    named = F.transform(each, lambda y, i: F.concat(y["a"], F.when(y["t"].isNotNull(), F.coalesce(F.get("_expected", F.col("_upto") - F.col("_many") + i), F.lit(""))).otherwise("")))
+    value = rf"""\s+[^\s=<>"'/]+\s*=\s*(?:"\s*(?:{T.TOKEN}\s*)+"|'\s*(?:{T.TOKEN}\s*)+'|(?:{T.TOKEN})+)"""
+    cut = F.regexp_replace(F.regexp_replace("tag", value, ""), rf"""(?<=["'])\s*(?:{T.TOKEN}\s*)+|(?:\s*{T.TOKEN})+\s*(?=["'])|{T.TOKEN}""", "")
+    tag = F.when(F.col("tag").rlike(T.TOKEN) & (F.col("name") != ""), cut).otherwise(F.col("tag"))
+    x = x.withColumn("_s", F.concat(F.when(F.col("_many") > 0, F.array_join(named, "")).otherwise(F.col("text")), tag))
+    docs = x.groupBy("_doc", *keep, "_expected").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "_s"))), lambda y: y["_s"]), "").alias("xhtml"), F.max("_upto").alias("_upto"))
+    rest = F.slice("_expected", F.col("_upto") + 1, F.size("_expected"))
+    return docs.select(*keep, F.when(F.size("_expected") > F.col("_upto"), F.concat("xhtml", F.lit("\n"), F.array_join(rest, "\n"), F.lit("\n"))).otherwise(F.col("xhtml")).alias("xhtml"))
+
+
 def repaired(text: Column, expected: Column) -> Column:
     """A struct of the text without placeholders that aren't expected or come again (``text``), and of those expected
     that it lacks (``missing``), in their order."""

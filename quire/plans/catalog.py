@@ -662,6 +662,14 @@ def d01_protect(spark, d):
     return _protected(spark, d).select("page_id", "xhtml", F.size("held").cast("bigint").alias("n_tokens"), F.get(menu, F.lit(0))["markup"].alias("menu"))
 
 
+@query(f"SELECT page_id, {_H1} || chr(10) || '[[IMG_1]]' || chr(10) || '<p>text ' || chr(10) || '[[CODE_3]]' || chr(10) || ' after</p>' || {_WITHOUT} || '<i></i>' || chr(10) || '[[MEDIA_9]]' || chr(10) AS xhtml FROM pages")
+def d04_canonicalize(spark, d):
+    """Placeholders of answers that were renamed, swapped and put into attributes take their names again."""
+    said = F.replace(F.replace(F.replace("xhtml", F.lit("[[CODE_3]]"), F.lit("[[IMG_7]]")), F.lit("[[MEDIA_4]]"), F.lit("[[IMG_1]]")), F.lit("[[MEDIA_5]]"), F.lit("[[CODE_3]]"))
+    rows = _protected(spark, d).select("page_id", F.concat(said, F.lit('<i title="[[IMG_2]] "></i>')).alias("said"), F.concat(F.regexp_extract_all("xhtml", F.lit(T.TOKEN), F.lit(0)), F.array(F.lit("[[MEDIA_9]]"))).alias("expected"))
+    return N.canonicalized(rows, "said", "expected", ("page_id",))
+
+
 @query(f"SELECT page_id, replace({_H1} || '<figure><img src=\"' || " + _ESCAPE.format(x="url") + " || '\"/></figure><p>text <code>x = 1</code> after</p>' || html, chr(10), '') AS restored, NULL::VARCHAR AS error FROM pages")
 def d05_restore(spark, d):
     """Restored pages are what they were, but for the lines that placeholders stood on."""

@@ -48,6 +48,20 @@ def test_protect_and_restore(spark):
         assert x["error"] is None and x["restored"].replace("\n", "").replace("<p/>", "<p></p>") == whole.replace("\n", "").replace("<p/>", "<p></p>")
 
 
+def test_canonicalized(spark):
+    r = random.Random(11)
+    token = lambda: f"[[{r.choice(('IMG', 'CODE', 'MEDIA'))}_{r.randint(1, 9)}]]"
+    made = []
+    for _ in range(300):
+        part = lambda: r.choice((token(), "text ", "<p>x</p>", f'<b title="{token()}">y</b>', f'<i class="k" id="a {token()}">z</i>', f'<i id="{token()} a">{token()}</i>', "<br/>"))
+        made.append(("".join(part() for _ in range(r.randint(0, 9))), [token() for _ in range(r.randint(0, 6))]))
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(made)], "id int, x string, e array<string>").repartition(3)
+    got = N.canonicalized(rows, "x", "e", ("id",)).collect()
+    assert len(got) == len(made)
+    for x in got:
+        assert x["xhtml"] == M.canonicalize(*made[x["id"]]), made[x["id"]]
+
+
 def test_split(spark):
     r = random.Random(7)
     made = ["".join(tree(r, 5, ("div", "section", "article", "main"), 0.4) for _ in range(r.choice((1, 6)))) for _ in range(150)]
