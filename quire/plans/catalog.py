@@ -816,29 +816,23 @@ def d03_repair_tokens(spark, d):
 _PLAIN = r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'term conflict' WHEN doc_id % 7 = 0 THEN 'the answer is no' ELSE '' END AS error, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE source END AS title, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE md5(replace('<p>' || {_ESCAPE_TEXT.format(x=_PLAIN)} || '</p>', chr(13), '')) END AS body FROM documents")
+@query(f"""SELECT doc_id, CASE lang WHEN 'de' THEN 'term conflict: ''term'' is ''fixed'' already' WHEN 'es' THEN 'the answer is no well-formed XHTML; give the two elements and nothing around them' WHEN 'fr' THEN 'generated event handlers' END AS error,
+  CASE WHEN lang NOT IN ('de', 'es', 'fr') THEN source END AS title, CASE WHEN lang NOT IN ('de', 'es', 'fr') THEN md5('<p>' || {_ESCAPE.format(x=_PLAIN)} || '</p>') END AS body, CASE WHEN lang NOT IN ('de', 'es', 'fr') THEN 'term=fixed, ' || source || '=' || lang END AS terms FROM documents""")
 def d07_parse_response(spark, d):
-    """Responses that hold whole texts, read, or what is wrong with them."""
-    from quire.operators.markup import parse_response
-
-    @F.pandas_udf("struct<error: string, title: string, body: string>")
-    def read(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in values:
-            try:
-                body, title, _ = parse_response(x, {"term": "fixed"})
-                rows.append(("", title, body))
-            except ValueError as e:
-                rows.append((str(e), None, None))
-        return pd.DataFrame(rows, columns=["error", "title", "body"])
-
-    i = F.col("doc_id")
-    rendering = F.when(i % 5 == 0, "other").otherwise("fixed")
+    """Answers that hold whole texts, read, or the rule that they break: by language a conflict, markup
+    that isn't well-formed, an event handler."""
+    from quire.operators import responses
+
+    lang = F.col("lang")
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")  # XML has no such characters
-    response = F.concat(F.lit('<section data-role="summary" data-title="'), F.col("source"), F.lit('"><p>'), T.escape(plain), F.lit('</p></section><dl data-role="glossary"><dt>term</dt><dd>'), rendering, F.lit("</dd></dl>"))
-    sent = F.when((i % 7 == 0) & (i % 5 != 0), F.concat(F.lit("<p>"), response)).otherwise(response)
-    rows = table(spark, d, "documents").select("doc_id", read(sent).alias("r"))
-    return rows.select("doc_id", F.when(F.col("r.error") != "", F.regexp_extract("r.error", "^(term conflict|the answer is no)", 1)).otherwise("").alias("error"), F.col("r.title").alias("title"), F.md5(F.replace("r.body", F.lit("\r"), F.lit("")).cast("binary")).alias("body"))
+    opened = F.when(lang == "fr", '<p onclick="x()">').when(lang == "es", "<p><b>").otherwise("<p>")
+    entry = lambda term, rendering: F.concat(F.lit("<dt>"), T.escape(term), F.lit("</dt><dd>"), T.escape(rendering), F.lit("</dd>"))
+    terms = F.concat(entry(F.lit("term"), F.when(lang == "de", "other").otherwise("fixed")), entry(F.col("source"), lang))
+    answer = F.concat(F.lit('<section data-role="summary" data-title="'), T.escape(F.col("source")), F.lit('">'), opened, T.escape(plain), F.lit('</p></section><dl data-role="glossary">'), terms, F.lit("</dl>"))
+    rows = table(spark, d, "documents").select("doc_id", answer.alias("answer"), F.create_map(F.lit("term"), F.lit("fixed")).alias("known"))
+    found = responses.read(rows, "answer", ("doc_id",), "known")
+    shown = F.array_join(F.transform("terms", lambda t: F.concat(t["term"], F.lit("="), t["rendering"])), ", ")
+    return found.select("doc_id", "error", "title", F.md5(F.col("body").cast("binary")).alias("body"), shown.alias("terms"))
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
