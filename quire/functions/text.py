@@ -55,6 +55,11 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat(*(F.coalesce(p, F.lit("")) for p in parts)).cast("binary"), 256)
 
 
+def canonical_json(fields: Column) -> Column:
+    """A map as JSON with its keys in order, so that equal maps have equal keys, however they were made."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))), {"ignoreNullFields": "false"})
+
+
 def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

@@ -509,6 +509,15 @@ def l1_sorted(spark, d):
     return table(spark, d, "documents").select("lang", "source").distinct().orderBy("lang", "source")
 
 
+@query("""SELECT event_id, sha256('{"' || event_type || '":"' || user_id || '","props":' || to_json(props) || '}') AS key FROM events WHERE event_type < 'props'
+  UNION ALL SELECT event_id, sha256('{"props":' || to_json(props) || ',"' || event_type || '":"' || user_id || '"}') FROM events WHERE event_type > 'props'""")
+def l5_canonical_key(spark, d):
+    """Keys of maps, whatever the order that their entries were put in."""
+    entries = [(F.lit("props"), F.col("props")), (F.col("event_type"), F.col("user_id").cast("string"))]
+    made = F.when(F.col("value") > 10, F.create_map(*entries[0], *entries[1])).otherwise(F.create_map(*entries[1], *entries[0]))
+    return table(spark, d, "events").select("event_id", T.content_key(T.canonical_json(made)).alias("key"))
+
+
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def l2_preview(spark, d):
     """L2: the first selected document of every book."""
