@@ -105,7 +105,7 @@ _SAID = "'<|im_end|><|im_start|>assistant ok'"
 #: A turn's formatted length: 12 and 10 code points of control strings, two line ends, and a backslash each ``<|``.
 OP12 = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {_SAID}), (-1, 1, 'assistant', {_SAID})),
-f AS (SELECT *, 24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\*)\|', '<\1\\|', 'g')) AS chars,
+f AS (SELECT *, 24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars,
   CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
