@@ -15,8 +15,13 @@ context: at most ``2 * LENGTH - GRAM`` bytes, which travel with it.
    of a token with several contexts is sorted string by string by multikey quicksort, eight leading bytes at a
    time, where ties alone go on; equal strings but the earliest are repeats.
 4. Heavy tokens are cut: their contexts are dealt over many buckets, each keeps the earliest of equal ones, and
-   what buckets kept is compared across their boundaries in a second, small round.
-5. The repeats go back to their texts.
+   what buckets kept is compared across their boundaries in a second, small round.  So is a bucket that stays
+   over ``JUDGE_BYTES`` once equal contexts are combined, whatever the sample said.
+5. A round deals what it gets by more leading bytes: a context's strings are cut by the place of the anchor in
+   the string into pieces of ``widths()`` places, and go by all bytes that any strings of such a piece share (58, 79, 90
+   and so on up to the whole string).  Rounds end when no bucket is over the bound; in the last one strings are
+   whole, so nothing but equal ones comes together.
+6. The repeats go back to their texts.
 
 Hashes choose anchors, buckets and the order in which things are looked at; bytes alone decide what is equal.
 
@@ -29,6 +34,7 @@ each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +49,14 @@ from quire.llm.spans import BYTE_VALUE, Prefix, chunks, flat, mix
 LENGTH, GRAM = 100, 16
 #: One text in so many is sampled for splitters and heavy grams.
 SAMPLE = 256
-#: A gram of as many sampled places is heavy; the number grows so that the list never exceeds HEAVY_GRAMS.
+#: A gram of as many sampled places is heavy; the HEAVY_GRAMS most frequent are listed.
 HEAVY, HEAVY_GRAMS = 16, 1 << 20
 #: Splitters that are sampled; finer buckets cut the ranges between them evenly.
 SPLITTERS = 4096
 #: Buckets of a partition, and anchors of a task that are combined at once.
 BUCKETS, COMBINE = 4, 300_000
+#: Bytes of contexts that a bucket may hold in one worker, and of those in one row for the next round.
+JUDGE_BYTES, CARRIED = 128 << 20, 4 << 20
 #: Bytes of one text that are scanned at once; the next piece begins LENGTH - 1 bytes before this one's end.
 PIECE_BYTES = 1 << 20
 #: Repeats that a task has found, in one row of the shuffle.
@@ -236,11 +244,8 @@ def _sample(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(many.astype(np.int64))], ["gram", "n"])
 
     counts = some.mapInArrow(lean(grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") >= HEAVY)
-    total = often.agg(F.count("*"), F.sum("n")).first()
-    if total[0] > HEAVY_GRAMS:  # at most HEAVY_GRAMS grams can have this many of all places each
-        often = often.where(F.col("n") > total[1] // HEAVY_GRAMS)
-    heavy = np.array([r["gram"] for r in often.select("gram").toLocalIterator()], dtype=np.int64).view(np.uint64)
+    often = counts.where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "gram")  # sorted by ranges, read only as far as needed
+    heavy = np.array([r["gram"] for r in islice(often.toLocalIterator(), HEAVY_GRAMS)], dtype=np.int64).view(np.uint64)
     table = Heavy(heavy)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +321,40 @@ def _found(ranges: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(ranges[c])) for c in _RANGE.names), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [*_RANGE.names, "kind", "blob"])
 
 
-def _carried(contexts: Contexts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in _RANGE.names), pa.array([_PLAIN], pa.int32()), pa.array([contexts.packed()], pa.binary())], [*_RANGE.names, "kind", "blob"])
+def _carried(contexts: Contexts) -> Iterator[pa.RecordBatch]:
+    """Contexts for the next round, in rows of bounded size."""
+    each = CARRIED // (2 * LENGTH - GRAM)
+    for i in range(0, len(contexts.rows), each):
+        blob = contexts.take(np.arange(i, min(i + each, len(contexts.rows)))).packed()
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in _RANGE.names), pa.array([_PLAIN], pa.int32()), pa.array([blob], pa.binary())], [*_RANGE.names, "kind", "blob"])
+
+
+def widths() -> list[int]:
+    """Places of the anchor that a round's pieces span: all of them, then halves, down to one."""
+    out = [LENGTH - GRAM + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 2))
+    return out
+
+
+def pieces(whole: Contexts, width: int) -> tuple[Contexts, np.ndarray]:
+    """Contexts cut where the place of the anchor in their strings passes a multiple of ``width``, and a hash of the
+    bytes that any strings of such a piece share.  Hashes of contexts are left to ``unpacked``."""
+    r = whole.rows
+    back, span = r["back"].astype(np.int64), r["span"].astype(np.int64)
+    low, high = (back - span) // width, back // width  # the first string has its anchor furthest in
+    many = high - low + 1
+    own = np.repeat(np.arange(len(r)), many)
+    piece = high[own] - (np.arange(len(own)) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many))
+    first, last = np.minimum(back[own], (piece + 1) * width - 1), np.maximum(back[own] - span[own], piece * width)
+    skipped = back[own] - first
+    rows, src = r[own], whole.src[own] + skipped
+    rows["lo"] += skipped.astype(np.uint32)
+    rows["back"], rows["span"] = first, first - last
+    anchor = src + first
+    most = np.minimum((piece + 1) * width, LENGTH - GRAM + 1) - 1
+    shared = Prefix(whole.data, BYTE_VALUE).of(anchor - piece * width, anchor - most + LENGTH)
+    return Contexts(rows, src, whole.data), mix(shared ^ mix(piece.astype(np.uint64)))
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -399,54 +436,102 @@ def _judge(held: list[Contexts]) -> Iterator[np.ndarray]:
         a = b
 
 
-def _judged(suffixes: DataFrame) -> DataFrame:
-    """Repeats of every bucket; and what it keeps of heavy contexts, for the comparison across buckets."""
+def _judged(suffixes: DataFrame, parts: int, last: bool = False) -> DataFrame:
+    """Repeats of every bucket; and what is kept of heavy contexts and of buckets over the bound (but in the last
+    round), for the comparison across buckets."""
 
-    def judge(plain: list[Contexts], hot: list[Contexts]) -> Iterator[pa.RecordBatch]:
-        if plain:
-            for found in _judge(plain):
-                yield _found(found)
-        if hot:
-            whole = Contexts.joined(hot)
-            kept, repeats = whole.combined()
-            yield _found(whole.ranges(repeats))
-            yield _carried(whole.take(kept))
+    def settled(held: list[Contexts]) -> tuple[Contexts, pa.RecordBatch]:
+        whole = Contexts.joined(held)
+        kept, repeats = whole.combined()
+        kept = whole.take(kept)
+        return Contexts(kept.rows, np.append(0, np.cumsum(kept.lengths)[:-1]), kept.bytes()), _found(whole.ranges(repeats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, plain, hot = None, [], []
+        key, over = None, False
+        held: dict[int, list[Contexts]] = {_PLAIN: [], _HEAVY: []}
+        size = {_PLAIN: 0, _HEAVY: 0}
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if held[_PLAIN] and not over:
+                for found in _judge(held[_PLAIN]):
+                    yield _found(found)
+            for some in (held[_HEAVY], held[_PLAIN] if over else []):
+                if some:
+                    kept, found = settled(some)
+                    yield found
+                    yield from _carried(kept)
+
         for batch in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == _RANGES:
                     yield _found(np.frombuffer(blob, dtype=_RANGE))
                     continue
                 if bucket != key:
-                    yield from judge(plain, hot)
-                    key, plain, hot = bucket, [], []
-                (hot if kind == _HEAVY else plain).append(Contexts.unpacked(blob))
-        yield from judge(plain, hot)
-
-    dealt = suffixes.repartition(partitions(suffixes.sparkSession), "bucket").sortWithinPartitions("bucket")
+                    yield from end()
+                    key, over, held, size = bucket, False, {_PLAIN: [], _HEAVY: []}, {_PLAIN: 0, _HEAVY: 0}
+                own = Contexts.unpacked(blob)
+                held[kind].append(own)
+                size[kind] += len(own.data)
+                if size[kind] > JUDGE_BYTES:
+                    kept, found = settled(held[kind])
+                    yield found
+                    if last or 2 * len(kept.data) <= JUDGE_BYTES:  # whole strings are combined to one each
+                        held[kind], size[kind] = [kept], len(kept.data) if not last else 0
+                    else:
+                        yield from _carried(kept)
+                        held[kind], size[kind] = [], 0
+                        over = over or kind == _PLAIN
+        yield from end()
+
+    dealt = suffixes.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lean(run), _FOUND)
 
 
-def _dealt_again(carried: DataFrame, cuts: np.ndarray, labels: np.ndarray) -> DataFrame:
-    """Heavy contexts that buckets kept, by the bucket of their token."""
-    shared = carried.sparkSession.sparkContext.broadcast((cuts, labels))
+def _dealt_again(carried: DataFrame, width: int, labels: np.ndarray) -> DataFrame:
+    """Pieces of the contexts that buckets kept, by what their strings share."""
+    shared = carried.sparkSession.sparkContext.broadcast(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, labels = shared.value
+        labels = shared.value
+
+        def deal(held: list[Contexts]) -> pa.RecordBatch:
+            whole, leading = pieces(Contexts.joined(held), width)
+            bucket = (leading % np.uint64(len(labels))).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            some, at = np.unique(bucket[order], return_index=True)
+            blobs = [whole.take(o).packed() for o in np.split(order, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(labels[some], pa.int32()), pa.array(np.full(len(some), _PLAIN), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+        held, size = [], 0
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                whole = Contexts.unpacked(blob)
-                # Few tokens are heavy, so neighbours in the first order are mixed here.
-                bucket = (mix(whole.rows["gram"]) % np.uint64(len(labels))).astype(np.int64)
-                some = np.unique(bucket)
-                blobs = [whole.take(np.flatnonzero(bucket == b)).packed() for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array(labels[some], pa.int32()), pa.array(np.full(len(some), _PLAIN), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+                held.append(Contexts.unpacked(blob))
+                size += len(held[-1].data)
+                if size >= 8 * CARRIED:
+                    yield deal(held)
+                    held, size = [], 0
+        if held:
+            yield deal(held)
 
     return carried.mapInArrow(lean(run), "bucket int, kind int, blob binary")
 
 
+def _rounds(judged: DataFrame, folder: str) -> DataFrame:
+    """Repeats of the first round and of all later ones, which get what a round has carried on."""
+    spark = judged.sparkSession
+    repeats = judged.where("blob is null").select(*_RANGE.names)
+    for n, width in enumerate(widths()[1:]):
+        carried = judged.where("blob is not null").select("blob")
+        size = carried.agg(F.sum(F.octet_length("blob"))).first()[0]
+        if not size:
+            break
+        # Blobs are compressed, to a fourth at the least as a rule, and pieces overlap.
+        parts = max(partitions(spark), 16 * size // (BUCKETS * JUDGE_BYTES))
+        judged = materialised(_judged(_dealt_again(carried, width, places(parts, BUCKETS)), parts, width == 1), folder, f"again{n}")
+        repeats = repeats.unionByName(judged.where("blob is null").select(*_RANGE.names))
+    return repeats
+
+
 def _key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) ^ mix(h.astype(np.uint64) + np.uint64(1)))
 
@@ -477,10 +562,8 @@ def find(docs: DataFrame, folder: str, keep: tuple[str, ...] = ("doc_id",)) -> t
     texts = texts.withColumn("h", F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32)).bitwiseXOR(F.lit(_LEAST)))
     labels = places(partitions(spark), BUCKETS)
     cuts, heavy = _sample(texts, len(labels))
-    judged = materialised(_judged(_suffixes(texts, cuts, heavy, labels)), folder, "judged")
-    again = _judged(_dealt_again(judged.where("blob is not null").select("blob"), cuts, labels))
-    once, twice = (f.where("blob is null").select("doc", "h", "start", "end") for f in (judged, again))
-    ranges = once.unionByName(materialised(twice, folder, "again"))
+    judged = materialised(_judged(_suffixes(texts, cuts, heavy, labels), partitions(spark)), folder, "judged")
+    ranges = _rounds(judged, folder)
     return texts, ranges, _bits(ranges)
 
 
