@@ -1,9 +1,9 @@
 """Near-duplicate components by an exact n-gram Jaccard join with signature trees.
 
 1. Every text gives its set of distinct word shingles; texts with one set are one class from here on.
-2. Shingles are ordered by a frequency class, then by hash.  Frequencies come from a table of counters of
-   fixed size over all texts; any one order is right, and this one keeps phrases that many texts share out of
-   prefixes.  Two sets that reach the threshold have a shingle of both prefixes in common.
+2. Shingles are ordered by a frequency class, then by hash.  Frequencies come from a table of counters over all
+   texts, whose size follows the input up to a bound; any one order is right, and this one keeps phrases that many
+   texts share out of prefixes.  Two sets that reach the threshold have a shingle of both prefixes in common.
 3. Classes that share a prefix shingle form a list, cut where the next size is too large for a link.  A list's
    members join the block of its first class.  That is linear in the postings, and any two classes of a list
    are together in a block.
@@ -39,9 +39,10 @@ from quire.llm.membership import bitmap, has, size_for
 from quire.llm.session import bounded_batches, column, drop, free_names, lean, materialised, partitions, shared_folder
 from quire.llm.spans import LOWER_VALUE, NONSPACE, Prefix, chunks, flat, mix, shingles, words
 
-#: Counters of the frequency table (a byte each), and of them in one row of its shuffle.  An eighth of the
-#: corpus's shingles keeps phrases of a dozen texts apart from words of one; fewer cost longer lists only.
-COUNTERS, COUNTER_ROW = 1 << 24, 1 << 16
+#: Counters of the frequency table at least and at most (a byte each when broadcast, four in a task that counts), and
+#: of them in one row of its shuffle.  Between the two there is one for every SHARE bytes of text.  With fewer, only
+#: shingles that stand out from all that share their counter are told apart, which costs longer lists, never results.
+COUNTERS, MOST_COUNTERS, COUNTER_ROW, SHARE = 1 << 24, 1 << 26, 1 << 16, 32
 #: Members of a block; blocks of so many times more meet pivots first; pivots that are drawn in a round, and rounds.
 BLOCK, PARTS, PIVOTS, ROUNDS = 1500, 4, 8, 2
 #: Documents of a tree's leaf, children of a node, and bits of a bitmap at most.
@@ -66,46 +67,67 @@ def _shingle_runs(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     return out, np.append(0, np.cumsum(count))
 
 
+def counters_for(size: int) -> int:
+    """Counters for so many bytes of text: a power of two."""
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << max(0, -(-size // SHARE) - 1).bit_length()))
+
+
+def classes_of(table: np.ndarray) -> np.ndarray:
+    """The frequency class of each counter (rows of COUNTER_ROW): how far, in powers of two of the usual spread, its
+    count is above the median.  Both are quantiles of the counts themselves, so classes stay apart however full the
+    counters are.  Hashes fill the counters, so the quantiles of a stride of them are those of all."""
+    middle, upper = np.quantile(table.ravel()[:: max(1, table.size >> 20)], (0.5, 0.9), method="higher").astype(np.int64).tolist()
+    bounds = middle + max(1, upper - middle) * (np.int64(1) << np.arange(40))
+    out = np.empty(table.shape, dtype=np.uint8)
+    for i, row in enumerate(table):
+        out[i] = np.searchsorted(bounds, row.astype(np.int64), side="left")
+    return out.ravel()
+
+
 def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
-    """One byte a counter: how often, as a power of two over the mean, its shingles occur in all texts."""
+    """One byte a counter: the class of how often its shingles occur in all texts."""
+    counters = counters_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.uint16)
+        import zstandard
+
+        total = np.zeros(counters, dtype=np.uint32)
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for a, b in chunks(offsets):
                 runs, _ = _shingle_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                slots, n = np.unique((runs >> np.uint64(8)) & np.uint64(COUNTERS - 1), return_counts=True)
-                slots = slots.astype(np.int64)
-                total[slots] = np.minimum(total[slots] + n, 65_535)
-        rows = np.minimum(total, 255).astype(np.uint8).reshape(-1, COUNTER_ROW)
+                slots, n = np.unique((runs >> np.uint64(8)) & np.uint64(counters - 1), return_counts=True)
+                total[slots.astype(np.int64)] += n.astype(np.uint32)
+        rows, pack = total.reshape(-1, COUNTER_ROW), zstandard.ZstdCompressor(level=1)
         used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used.tolist()], pa.binary())], ["at", "counts"])
+        for some in np.array_split(used, 1 + len(used) // 64):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack.compress(rows[i].tobytes()) for i in some.tolist()], pa.binary())], ["at", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = total.setdefault(at, np.zeros(COUNTER_ROW, dtype=np.uint32))
-                own += np.frombuffer(counts, dtype=np.uint8)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["at", "counts"])
-
-    made = texts.select("text").mapInArrow(lean(count), "at bigint, counts binary").repartition(min(partitions(texts.sparkSession), COUNTERS // COUNTER_ROW), "at").mapInArrow(lean(add), "at bigint, counts binary")
-    table, total = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), dtype=np.uint16), 0
+                own = total.setdefault(at, np.zeros(COUNTER_ROW, dtype=np.uint64))
+                own += np.frombuffer(unpack.decompress(counts), dtype=np.uint32)
+        for at, own in total.items():
+            own = np.minimum(own, 2**32 - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["at", "counts"])
+
+    made = texts.select("text").mapInArrow(lean(count), "at bigint, counts binary").repartition(min(partitions(texts.sparkSession), counters // COUNTER_ROW), "at").mapInArrow(lean(add), "at bigint, counts binary")
+    table = np.zeros((counters // COUNTER_ROW, COUNTER_ROW), dtype=np.uint32)
     for row in made.toLocalIterator():
-        counts = np.frombuffer(row["counts"], dtype=np.uint32)
-        total += int(counts.sum(dtype=np.int64))
-        table[row["at"]] = np.minimum(counts, 65_535)
-    over = np.maximum(np.arange(65_536), 1) / (2 * max(1.0, total / COUNTERS))
-    return np.clip(np.floor(np.log2(over)) + 1, 0, 60).astype(np.uint8)[table.ravel()]
+        table[row["at"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+    return classes_of(table)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int, classes: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each row: frequency class, then 56 bits of hash."""
     runs, first = _shingle_runs(data, offsets, k)
     low = runs >> np.uint64(8)
-    runs = classes[(low & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | low
+    runs = classes[(low & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | low
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         yield np.unique(runs[a:b])
 
