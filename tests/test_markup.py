@@ -89,3 +89,9 @@ def test_restore_undoes_protect(parts):
     source = "".join(parts)
     text, held = M.protect(source)
     assert M.restore(text, held).replace("\n", "") == M.parse(source).inner()
+
+
+def test_references_without_semicolon_stay_as_written():
+    root = M.parse('<h1 title="a&lt">b &amp; c&#x27; &bogus; d&amp</h1>')
+    assert root.text() == "b & c' &bogus; d&amp" and root.find("h1")[0].attrs["title"] == "a&lt"
+    assert M.parse(root.inner()).text() == root.text()
