@@ -854,12 +854,11 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
         items = "".join(f'<item id="i{n}" href="{f}" media-type="application/xhtml+xml"/>' for n, (f, _) in enumerate(files))
         refs = "".join(f'<itemref idref="i{n}"/>' for n in range(len(files)))
         out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("mimetype", "application/epub+zip")
-            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="book.opf"/></rootfiles></container>')
-            z.writestr("book.opf", f'<package><metadata/><manifest>{items}</manifest><spine>{refs}</spine></package>')
-            for f, markup in files:
-                z.writestr(f, markup)
+        whole = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", '<container><rootfiles><rootfile full-path="book.opf"/></rootfiles></container>')]
+        whole += [("book.opf", f'<package><metadata/><manifest>{items}</manifest><spine>{refs}</spine></package>'), *files]
+        with zipfile.ZipFile(out, "w") as z:
+            for f, markup in whole:  # times stay as they begin, so that a task that runs again makes the same bytes
+                z.writestr(zipfile.ZipInfo(f), markup, zipfile.ZIP_DEFLATED)
         return pd.DataFrame([(f"book{rows['book'].iloc[0]}.epub", out.getvalue())], columns=["path", "content"])
 
     rows = pages(spark, d).select("id", "markup", F.floor(F.col("id") / 10).alias("book"))
