@@ -1002,7 +1002,9 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
     from quire.plans.settings import Settings
 
     rows = P.dense_index(table(spark, d, "documents").select(F.col("source").alias("book_id"), "doc_id", "text"), "book_id", "doc_id")
-    body = F.concat(F.lit("<p>"), F.regexp_replace(T.escape(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\[|\]\]", "")), "\n", "</p><p>"), F.lit("</p>"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\[|\]\]", "")
+    lines = F.regexp_replace(plain, r"([^\n]{4000,}?)\s", "$1\n")  # a paragraph can't be divided, so long lines are some
+    body = F.concat(F.lit("<p>"), F.regexp_replace(T.escape(lines), "\n", "</p><p>"), F.lit("</p>"))
     chapters = rows.select("book_id", F.col("idx").cast("int").alias("idx"), F.lit("i").alias("item_id"), F.lit("a.xhtml").alias("path"), F.concat_ws(" ", "book_id", F.col("doc_id").cast("string")).alias("title"), body.alias("body"), F.lit("<head/>").alias("head"), F.lit(0).alias("words"), F.lit(0).alias("images"), F.lit(False).alias("front_matter"), F.lit("").alias("properties"), F.expr("cast(null as map<string,string>)").alias("body_attrs"))
     state = _state_folder(spark)
-    return generate(chapters, Settings(language="en"), Stub(), state, "s")
+    return generate(chapters, Settings(language="en"), Stub(None), state, "s")
