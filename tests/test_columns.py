@@ -122,3 +122,20 @@ def test_repaired(spark):
     rows = spark.createDataFrame([(t, e) for t, e, _, _ in cases], "t string, e array<string>")
     for x, (_, _, text, missing) in zip(rows.coalesce(1).select(N.repaired(F.col("t"), F.col("e")).alias("r")).collect(), cases):
         assert (x["r"]["text"], x["r"]["missing"]) == (text, missing)
+
+
+def test_the_index_of_titles_is_not_gathered(spark):
+    """Neither the index nor the patterns' runs are broadcast, however small their tables look."""
+    from quire.plans import catalog
+
+    plan = catalog.j24_title_match(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" in plan
+
+
+def test_patterns_that_share_their_beginnings(spark):
+    """Numbers have few runs of three characters between them; candidates stay in proportion to what is found."""
+    titles = spark.range(1, 3001).selectExpr("1 as book_id", "id as idx", "concat('part of #', id) as title")
+    found = S.title_matches(titles, titles.selectExpr("concat('#', idx) as pattern")).collect()
+    want = {f"#{n}": n for n in range(301, 3001)}
+    assert {r["pattern"]: r["idx"] for r in found} == want
+    assert S.title_matches(titles, titles.selectExpr("cast(null as string) as pattern")).collect() == []
