@@ -23,6 +23,8 @@ NAME = r"^</?([A-Za-z][^\s/>]*)"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "script", "style")
 WRAPPERS = ("section", "div", "article", "main", "body")
 BLOCKS = ("figure", "pre", "div", "section")
+#: Documents are dealt over at least so many partitions, as a task sorts the tags of its documents several times.
+LEAST_PARTITIONS = 256
 _RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -37,10 +39,12 @@ def tags(rows: DataFrame, markup: str, keep: tuple[str, ...]) -> DataFrame:
     point that the text begins at.
 
     Rows are documents, also those alike; a missing markup is empty.  The one exchange deals whole documents, before
-    their tags become rows.
+    their tags become rows.  Its partitions have a number, so they aren't merged by the size of what is compressed
+    there, which tags and their windows exceed many times.
     """
     source = F.coalesce(F.col(markup).cast("string"), F.lit(""))
-    docs = rows.select(*keep, F.monotonically_increasing_id().alias("_doc"), source.alias("_markup")).repartition("_doc")
+    docs = rows.select(*keep, F.monotonically_increasing_id().alias("_doc"), source.alias("_markup"))
+    docs = docs.repartition(max(LEAST_PARTITIONS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_doc")
     cut = F.arrays_zip(F.split("_markup", TAG, -1).alias("text"), F.regexp_extract_all("_markup", F.lit(TAG), F.lit(0)).alias("tag"))
     out = docs.select(*keep, "_doc", F.posexplode(cut).alias("n", "x")).select(*keep, "_doc", F.col("n").cast("bigint").alias("n"), "x.text", F.coalesce("x.tag", F.lit("")).alias("tag"))
     out = out.withColumn("name", F.lower(F.regexp_extract("tag", NAME, 1)))

@@ -184,3 +184,19 @@ def test_pack_many(spark, limit):
             part, a, m = (part + 1, n, len(piece) - n) if new else (part, a + n, m + len(piece) - n)
             out.append(part)
         assert x["parts"] == out
+
+
+def test_documents_are_dealt_over_a_number_of_partitions(spark):
+    """Merged partitions would hold many times what is exchanged; a second size has no fewer."""
+    from quire.operators import nested as N
+
+    for n in (1, 50):
+        rows = spark.range(n).selectExpr("id", "'<p>a</p>' as markup")
+        assert N.tags(rows, "markup", ("id",)).rdd.getNumPartitions() >= N.LEAST_PARTITIONS
+
+
+def test_names_of_links_are_found_once(spark):
+    from quire.plans import catalog
+
+    plan = catalog.d13_rewrite_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(_markup") == 1
