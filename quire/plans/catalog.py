@@ -369,8 +369,11 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Kept, removed, members and anchors, of the names that the links have."""
+    """Kept, removed, members and anchors, of the names that the links have, which are found once and stored."""
     names = L.internal(docs.select("book_id", "path", "markup")).select("book_id", "target").distinct()
+    folder = _state_folder(docs.sparkSession)
+    names.write.parquet(folder)
+    names = docs.sparkSession.read.schema(names.schema).parquet(folder)
     n = F.length("target") % 4
     output = F.concat(F.lit("Out/"), F.length("target").cast("string"), F.lit(" "), F.col("target"))
     kept = names.where(n == 2).select("book_id", "target", output.alias("output"))
