@@ -24,7 +24,7 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 WRAPPERS = ("section", "div", "article", "main", "body")
 BLOCKS = ("figure", "pre", "div", "section")
 #: Documents are dealt over at least so many partitions, as a task sorts the tags of its documents several times.
-LEAST_PARTITIONS = 256
+LEAST_PARTITIONS = 64
 _RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
