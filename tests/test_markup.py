@@ -95,3 +95,19 @@ def test_references_without_semicolon_stay_as_written():
     root = M.parse('<h1 title="a&lt">b &amp; c&#x27; &bogus; d&amp</h1>')
     assert root.text() == "b & c' &bogus; d&amp" and root.find("h1")[0].attrs["title"] == "a&lt"
     assert M.parse(root.inner()).text() == root.text()
+
+
+@pytest.mark.parametrize("depth", [900, 20_000])
+def test_trees_are_as_deep_as_a_page_leaves_elements_open(depth):
+    root = M.parse("<body>" + '<div><img src="a"> x ' * depth + "</body>")
+    body = root.find("body")[0]
+    assert len(body.find("img")) == depth and body.text(" ", True) == " ".join("x" * depth) and body.text("-").count("-") == depth - 1
+    assert body.markup() == "<body>" + '<div><img src="a"> x ' * depth + "</img></div>" * depth + "</body>"
+    assert M.canonicalize("<b>" * depth + "[[IMG_2]]", ["[[IMG_1]]"]) == "<b>" * depth + "[[IMG_1]]" + "</b>" * depth
+
+
+def test_wrappers_are_cut_at_any_depth():
+    parts = M.split_chapter("<div>" * 1500 + "a" * 3000 + "</div>" * 1500 + "<p>b</p>", 20_000)
+    assert len(parts) == 1
+    with pytest.raises(ValueError, match="can't be divided"):
+        M.split_chapter("<div>" * 1500 + "a" * 3000 + "</div>" * 1500, 100)
