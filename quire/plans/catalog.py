@@ -960,10 +960,8 @@ def s13_package_sink(spark, d):
     chapters = epub.chapters(epub.read_archives(files))
     results = chapters.select("book_id", "idx", "title", "body", F.lit(True).alias("translated"), F.lit("{}").alias("terms"))
     made = sink.archives(files, results, "en")
-    again = epub.read_archives(made.select(F.col("name").alias("path"), F.col("archive").alias("content")))
-    rows = again.select(F.col("path").alias("name"), F.inline("chapters"))
-    broken = made.select("name", (F.size("problems") > 0).alias("broken"))
-    shown = rows.where("path like 'chap_%'").join(broken, "name")
+    again = epub.read_archives(made.select(F.col("name").alias("path"), F.col("archive").alias("content"), (F.size("problems") > 0).alias("broken")), keep=("broken",))
+    shown = again.select(F.col("path").alias("name"), "broken", F.inline("chapters")).where("path like 'chap_%'")
     return shown.select("name", "path", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("heading"), "broken")
 
 
